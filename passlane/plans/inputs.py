@@ -1,57 +1,119 @@
-"""Domain inputs of one scale-factor directory, derived once per query plan."""
+"""Domain inputs of one scale-factor directory.
+
+The stand-in domain tables are derived from the driver tables by Spark
+(``passlane.sources.bridge``) and stored once as parquet under the session's
+checkpoint directory (a shared folder on a cluster), then read by every query,
+the way a deployment reads its declarations table. The declarations table is
+partitioned by ``state`` so work-list predicates prune whole directories.
+Set ``PASSLANE_TABLE_CACHE=0`` to derive them in-plan on every query instead.
+"""
 
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
+import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from passlane import schema as S
+from passlane.session import ensure_checkpoint_dir
 from passlane.sources import bridge
 from passlane.sources.tables import DriverTables
 
 AS_OF = bridge.AS_OF
-# Start of the reference counter for new submissions: the value after the largest
-# order key, so new references never collide with the stand-in table.
+# Bump when a bridge formula changes so stored tables are derived again.
+BRIDGE_VERSION = "3"
+
+_PARTITION_BY = {"declarations": ["state"]}
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
 
 
 class Inputs:
-    """Lazily built domain DataFrames for ``sf_dir`` (plans only, nothing runs here)."""
+    """Domain DataFrames for ``sf_dir`` (stored once, read lazily)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.datetime = AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.datetime = AS_OF,
+                 store: bool | None = None):
         self.spark = spark
-        self.sf_dir = sf_dir
+        self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
         self.tables = DriverTables(spark, sf_dir)
+        self.store = (os.environ.get("PASSLANE_TABLE_CACHE", "1") != "0") if store is None else store
+
+    def _root(self) -> str:
+        base = ensure_checkpoint_dir(self.spark).rstrip("/")
+        key = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self.as_of}|{BRIDGE_VERSION}".encode())
+        return f"{base}/passlane-tables/{key.hexdigest()[:16]}"
+
+    def _stored(self, name: str, build, columns: list[str] | None = None) -> DataFrame:
+        if not self.store:
+            return build()
+        path = f"{self._root()}/{name}"
+        if not _exists(self.spark, f"{path}/_SUCCESS"):
+            tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+            writer = build().write.mode("overwrite")
+            if name in _PARTITION_BY:
+                writer = writer.partitionBy(*_PARTITION_BY[name])
+            writer.parquet(tmp)
+            fs, src = _fs(self.spark, tmp)
+            _, dst = _fs(self.spark, path)
+            if not fs.exists(dst):      # first writer wins; a concurrent one drops its copy
+                fs.rename(src, dst)
+            else:
+                fs.delete(src, True)
+        df = self.spark.read.parquet(path)
+        return df.select(*columns) if columns else df
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return bridge.declarations(self.tables)
+        return self._stored("declarations", lambda: bridge.declarations(self.tables),
+                            S.DECLARATION_COLUMNS)
 
     @cached_property
     def locks(self) -> DataFrame:
-        return bridge.locks(self.declarations, self.as_of)
+        return self._stored("locks", lambda: bridge.locks(self.declarations, self.as_of))
 
     @cached_property
     def notifications(self) -> DataFrame:
-        return bridge.notifications(self.tables)
+        return self._stored("notifications", lambda: bridge.notifications(self.tables))
 
     @cached_property
     def raw_notifications(self) -> DataFrame:
-        return bridge.raw_notifications(self.tables)
+        return self._stored("raw_notifications", lambda: bridge.raw_notifications(self.tables))
 
     @cached_property
     def submission_responses(self) -> DataFrame:
-        return bridge.submission_responses(self.declarations)
+        return self._stored("submission_responses",
+                            lambda: bridge.submission_responses(self.declarations))
 
     @cached_property
     def raw_submissions(self) -> DataFrame:
-        return bridge.raw_submissions(self.tables)
+        return self._stored("raw_submissions", lambda: bridge.raw_submissions(self.tables))
 
     @cached_property
     def raw_amendments(self) -> DataFrame:
-        return bridge.raw_amendments(self.tables)
+        return self._stored("raw_amendments", lambda: bridge.raw_amendments(self.tables))
 
     @cached_property
     def lookup_requests(self) -> DataFrame:
-        return bridge.lookup_requests(self.tables)
+        return self._stored("lookup_requests", lambda: bridge.lookup_requests(self.tables))
+
+    def build_all(self) -> None:
+        """Derive and store every domain table now (bench warm-up)."""
+        for name in ("declarations", "locks", "notifications", "raw_notifications",
+                     "submission_responses", "raw_submissions", "raw_amendments",
+                     "lookup_requests"):
+            getattr(self, name)

@@ -136,6 +136,126 @@ live AS (
 )"""
 
 
+NTF_CTE = f"""
+ntf0 AS (
+  SELECT event_id, ts, user_id, event_type,
+         CASE WHEN user_id % 10 = 9 THEN 900000000 + user_id ELSE user_id * 7 + 1 END AS nref_value,
+         CASE event_type WHEN 'purchase' THEN 'Successful' WHEN 'error' THEN 'Failed'
+              WHEN 'click' THEN 'Cancelled' ELSE event_type END AS status
+  FROM events
+),
+ntf AS (
+  SELECT *, {sql_encode('nref_value')} AS reference,
+         CASE WHEN event_id % 97 = 0 THEN lower({sql_encode('nref_value')})
+              ELSE {sql_encode('nref_value')} END AS msg_reference,
+         CASE WHEN event_id % 89 = 0 THEN NULL ELSE status END AS msg_status
+  FROM ntf0
+)"""
+
+
+def sql_decode(r: str) -> str:
+    digits = f"TRY_CAST(substr({r}, 5, 10) AS INTEGER)"
+    return (f"CASE WHEN regexp_full_match({r}, 'X[A-Z]PR[0-9]{{10}}') AND {digits} IS NOT NULL "
+            f"AND substr({r}, 2, 1) = substr({sql_encode(digits)}, 2, 1) THEN {digits} END")
+
+
+E_RECEIPT = 'object has missing required properties (["receiptDate"])'
+E_TOTAL = ('ECMA 262 regex "^-?[0-9]{1,11}[.][0-9]{1,2}$" does not match input string '
+           '"12.345"')
+E_HEADER = 'object instance has properties which are not allowed by the schema: ["unexpectedKey"]'
+E_RESIDENT = ('instance type (string) does not match any allowed primitive type '
+              '(allowed: ["boolean"])')
+
+SUB_CTE = f"""
+num AS (
+  SELECT o_orderkey AS seq,
+         CAST((SELECT max(o_orderkey) + 1 FROM orders) + row_number() OVER (ORDER BY o_orderkey)
+              AS INTEGER) AS ref_value
+  FROM orders WHERE o_orderkey % 31 <> 0
+),
+errs AS (
+  SELECT seq, '/simpleDeclarationRequest/requestCommon' AS path, 'required' AS rule,
+         {_q(E_RECEIPT)} AS message FROM num WHERE seq % 17 = 0
+  UNION ALL
+  SELECT seq, '/simpleDeclarationRequest/requestDetail/liabilityDetails/grandTotalGBP', 'pattern',
+         {_q(E_TOTAL)} FROM num WHERE seq % 19 = 0
+  UNION ALL
+  SELECT seq, '/simpleDeclarationRequest/requestDetail/declarationHeader', 'additionalProperties',
+         {_q(E_HEADER)} FROM num WHERE seq % 23 = 0
+  UNION ALL
+  SELECT seq, '/simpleDeclarationRequest/requestDetail/customerReference/ukResident', 'type',
+         {_q(E_RESIDENT)} FROM num WHERE seq % 29 = 0
+)"""
+
+
+PAY_CTE = """
+n AS (
+  SELECT event_id, ts, msg_status AS status, nref_value AS ref_value FROM ntf
+  WHERE event_id % 89 <> 0 AND event_id % 97 <> 0
+),
+kk AS (
+  SELECT n.*, COALESCE(SUM(CASE WHEN status = 'Successful' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY ref_value ORDER BY ts, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM n
+),
+j AS (
+  SELECT kk.*, d.state AS st, d.amend_state AS am, d.ref_value IS NOT NULL AS found,
+         lv.lock_id IS NOT NULL AS locked
+  FROM kk LEFT JOIN decl d ON d.ref_value = kk.ref_value
+  LEFT JOIN live lv ON lv.lock_id = kk.ref_value
+),
+o1 AS (
+  SELECT j.*,
+         CASE WHEN st IN ('pending-payment', 'payment-cancelled', 'payment-failed') AND k = 0
+              THEN 'declaration'
+              WHEN st IN ('pending-payment', 'payment-cancelled', 'payment-failed', 'paid')
+              THEN 'amendment' END AS lvl,
+         CASE WHEN st IN ('pending-payment', 'payment-cancelled', 'payment-failed') THEN k - 1
+              ELSE k END AS kl
+  FROM j
+),
+o2 AS (
+  SELECT o1.*,
+         COALESCE(lvl = 'declaration' OR (lvl = 'amendment' AND am IS NOT NULL
+                  AND am NOT IN ('paid', 'submission-failed') AND kl = 0), false) AS applies,
+         CASE WHEN NOT found THEN 404 WHEN locked THEN 423 WHEN st = 'submission-failed' THEN 409
+              WHEN lvl = 'amendment' AND am = 'submission-failed' THEN 409
+              WHEN COALESCE(lvl = 'declaration' OR (lvl = 'amendment' AND am IS NOT NULL
+                  AND am NOT IN ('paid', 'submission-failed') AND kl = 0), false)
+                   AND status NOT IN ('Successful', 'Failed', 'Cancelled') THEN 500
+              ELSE 202 END AS http_status
+  FROM o1
+),
+o3 AS (
+  SELECT o2.*, CASE WHEN found AND NOT locked THEN lvl END AS level,
+         (http_status = 202 AND applies) AS applied
+  FROM o2
+)"""
+
+BATCH_CTE = """
+batch0 AS (
+  SELECT d.*, false AS is_amendment, correlation_id AS correlation FROM decl d
+  WHERE state = 'paid' AND NOT sent_to_hod AND ref_value NOT IN (SELECT lock_id FROM live)
+  UNION ALL
+  SELECT d.*, true, amend_correlation_id FROM decl d
+  WHERE state = 'paid' AND sent_to_hod AND amend_state = 'paid' AND amend_sent_to_hod = false
+    AND ref_value NOT IN (SELECT lock_id FROM live)
+),
+batch AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY is_amendment ORDER BY ref_value) AS BIGINT) AS seq,
+         CAST(row_number() OVER (PARTITION BY is_amendment ORDER BY ref_value) - 1 AS BIGINT) AS slot
+  FROM batch0
+),
+resp AS (
+  SELECT charge_reference, CASE WHEN ref_value % 4 < 2 THEN 204 WHEN ref_value % 4 = 2 THEN 400
+         ELSE 503 END AS http_status, false AS is_amendment FROM decl WHERE state = 'paid'
+  UNION ALL
+  SELECT charge_reference, CASE WHEN ref_value % 4 < 2 THEN 204 WHEN ref_value % 4 = 2 THEN 400
+         ELSE 503 END, true FROM decl WHERE state = 'paid' AND amend_state IS NOT NULL
+)"""
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
@@ -214,4 +334,207 @@ def oracle_sql() -> dict[str, str]:
         "WHERE lock_id NOT IN (SELECT ref_value FROM decl WHERE state = 'submission-failed')")
     q["is_zero_pound"] = (
         f"{DECL_WITH} SELECT charge_reference, grand_total = 0 AS is_zero_pound FROM decl")
+    q["encode_references"] = (
+        f"SELECT CAST(o_orderkey + 1 AS INTEGER) AS ref_value, {sql_encode('o_orderkey + 1')} "
+        "AS charge_reference FROM orders")
+    q["validate_references"] = (
+        f"WITH {NTF_CTE} SELECT event_id, msg_reference AS reference, "
+        f"{sql_decode('msg_reference')} AS ref_value FROM ntf")
+    q["intake_submissions"] = (
+        "SELECT o_orderkey AS seq, 's-' || CAST(o_orderkey AS VARCHAR) AS correlation_id, "
+        "o_orderkey % 31 <> 0 AS is_object FROM orders")
+    sub = with_ctes(SUB_CTE)
+    q["assign_references"] = (
+        f"{sub} SELECT seq, ref_value, {sql_encode('ref_value')} AS charge_reference FROM num")
+    q["validate_documents"] = f"{sub} SELECT seq, path, rule, message FROM errs"
+    q["validation_summary"] = (
+        f"{sub} SELECT path, rule, CAST(COUNT(*) AS BIGINT) AS n FROM errs GROUP BY path, rule")
+    q["accept_submissions"] = (
+        f"{sub} SELECT {sql_encode('ref_value')} AS charge_reference, ref_value, "
+        "'pending-payment' AS state, false AS sent_to_hod, 's-' || CAST(seq AS VARCHAR) AS correlation_id, "
+        f"{AS_OF_SQL} AS last_updated FROM num "
+        "WHERE seq NOT IN (SELECT seq FROM errs) AND seq % 37 <> 0")
+    q["rejected_submissions"] = (
+        f"{sub}, firsts AS (SELECT seq, message, row_number() OVER "
+        "(PARTITION BY seq ORDER BY path, rule, message) AS rn, COUNT(*) OVER (PARTITION BY seq) AS n "
+        "FROM errs) "
+        "SELECT o_orderkey AS seq, CAST(NULL AS INTEGER) AS ref_value, 'not_an_object' AS first_error, "
+        "CAST(1 AS BIGINT) AS n_errors FROM orders WHERE o_orderkey % 31 = 0 "
+        "UNION ALL SELECT f.seq, n.ref_value, f.message, CAST(f.n AS BIGINT) FROM firsts f "
+        "JOIN num n ON n.seq = f.seq WHERE f.rn = 1 "
+        "UNION ALL SELECT seq, ref_value, 'journeyData is missing or not an object', CAST(1 AS BIGINT) "
+        "FROM num WHERE seq % 37 = 0 AND seq NOT IN (SELECT seq FROM errs)")
+    amend_ok = ("o_orderkey % 5 = 0 AND o_orderkey % 35 <> 0 AND o_orderkey % 45 <> 0 "
+                "AND ref_value NOT IN (SELECT lock_id FROM live)")
+    q["accept_amendments"] = (
+        f"{LOCK_WITH} SELECT charge_reference, ref_value, state, 'pending-payment' AS amend_state, "
+        f"sent_to_hod, false AS amend_sent_to_hod, {AS_OF_SQL} AS last_updated, correlation_id, "
+        "'m-' || CAST(o_orderkey AS VARCHAR) AS amend_correlation_id FROM decl WHERE " + amend_ok)
+    q["amendment_outcomes"] = (
+        f"{LOCK_WITH} SELECT o_orderkey AS seq, "
+        "CASE WHEN o_orderkey % 45 = 0 THEN NULL WHEN o_orderkey % 35 = 0 "
+        "THEN CAST(900000000 + o_orderkey AS INTEGER) ELSE ref_value END AS ref_value, "
+        "CASE WHEN o_orderkey % 45 = 0 THEN 'missing_correlation_id' "
+        "WHEN o_orderkey % 35 = 0 THEN 'not_found' "
+        "WHEN ref_value IN (SELECT lock_id FROM live) THEN 'locked' ELSE 'accepted' END AS outcome "
+        "FROM decl WHERE o_orderkey % 5 = 0")
+    paid = f"{DECL_WITH} SELECT * FROM decl WHERE state = 'paid'"
+    q["refine_payload"] = (
+        f"{DECL_WITH} SELECT charge_reference, true AS parse_ok, 'DeclarationCreate' AS message_type, "
+        "travelling_from, CAST(grand_total AS VARCHAR) AS grand_total_gbp, "
+        f"CAST(n_items AS BIGINT) AS n_items, false AS has_port_name FROM decl WHERE {PAID_FOR_SUB}")
+    q["parse_failures"] = f"{sub} SELECT seq, ref_value FROM num WHERE seq % 17 = 0 OR seq % 29 = 0"
+    q["amendment_or_original"] = (
+        f"{DECL_WITH} SELECT charge_reference, CASE WHEN amend_state IS NOT NULL THEN 'amendment' "
+        "ELSE 'original' END AS chosen_source, CASE WHEN amend_state IS NOT NULL THEN "
+        "'DeclarationAmend' ELSE 'DeclarationCreate' END AS message_type FROM decl")
+    q["pick_correlation"] = (
+        f"{DECL_WITH} SELECT charge_reference, false AS is_amendment, correlation_id AS correlation "
+        f"FROM decl WHERE {PAID_FOR_SUB} UNION ALL SELECT charge_reference, true, amend_correlation_id "
+        f"FROM decl WHERE {AMEND_FOR_SUB}")
+    receipt = (
+        f"concat(CASE WHEN grand_total = 0 THEN {_q(S.SUBJECT_ZERO)} ELSE {_q(S.SUBJECT_NON_ZERO)} END, "
+        "' ', charge_reference) AS subject, first_name || ' ' || last_name AS NAME, "
+        "strftime(o_orderdate, '%d %B %Y') AS DATE, port_name AS PLACEOFARRIVAL, "
+        "CASE WHEN arrival_date IS NULL THEN '' ELSE strftime(CAST(arrival_date AS DATE), '%d %B %Y') "
+        "END AS DATEOFARRIVAL, CASE WHEN arrival_time IS NULL THEN '' ELSE "
+        "strftime(strptime(arrival_time, '%H:%M'), '%I:%M %p') END AS TIMEOFARRIVAL, "
+        "charge_reference AS REFERENCE, '£' || CAST(grand_total AS VARCHAR) AS TOTAL, "
+        "'£' || CAST(total_excise AS VARCHAR) AS TOTALEXCISEGBP, '£0.00' AS TOTALCUSTOMSGBP, "
+        "'£' || CAST(total_vat AS VARCHAR) AS TOTALVATGBP, travelling_from AS TRAVELLINGFROM")
+    q["receipt_parameters"] = (
+        f"{DECL_WITH} SELECT charge_reference, {receipt}, CAST(n_items AS BIGINT) AS n_items "
+        "FROM decl WHERE state = 'paid'")
+    copies = ",".join(("xxxxx@mailid.uk", "xxxxx@mailid.uk"))
+    q["receipt_recipients"] = (
+        f"{DECL_WITH} SELECT charge_reference, 'passenger' AS recipient, email AS to_text, "
+        f"{_q(S.RECEIPT_TEMPLATE_ID)} AS templateId, true AS force FROM decl "
+        "WHERE state = 'paid' AND email IS NOT NULL UNION ALL "
+        f"SELECT charge_reference, 'copy', {_q(copies)}, {_q(S.RECEIPT_TEMPLATE_ID)}, true "
+        "FROM decl WHERE state = 'paid'")
+    subj = (f"concat(CASE WHEN grand_total = 0 THEN {_q(S.SUBJECT_ZERO)} ELSE {_q(S.SUBJECT_NON_ZERO)} "
+            "END, ' ', charge_reference)")
+    q["receipt_requests"] = (
+        f"{DECL_WITH} SELECT charge_reference, 'passenger' AS recipient, {subj} AS subject FROM decl "
+        "WHERE state = 'paid' AND grand_total <> 0 AND email IS NOT NULL UNION ALL "
+        f"SELECT charge_reference, 'copy', {subj} FROM decl WHERE state = 'paid' AND grand_total <> 0")
+    q["goods_items"] = (
+        f"{DECL_WITH} SELECT d.charge_reference, CAST(row_number() OVER (PARTITION BY li.l_orderkey "
+        "ORDER BY li.cat, li.l_linenumber, li.l_partkey, li.l_suppkey, li.l_extendedprice, li.l_quantity, "
+        "li.l_discount, li.l_tax, li.l_shipdate) - 1 AS INTEGER) AS pos, "
+        "CASE li.cat WHEN 0 THEN 'alcohol' WHEN 1 THEN 'tobacco' ELSE 'other' END AS category, "
+        "'Part ' || CAST(li.l_partkey AS VARCHAR) AS commodityDescription, "
+        "CAST(li.goods AS VARCHAR) AS goodsValueGBP, CAST(li.excise AS VARCHAR) AS exciseGBP, "
+        "CAST(li.vat AS VARCHAR) AS vatGBP FROM li JOIN decl d ON d.o_orderkey = li.l_orderkey")
+    q["concat_items"] = f"{DECL_WITH} SELECT charge_reference, CAST(n_items AS BIGINT) AS n_items FROM decl"
+    q["audit_events"] = (
+        f"{DECL_WITH} SELECT charge_reference, 'bc-passengers-declarations' AS auditSource, "
+        f"{_q(S.AUDIT_TYPE)} AS auditType, {_q(S.AUDIT_TRANSACTION_NAME)} AS transactionName, "
+        "o_orderpriority = '1-URGENT' AS isPrivateTravel, charge_reference AS detail_reference "
+        f"FROM decl WHERE {PAID_FOR_SUB}")
+    q["previous_declaration_view"] = (
+        f"{DECL_WITH} SELECT charge_reference, eu_country_check AS euCountryCheck, "
+        "o_orderkey % 2 = 1 AS arrivingNI, c_acctbal >= 0 AS isOver17, c_nationkey = 23 AS isUKResident, "
+        "o_orderpriority = '1-URGENT' AS isPrivateTravel, last_name AS user_last_name, "
+        "CAST(grand_total AS VARCHAR) AS calc_all_tax, CAST(grand_total AS VARCHAR) AS liability_grand_total, "
+        "CAST(n_items AS BIGINT) AS n_old_purchase, "
+        "CASE WHEN amend_state IS NOT NULL THEN 1 END AS amendmentCount, "
+        "CASE WHEN amend_state IS NOT NULL THEN CAST(grand_total AS VARCHAR) END AS delta_all_tax, "
+        "coalesce(amend_state, 'None') AS amendState FROM decl WHERE state = 'paid'")
+    q["stamp_reference"] = (
+        f"{sub} SELECT seq, {sql_encode('ref_value')} || '0' AS ack_ref, "
+        f"{sql_encode('ref_value')} AS doc_reference FROM num")
+    q["split_journey"] = (
+        f"{sub} SELECT seq, seq % 37 <> 0 AS has_journey, false AS data_has_journey FROM num")
+    pay = with_ctes(LINE_CTE, BASE_CTE, DECL_CTE, LOCKS_CTE, NTF_CTE, PAY_CTE)
+    q["intake_notifications"] = (
+        f"WITH {NTF_CTE} SELECT event_id, msg_status AS status, "
+        f"{sql_decode('msg_reference')} AS ref_value, CASE WHEN event_id % 89 = 0 THEN 'bad_shape' "
+        "WHEN event_id % 97 = 0 THEN 'bad_reference' END AS reject_reason FROM ntf")
+    q["notify_join"] = f"{pay} SELECT event_id, ref_value, found FROM j"
+    q["point_lookup"] = (f"{pay} SELECT {KEY_COLS} FROM decl "
+                         "WHERE ref_value IN (SELECT ref_value FROM n)")
+    q["payment_outcomes"] = (
+        f"{pay} SELECT event_id, ref_value, level, http_status, applied, "
+        "CASE WHEN applied THEN CASE status WHEN 'Successful' THEN 'paid' WHEN 'Failed' THEN "
+        "'payment-failed' WHEN 'Cancelled' THEN 'payment-cancelled' END END AS new_state FROM o3")
+    q["receipt_triggers"] = (f"{pay} SELECT event_id, ref_value, level FROM o3 "
+                             "WHERE applied AND status = 'Successful'")
+    q["apply_payments"] = (
+        f"{pay}, fin0 AS (SELECT ref_value, level, status, row_number() OVER (PARTITION BY ref_value, "
+        "level ORDER BY ts DESC, event_id DESC) AS rn, bool_or(status = 'Successful') OVER "
+        "(PARTITION BY ref_value, level) AS any_s FROM o3 WHERE applied), "
+        "fin AS (SELECT ref_value, level, CASE WHEN any_s THEN 'paid' WHEN status = 'Failed' "
+        "THEN 'payment-failed' ELSE 'payment-cancelled' END AS fs FROM fin0 WHERE rn = 1) "
+        "SELECT d.charge_reference, d.ref_value, coalesce(fd.fs, d.state) AS state, "
+        "coalesce(fa.fs, d.amend_state) AS amend_state, d.sent_to_hod, d.amend_sent_to_hod, "
+        f"{AS_OF_SQL} AS last_updated FROM decl d "
+        "LEFT JOIN fin fd ON fd.ref_value = d.ref_value AND fd.level = 'declaration' "
+        "LEFT JOIN fin fa ON fa.ref_value = d.ref_value AND fa.level = 'amendment' "
+        "WHERE fd.fs IS NOT NULL OR fa.fs IS NOT NULL")
+    bat = with_ctes(LINE_CTE, BASE_CTE, DECL_CTE, LOCKS_CTE, BATCH_CTE)
+    q["submission_batch"] = (f"{bat} SELECT charge_reference, correlation, slot, true AS parse_ok "
+                             "FROM batch WHERE NOT is_amendment")
+    q["amendment_batch"] = (f"{bat} SELECT charge_reference, correlation, slot, true AS parse_ok "
+                            "FROM batch WHERE is_amendment")
+    q["dispatch_slots"] = (f"{bat} SELECT charge_reference, seq, slot FROM batch "
+                           "WHERE NOT is_amendment")
+    q["classify_responses"] = (
+        f"{bat} SELECT charge_reference, is_amendment, http_status, CASE http_status WHEN 204 THEN "
+        "'Submitted' WHEN 400 THEN 'Failed' ELSE 'Error' END AS result FROM resp")
+    for name, amend, sent_col, state_col in (
+            ("apply_submission_results", "false", "sent_to_hod", "state"),
+            ("apply_amendment_results", "true", "amend_sent_to_hod", "amend_state")):
+        res = ("CASE r.http_status WHEN 204 THEN 'Submitted' WHEN 400 THEN 'Failed' "
+               "WHEN NULL THEN NULL ELSE 'Error' END")
+        cols = []
+        for c in KEY_COLS.split(", "):
+            if c == sent_col:
+                cols.append(f"CASE WHEN r.http_status = 204 THEN true ELSE b.{c} END AS {c}")
+            elif c == state_col:
+                cols.append(f"CASE WHEN r.http_status = 400 THEN 'submission-failed' ELSE b.{c} END AS {c}")
+            elif c == "last_updated":
+                cols.append(f"CASE WHEN r.http_status = 400 THEN {AS_OF_SQL} ELSE b.{c} END AS {c}")
+            else:
+                cols.append(f"b.{c}")
+        q[name] = (
+            f"{bat} SELECT {', '.join(cols)}, coalesce({res}, 'NoResponse') AS result FROM batch b "
+            f"LEFT JOIN resp r ON r.charge_reference = b.charge_reference AND r.is_amendment = {amend} "
+            f"WHERE b.is_amendment = {amend}")
+    lk = LOCK_WITH
+    unlocked = "ref_value NOT IN (SELECT lock_id FROM live)"
+    q["requeue_failed"] = (
+        f"{lk} SELECT charge_reference, ref_value, 'paid' AS state, amend_state, sent_to_hod, "
+        f"amend_sent_to_hod, {AS_OF_SQL} AS last_updated FROM decl "
+        f"WHERE state = 'submission-failed' AND {unlocked}")
+    q["requeue_failed_amendments"] = (
+        f"{lk} SELECT charge_reference, ref_value, state, 'paid' AS amend_state, sent_to_hod, "
+        f"amend_sent_to_hod, {AS_OF_SQL} AS last_updated FROM decl "
+        f"WHERE amend_state = 'submission-failed' AND {unlocked}")
+    q["remove_stale"] = f"{lk} SELECT {KEY_COLS} FROM decl WHERE {UNPAID} AND {STALE_TS} AND {unlocked}"
+    q["remove_stale_amendments"] = (
+        f"{lk} SELECT {KEY_COLS} FROM decl WHERE {UNPAID_AMEND} AND {STALE_TS} AND {unlocked}")
+    q["remove_expired"] = (
+        f"{lk} SELECT {KEY_COLS} FROM decl WHERE {DELETABLE} AND strptime(receipt_date, "
+        f"'%Y-%m-%dT%H:%M:%SZ') + INTERVAL 7200 MINUTE < {AS_OF_SQL} AND {unlocked}")
+    q["delete_rows"] = (
+        f"{lk} SELECT {KEY_COLS} FROM decl WHERE NOT ({UNPAID} AND {STALE_TS} AND {unlocked})")
+    amend_ok2 = ("o_orderkey % 5 = 0 AND o_orderkey % 35 <> 0 AND o_orderkey % 45 <> 0 "
+                 f"AND {unlocked}")
+    q["replace_row"] = (
+        f"{lk} SELECT charge_reference, ref_value, state, "
+        f"CASE WHEN {amend_ok2} THEN 'pending-payment' ELSE amend_state END AS amend_state, sent_to_hod, "
+        f"CASE WHEN {amend_ok2} THEN false ELSE amend_sent_to_hod END AS amend_sent_to_hod, "
+        f"CASE WHEN {amend_ok2} THEN {AS_OF_SQL} ELSE last_updated END AS last_updated, "
+        f"CASE WHEN {amend_ok2} THEN 'm-' || CAST(o_orderkey AS VARCHAR) ELSE amend_correlation_id END "
+        "AS amend_correlation_id FROM decl")
+    q["insert_rows"] = (
+        f"{with_ctes(LINE_CTE, BASE_CTE, DECL_CTE, SUB_CTE)} SELECT {KEY_COLS} FROM decl UNION ALL "
+        f"SELECT {sql_encode('ref_value')}, ref_value, 'pending-payment', NULL, false, NULL, {AS_OF_SQL} "
+        "FROM num WHERE seq NOT IN (SELECT seq FROM errs) AND seq % 37 <> 0")
+    q["amend_join"] = (
+        f"{lk} SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 45 = 0 THEN NULL "
+        "WHEN o_orderkey % 35 = 0 THEN CAST(900000000 + o_orderkey AS INTEGER) ELSE ref_value END "
+        "AS ref_value, NOT (o_orderkey % 35 = 0 AND o_orderkey % 45 <> 0) AS matched "
+        "FROM decl WHERE o_orderkey % 5 = 0")
     return q

@@ -12,7 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passlane.functions.refs import decode_reference, encode_reference
+from passlane.operators import documents as D
+from passlane.operators import folds as FO
+from passlane.operators import intake as I
 from passlane.operators import locks as L
+from passlane.operators import validate as V
 from passlane.operators import metrics as M
 from passlane.operators import worklists as W
 from passlane.plans.inputs import Inputs
@@ -145,5 +150,397 @@ def q_release_locks(spark, sf_dir):
     return L.release_locks(i.locks, W.failed_declarations(i.declarations)).select(*LOCK_COLS)
 
 
+# -- references and intake -------------------------------------------------------------
+
+def counter_start(i: Inputs) -> int:
+    """High-water mark of the reference counter: the largest value in the table."""
+    return int(i.declarations.agg(F.max("ref_value")).first()[0] or 0)
+
+
+@query
+def q_encode_references(spark, sf_dir):
+    """Reference text for every order's value (o_orderkey + 1)."""
+    o = Inputs(spark, sf_dir).tables.orders
+    v = (F.col("o_orderkey") + 1).cast("int")
+    return o.select(v.alias("ref_value"), encode_reference(v).alias("charge_reference"))
+
+
+@query
+def q_validate_references(spark, sf_dir):
+    """Decode the reference of every payment message (invalid → null)."""
+    n = Inputs(spark, sf_dir).raw_notifications
+    ref = F.get_json_object("raw", "$.reference")
+    return n.select("event_id", ref.alias("reference"), decode_reference(ref).alias("ref_value"))
+
+
+@query
+def q_intake_submissions(spark, sf_dir):
+    """Raw submission bodies read as text: arrival key, correlation id, object or not."""
+    r = Inputs(spark, sf_dir).raw_submissions
+    return r.select("seq", "correlation_id", I.is_json_object().alias("is_object"))
+
+
+@query
+def q_assign_references(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return I.number_submissions(i.raw_submissions, counter_start(i)).select(
+        "seq", "ref_value", "charge_reference")
+
+
+def _validated(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i, I.validated_submissions(i.raw_submissions, counter_start(i))
+
+
+@query
+def q_validate_documents(spark, sf_dir):
+    """Every schema violation of every numbered, stamped submission."""
+    _, v = _validated(spark, sf_dir)
+    return V.validation_errors(v, ["seq"])
+
+
+@query
+def q_validation_summary(spark, sf_dir):
+    _, v = _validated(spark, sf_dir)
+    return V.validation_summary(V.validation_errors(v, ["seq"]))
+
+
+@query
+def q_accept_submissions(spark, sf_dir):
+    i, v = _validated(spark, sf_dir)
+    return I.accept_submissions(v, i.as_of).select(
+        "charge_reference", "ref_value", "state", "sent_to_hod", "correlation_id", "last_updated")
+
+
+@query
+def q_rejected_submissions(spark, sf_dir):
+    i, v = _validated(spark, sf_dir)
+    r = I.rejected_submissions(i.raw_submissions, v)
+    return r.select("seq", "ref_value", F.col("errors")[0].alias("first_error"),
+                    F.size("errors").cast("bigint").alias("n_errors"))
+
+
+@query
+def q_accept_amendments(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    after, _ = I.accept_amendments(i.raw_amendments, i.declarations, i.locks, i.as_of)
+    return after.select(*KEY_COLS, "correlation_id", "amend_correlation_id")
+
+
+@query
+def q_amendment_outcomes(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    _, outcomes = I.accept_amendments(i.raw_amendments, i.declarations, i.locks, i.as_of)
+    return outcomes
+
+
+# -- documents ----------------------------------------------------------------------------
+
+def _payload_cols(refined: DataFrame) -> list:
+    p = "payload.simpleDeclarationRequest.requestDetail"
+    n = lambda a: F.coalesce(F.size(F.col(a)), F.lit(0))
+    return [
+        F.col(f"{p}.declarationHeader.messageTypes.messageType").alias("message_type"),
+        F.col(f"{p}.declarationHeader.travellingFrom").alias("travelling_from"),
+        F.col(f"{p}.liabilityDetails.grandTotalGBP").alias("grand_total_gbp"),
+        (n(f"{p}.declarationTobacco.declarationItemTobacco")
+         + n(f"{p}.declarationAlcohol.declarationItemAlcohol")
+         + n(f"{p}.declarationOther.declarationItemOther")).cast("bigint").alias("n_items"),
+        D.payload_json().contains("portOfEntryName").alias("has_port_name"),
+    ]
+
+
+@query
+def q_refine_payload(spark, sf_dir):
+    """Typed payloads of the submission work list."""
+    d = Inputs(spark, sf_dir).declarations
+    r = D.refine_payload(W.paid_for_submission(d), "data")
+    return r.select("charge_reference", "parse_ok", *_payload_cols(r))
+
+
+@query
+def q_parse_failures(spark, sf_dir):
+    """Numbered submissions whose stamped document cannot be made a typed payload."""
+    _, v = _validated(spark, sf_dir)
+    r = D.refine_payload(v.select("seq", "ref_value", F.to_json("__doc").alias("stamped")), "stamped")
+    return D.parse_failures(r).select("seq", "ref_value")
+
+
+@query
+def q_amendment_or_original(spark, sf_dir):
+    d = D.amendment_or_original(Inputs(spark, sf_dir).declarations)
+    mt = F.get_json_object("chosen", "$.simpleDeclarationRequest.requestDetail.declarationHeader"
+                                     ".messageTypes.messageType")
+    return d.select("charge_reference", "chosen_source", mt.alias("message_type"))
+
+
+@query
+def q_pick_correlation(spark, sf_dir):
+    """Correlation id of every row in the two submission batches."""
+    d = Inputs(spark, sf_dir).declarations
+    orig = W.paid_for_submission(d).withColumn("is_amendment", F.lit(False))
+    amend = W.amendments_for_submission(d).withColumn("is_amendment", F.lit(True))
+    both = orig.unionByName(amend)
+    return both.select("charge_reference", "is_amendment",
+                       D.pick_correlation(both, F.col("is_amendment")).alias("correlation"))
+
+
+RECEIPT_COLS = ["subject", "NAME", "DATE", "PLACEOFARRIVAL", "DATEOFARRIVAL", "TIMEOFARRIVAL",
+                "REFERENCE", "TOTAL", "TOTALEXCISEGBP", "TOTALCUSTOMSGBP", "TOTALVATGBP",
+                "TRAVELLINGFROM"]
+
+
+@query
+def q_receipt_parameters(spark, sf_dir):
+    """Receipt parameters of every paid row (amendment document when there is one)."""
+    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    p = D.receipt_parameters(D.amendment_or_original(d), "chosen")
+    return p.select("charge_reference", *RECEIPT_COLS,
+                    F.size("items").cast("bigint").alias("n_items"))
+
+
+@query
+def q_receipt_recipients(spark, sf_dir):
+    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    r = D.receipt_recipients(D.receipt_parameters(D.amendment_or_original(d), "chosen"))
+    return r.select("charge_reference", "recipient", F.array_join("to", ",").alias("to_text"),
+                    "templateId", "force")
+
+
+@query
+def q_receipt_requests(spark, sf_dir):
+    """Receipt job over paid rows with the zero-pound switch on."""
+    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    r = D.receipt_requests(d, disable_zero_pound=True)
+    return r.select("charge_reference", "recipient", "subject")
+
+
+@query
+def q_goods_items(spark, sf_dir):
+    d = D.goods_items(Inputs(spark, sf_dir).declarations, "data")
+    return D.explode_items(d, ["charge_reference"])
+
+
+@query
+def q_concat_items(spark, sf_dir):
+    d = D.goods_items(Inputs(spark, sf_dir).declarations, "data")
+    return d.select("charge_reference", F.size("items").cast("bigint").alias("n_items"))
+
+
+@query
+def q_audit_events(spark, sf_dir):
+    """Audit rows for the submission work list."""
+    d = Inputs(spark, sf_dir).declarations
+    a = D.audit_events(D.refine_payload(W.paid_for_submission(d), "data"))
+    return a.select("charge_reference", "auditSource", "auditType",
+                    F.col("tags")["transactionName"].alias("transactionName"),
+                    F.col("detail.isPrivateTravel").alias("isPrivateTravel"),
+                    F.col("detail.simpleDeclarationRequest.requestDetail.declarationHeader"
+                          ".chargeReference").alias("detail_reference"))
+
+
+@query
+def q_previous_declaration_view(spark, sf_dir):
+    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    v = D.previous_declaration_view(d)
+    return v.select(
+        "charge_reference", "euCountryCheck", "arrivingNI", "isOver17", "isUKResident",
+        "isPrivateTravel",
+        F.get_json_object("userInformation", "$.lastName").alias("user_last_name"),
+        F.get_json_object("calculation", "$.allTax").alias("calc_all_tax"),
+        F.get_json_object("liabilityDetails", "$.grandTotalGBP").alias("liability_grand_total"),
+        F.json_array_length("oldPurchaseProductInstances").cast("bigint").alias("n_old_purchase"),
+        "amendmentCount",
+        F.get_json_object("deltaCalculation", "$.allTax").alias("delta_all_tax"),
+        "amendState")
+
+
+@query
+def q_stamp_reference(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    n = I.number_submissions(i.raw_submissions, counter_start(i))
+    st = D.stamp_reference(n, "raw", "charge_reference")
+    return st.select("seq",
+                     F.get_json_object("stamped", "$.simpleDeclarationRequest.requestCommon"
+                                                  ".acknowledgementReference").alias("ack_ref"),
+                     F.get_json_object("stamped", "$.simpleDeclarationRequest.requestDetail"
+                                                  ".declarationHeader.chargeReference").alias("doc_reference"))
+
+
+@query
+def q_split_journey(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    n = I.number_submissions(i.raw_submissions, counter_start(i))
+    sp = D.split_journey(n, "raw")
+    return sp.select("seq", F.col("journey_data").isNotNull().alias("has_journey"),
+                     F.col("data").contains('"journeyData"').alias("data_has_journey"))
+
+
+# -- payments and folds ------------------------------------------------------------------------
+
+def _notes(i: Inputs) -> DataFrame:
+    return FO.intake_notifications(i.raw_notifications)
+
+
+@query
+def q_intake_notifications(spark, sf_dir):
+    n = _notes(Inputs(spark, sf_dir))
+    return n.select("event_id", "status", "ref_value", "reject_reason")
+
+
+@query
+def q_notify_join(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    n = _notes(i).where(F.col("reject_reason").isNull())
+    return FO.notify_join(n, i.declarations).select("event_id", "ref_value", "found")
+
+
+@query
+def q_point_lookup(spark, sf_dir):
+    """Declarations looked up by the keys of the payment messages (semi join)."""
+    i = Inputs(spark, sf_dir)
+    k = _notes(i).where(F.col("reject_reason").isNull()).select("ref_value")
+    return keys(i.declarations.join(k, "ref_value", "left_semi"))
+
+
+def _outcomes(i: Inputs) -> DataFrame:
+    return FO.payment_outcomes(_notes(i), i.declarations, i.locks, i.as_of)
+
+
+@query
+def q_payment_outcomes(spark, sf_dir):
+    o = _outcomes(Inputs(spark, sf_dir))
+    return o.select("event_id", "ref_value", "level", "http_status", "applied", "new_state")
+
+
+@query
+def q_apply_payments(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return keys(FO.apply_payments(_outcomes(i), i.declarations, i.as_of))
+
+
+@query
+def q_receipt_triggers(spark, sf_dir):
+    return FO.receipt_triggers(_outcomes(Inputs(spark, sf_dir))).select("event_id", "ref_value", "level")
+
+
+def _batch(i: Inputs, amendment: bool) -> DataFrame:
+    """Submission batch: work list → unlocked → refined → numbered into dispatch slots."""
+    pick = W.amendments_for_submission if amendment else W.paid_for_submission
+    rows = L.exclude_locked(pick(i.declarations), i.locks, i.as_of)
+    doc = "amend_data" if amendment else "data"
+    refined = D.refine_payload(rows, doc)
+    numbered = I.assign_references(refined, 0, ["ref_value"], value_col="seq")
+    return (numbered.withColumn("is_amendment", F.lit(amendment))
+            .withColumn("correlation", D.pick_correlation(numbered, F.lit(amendment)))
+            .withColumn("slot", F.floor((F.col("seq") - 1) / F.lit(1)).cast("bigint")))
+
+
+@query
+def q_submission_batch(spark, sf_dir):
+    b = _batch(Inputs(spark, sf_dir), False)
+    return b.select("charge_reference", "correlation", "slot", "parse_ok")
+
+
+@query
+def q_amendment_batch(spark, sf_dir):
+    b = _batch(Inputs(spark, sf_dir), True)
+    return b.select("charge_reference", "correlation", "slot", "parse_ok")
+
+
+@query
+def q_dispatch_slots(spark, sf_dir):
+    """One row per second (1 element per 1 s): slot of every row in the batch."""
+    b = _batch(Inputs(spark, sf_dir), False)
+    return b.select("charge_reference", F.col("seq").cast("bigint").alias("seq"), "slot")
+
+
+@query
+def q_classify_responses(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    batch = _batch(i, False).unionByName(_batch(i, True))
+    c = FO.classify_responses(i.submission_responses, batch)
+    return c.select("charge_reference", "is_amendment", "http_status", "result")
+
+
+@query
+def q_apply_submission_results(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    batch = _batch(i, False)
+    c = FO.classify_responses(i.submission_responses, batch)
+    out = FO.apply_submission_results(batch.select(*i.declarations.columns), c, i.as_of)
+    return out.select(*KEY_COLS, "result")
+
+
+@query
+def q_apply_amendment_results(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    batch = _batch(i, True)
+    c = FO.classify_responses(i.submission_responses, batch)
+    out = FO.apply_amendment_results(batch.select(*i.declarations.columns), c, i.as_of)
+    return out.select(*KEY_COLS, "result")
+
+
+@query
+def q_requeue_failed(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return keys(FO.requeue_failed(i.declarations, i.locks, i.as_of))
+
+
+@query
+def q_requeue_failed_amendments(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return keys(FO.requeue_failed_amendments(i.declarations, i.locks, i.as_of))
+
+
+@query
+def q_remove_stale(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return keys(FO.remove_stale(i.declarations, i.locks, i.as_of))
+
+
+@query
+def q_remove_stale_amendments(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return keys(FO.remove_stale_amendments(i.declarations, i.locks, i.as_of))
+
+
+@query
+def q_remove_expired(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return keys(FO.remove_expired(i.declarations, i.locks, i.as_of))
+
+
+@query
+def q_delete_rows(spark, sf_dir):
+    """The table after the timeout job deletes its rows (survivors)."""
+    i = Inputs(spark, sf_dir)
+    survivors, _ = FO.delete_rows(i.declarations, FO.remove_stale(i.declarations, i.locks, i.as_of))
+    return keys(survivors)
+
+
+@query
+def q_replace_row(spark, sf_dir):
+    """The table after accepted amendments replace their rows."""
+    i = Inputs(spark, sf_dir)
+    after, _ = I.accept_amendments(i.raw_amendments, i.declarations, i.locks, i.as_of)
+    return FO.replace_rows(i.declarations, after).select(*KEY_COLS, "amend_correlation_id")
+
+
+@query
+def q_insert_rows(spark, sf_dir):
+    """The table after appending the accepted submissions."""
+    i, v = _validated(spark, sf_dir)
+    return keys(FO.insert_rows(i.declarations, I.accept_submissions(v, i.as_of)))
+
+
+@query
+def q_amend_join(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    _, outcomes = I.accept_amendments(i.raw_amendments, i.declarations, i.locks, i.as_of)
+    return outcomes.select("seq", "ref_value",
+                           (F.col("outcome") != "not_found").alias("matched"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
