@@ -537,4 +537,25 @@ def oracle_sql() -> dict[str, str]:
         "WHEN o_orderkey % 35 = 0 THEN CAST(900000000 + o_orderkey AS INTEGER) ELSE ref_value END "
         "AS ref_value, NOT (o_orderkey % 35 = 0 AND o_orderkey % 45 <> 0) AS matched "
         "FROM decl WHERE o_orderkey % 5 = 0")
+    look = (f"{DECL_WITH}, req AS (SELECT o_orderkey AS request_id, CASE (o_orderkey // 50) % 2 "
+            "WHEN 0 THEN upper(last_name) ELSE lower(last_name) END AS lastName, "
+            "CASE (o_orderkey // 50) % 5 WHEN 0 THEN charge_reference WHEN 1 THEN lower(charge_reference) "
+            "WHEN 2 THEN substr(charge_reference, 10, 5) WHEN 3 THEN 'X.PR' || substr(charge_reference, 5, 10) "
+            "ELSE 'X[A-Z]PR' || substr(charge_reference, 5, 10) "
+            "END AS referenceNumber FROM base WHERE o_orderkey % 50 = 5), "
+            "el AS (SELECT * FROM decl WHERE state = 'paid' AND (amend_state IS NULL OR amend_state "
+            "IN ('paid', 'pending-payment'))), "
+            "m AS (SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON "
+            "regexp_matches(e.charge_reference, r.referenceNumber, 'i') AND "
+            "regexp_matches(e.last_name, r.lastName, 'i')), "
+            "fm AS (SELECT request_id, min(charge_reference) AS charge_reference, "
+            "CAST(COUNT(*) AS BIGINT) AS n_matches FROM m GROUP BY request_id)")
+    q["intake_lookup_requests"] = (
+        f"{DECL_WITH} SELECT o_orderkey AS request_id, CAST(NULL AS VARCHAR) AS reject_reason "
+        "FROM base WHERE o_orderkey % 50 = 5")
+    q["first_match"] = f"{look} SELECT request_id, charge_reference, n_matches FROM fm"
+    q["previous_declaration_lookup"] = (
+        f"{look} SELECT fm.request_id, fm.charge_reference, d.eu_country_check AS euCountryCheck, "
+        "d.o_orderpriority = '1-URGENT' AS isPrivateTravel, coalesce(d.amend_state, 'None') AS amendState "
+        "FROM fm JOIN decl d ON d.charge_reference = fm.charge_reference")
     return q

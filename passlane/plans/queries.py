@@ -17,6 +17,7 @@ from passlane.operators import documents as D
 from passlane.operators import folds as FO
 from passlane.operators import intake as I
 from passlane.operators import locks as L
+from passlane.operators import lookup as LK
 from passlane.operators import validate as V
 from passlane.operators import metrics as M
 from passlane.operators import worklists as W
@@ -542,5 +543,28 @@ def q_amend_join(spark, sf_dir):
                            (F.col("outcome") != "not_found").alias("matched"))
 
 
+# -- previous-declaration lookup --------------------------------------------------------
+
+@query
+def q_intake_lookup_requests(spark, sf_dir):
+    r = LK.intake_lookup_requests(Inputs(spark, sf_dir).lookup_requests)
+    return r.select("request_id", "reject_reason")
+
+
+@query
+def q_first_match(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return LK.first_match(LK.lookup_matches(i.lookup_requests, i.declarations))
+
+
+@query
+def q_previous_declaration_lookup(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    found = LK.previous_declaration_lookup(i.lookup_requests, i.declarations)
+    view = D.previous_declaration_view(found)
+    return view.select("request_id", "charge_reference", "euCountryCheck", "isPrivateTravel",
+                       "amendState")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

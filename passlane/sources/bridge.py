@@ -432,20 +432,21 @@ def raw_amendments(t: DriverTables) -> DataFrame:
 
 
 def lookup_requests(t: DriverTables) -> DataFrame:
-    """Previous-declaration requests from every 50th order.
+    """Previous-declaration requests from every 50th order (keys ending in 5: paid rows).
 
     lastName upper- or lower-cased by ``(key // 50) % 2``; reference by
-    ``(key // 50) % 4``: full, lower-cased, last five digits, or a regex with the
-    check character replaced by ``.``.
+    ``(key // 50) % 5``: full, lower-cased, last five digits, the check character
+    replaced by ``.``, or the check character replaced by ``[A-Z]``.
     """
-    rows = base_rows(t).where(F.col("o_orderkey") % 50 == 0)
+    rows = base_rows(t).where(F.col("o_orderkey") % 50 == 5)
     j = F.floor(F.col("o_orderkey") / 50)
     ref = F.col("charge_reference")
     pattern = (
-        F.when(j % 4 == 0, ref)
-        .when(j % 4 == 1, F.lower(ref))
-        .when(j % 4 == 2, F.substring(ref, 10, 5))
-        .otherwise(F.concat(F.lit("X.PR"), F.substring(ref, 5, 10)))
+        F.when(j % 5 == 0, ref)
+        .when(j % 5 == 1, F.lower(ref))
+        .when(j % 5 == 2, F.substring(ref, 10, 5))
+        .when(j % 5 == 3, F.concat(F.lit("X.PR"), F.substring(ref, 5, 10)))
+        .otherwise(F.concat(F.lit("X[A-Z]PR"), F.substring(ref, 5, 10)))
     )
     return rows.select(
         F.col("o_orderkey").alias("request_id"),
