@@ -111,6 +111,16 @@ class Inputs:
     def lookup_requests(self) -> DataFrame:
         return self._stored("lookup_requests", lambda: bridge.lookup_requests(self.tables))
 
+    def path(self, name: str) -> str:
+        """Storage path of a domain table (derived and stored first if needed)."""
+        store, self.store = self.store, True
+        try:
+            getattr(self, name)
+            self.__dict__.pop(name, None) if not store else None
+        finally:
+            self.store = store
+        return f"{self._root()}/{name}"
+
     def build_all(self) -> None:
         """Derive and store every domain table now (bench warm-up)."""
         for name in ("declarations", "locks", "notifications", "raw_notifications",

@@ -558,4 +558,9 @@ def oracle_sql() -> dict[str, str]:
         f"{look} SELECT fm.request_id, fm.charge_reference, d.eu_country_check AS euCountryCheck, "
         "d.o_orderpriority = '1-URGENT' AS isPrivateTravel, coalesce(d.amend_state, 'None') AS amendState "
         "FROM fm JOIN decl d ON d.charge_reference = fm.charge_reference")
+    q["stream_payments"] = q["payment_outcomes"]
+    q["stream_intake"] = q["accept_submissions"]
+    q["stream_status"] = q["status_gauges"]
+    q["stream_timeouts"] = q["remove_stale"]
+    q["tap_output"] = q["remove_stale"]
     return q

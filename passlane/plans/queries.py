@@ -22,6 +22,7 @@ from passlane.operators import validate as V
 from passlane.operators import metrics as M
 from passlane.operators import worklists as W
 from passlane.plans.inputs import Inputs
+from passlane.streaming import jobs as ST
 
 KEY_COLS = ["charge_reference", "ref_value", "state", "amend_state", "sent_to_hod",
             "amend_sent_to_hod", "last_updated"]
@@ -566,5 +567,52 @@ def q_previous_declaration_lookup(spark, sf_dir):
                        "amendState")
 
 
+# -- streaming (availableNow runs of the stream jobs over the stored inputs) ---------------
+
+@query
+def q_stream_payments(spark, sf_dir):
+    """Payment stream: outcomes written by the foreachBatch fold."""
+    i = Inputs(spark, sf_dir)
+    root = ST.stream_root(spark, "payments")
+    out = ST.stream_payments(spark, i.path("raw_notifications"), i.path("declarations"),
+                             i.locks, i.as_of, root)
+    return spark.read.parquet(out).select("event_id", "ref_value", "level", "http_status",
+                                          "applied", "new_state")
+
+
+@query
+def q_stream_intake(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    root = ST.stream_root(spark, "intake")
+    out = ST.stream_intake(spark, i.path("raw_submissions"), counter_start(i), i.as_of, root)
+    return spark.read.parquet(out).select("charge_reference", "ref_value", "state", "sent_to_hod",
+                                          "correlation_id", "last_updated")
+
+
+@query
+def q_stream_status(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    out = ST.stream_status(spark, i.path("declarations"), ST.stream_root(spark, "status"))
+    return spark.read.parquet(out)
+
+
+@query
+def q_stream_timeouts(spark, sf_dir):
+    """Periodic timeout job, one trigger: the rows it deletes."""
+    i = Inputs(spark, sf_dir)
+    removed, _ = ST.stream_timeouts(spark, i.path("declarations"), i.locks, i.as_of,
+                                    ST.stream_root(spark, "timeouts"))
+    return keys(spark.read.parquet(removed))
+
+
+@query
+def q_tap_output(spark, sf_dir):
+    """The tap sink of the timeout stream: the same rows as the main sink."""
+    i = Inputs(spark, sf_dir)
+    _, tap = ST.stream_timeouts(spark, i.path("declarations"), i.locks, i.as_of,
+                                ST.stream_root(spark, "timeouts"))
+    return keys(spark.read.parquet(tap))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
