@@ -558,6 +558,10 @@ def oracle_sql() -> dict[str, str]:
         f"{look} SELECT fm.request_id, fm.charge_reference, d.eu_country_check AS euCountryCheck, "
         "d.o_orderpriority = '1-URGENT' AS isPrivateTravel, coalesce(d.amend_state, 'None') AS amendState "
         "FROM fm JOIN decl d ON d.charge_reference = fm.charge_reference")
+    q["stale_unlocked_receipts"] = (
+        f"{LOCK_WITH} SELECT charge_reference, ref_value, state, last_updated, "
+        f"CAST(grand_total AS VARCHAR) AS grand_total_gbp FROM decl WHERE {UNPAID} AND {STALE_TS} "
+        "AND ref_value NOT IN (SELECT lock_id FROM live)")
     q["stream_payments"] = q["payment_outcomes"]
     q["stream_intake"] = q["accept_submissions"]
     q["stream_status"] = q["status_gauges"]

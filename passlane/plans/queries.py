@@ -614,5 +614,19 @@ def q_tap_output(spark, sf_dir):
     return keys(spark.read.parquet(tap))
 
 
+# -- flagship ----------------------------------------------------------------------------------
+
+@query
+def q_stale_unlocked_receipts(spark, sf_dir):
+    """Stale unpaid rows minus live locks, with reference and receipt total
+    (scan + pushed filter + anti join + nested projection)."""
+    i = Inputs(spark, sf_dir)
+    rows = FO.remove_stale(i.declarations, i.locks, i.as_of)
+    total = F.get_json_object("data", "$.simpleDeclarationRequest.requestDetail.liabilityDetails"
+                                      ".grandTotalGBP")
+    return rows.select("charge_reference", "ref_value", "state", "last_updated",
+                       total.alias("grand_total_gbp"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
