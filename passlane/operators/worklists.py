@@ -19,9 +19,12 @@ RECEIPT_DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def _ts(as_of) -> Column:
+    """``as_of`` as a TIMESTAMP_NTZ literal built from text, so no time zone is involved."""
     if isinstance(as_of, Column):
         return as_of.cast("timestamp_ntz")
-    return F.lit(as_of).cast("timestamp_ntz")
+    if isinstance(as_of, _dt.datetime):
+        as_of = as_of.isoformat(sep=" ")
+    return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
 def minus_seconds(as_of, seconds: int | float) -> Column:

@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from passlane import schema as S
-from passlane.session import ensure_checkpoint_dir
+from passlane.session import apply_core_conf, ensure_checkpoint_dir
 from passlane.sources import bridge
 from passlane.sources.tables import DriverTables
 
@@ -47,7 +47,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.datetime = AS_OF,
                  store: bool | None = None):
-        self.spark = spark
+        self.spark = apply_core_conf(spark)
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
         self.tables = DriverTables(spark, sf_dir)

@@ -565,6 +565,7 @@ def oracle_sql() -> dict[str, str]:
     q["stream_payments"] = q["payment_outcomes"]
     q["stream_intake"] = q["accept_submissions"]
     q["stream_status"] = q["status_gauges"]
+    q["periodic_source"] = q["unpaid_declarations"]
     q["stream_timeouts"] = q["remove_stale"]
     q["tap_output"] = q["remove_stale"]
     return q

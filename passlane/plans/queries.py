@@ -596,6 +596,15 @@ def q_stream_status(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query
+def q_periodic_source(spark, sf_dir):
+    """The unpaid work list re-run by a triggered source (one trigger)."""
+    i = Inputs(spark, sf_dir)
+    out = ST.periodic_source(spark, i.path("declarations"), W.unpaid_declarations,
+                             ST.stream_root(spark, "periodic"))
+    return keys(spark.read.parquet(out))
+
+
 @query
 def q_stream_timeouts(spark, sf_dir):
     """Periodic timeout job, one trigger: the rows it deletes."""

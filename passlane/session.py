@@ -46,9 +46,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+# Settings that change plans but never results: safe to set on a caller's session.
+PLAN_CONF = {k: v for k, v in CORE_CONF.items()
+             if k.startswith("spark.sql.adaptive") or k == "spark.sql.parquet.filterPushdown"}
+
+
 def apply_core_conf(spark: SparkSession) -> SparkSession:
-    """Set the core settings on an existing session (runtime-settable ones only)."""
-    for k, v in CORE_CONF.items():
+    """Set the plan-only settings (AQE, skew join, pushdown) on an existing session.
+
+    Results never depend on the session time zone: driver timestamps are
+    TIMESTAMP_NTZ and every ``as_of`` literal is built from text."""
+    for k, v in PLAN_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static conf on a shared session: leave it

@@ -318,7 +318,7 @@ def declarations(t: DriverTables) -> DataFrame:
 def locks(declarations_df: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
     """Lock rows for every 13th reference, aged by ``ref_value % 600`` seconds."""
     age = F.make_interval(secs=(F.col("ref_value") % 600).cast("decimal(18,6)"))
-    stamp = (F.lit(as_of).cast("timestamp_ntz") - age).cast("timestamp_ntz")
+    stamp = (F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") - age).cast("timestamp_ntz")
     return declarations_df.where(F.col("ref_value") % 13 == 0).select(
         F.col("ref_value").alias("lock_id"),
         stamp.alias("last_updated"),

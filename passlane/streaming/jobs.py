@@ -121,6 +121,22 @@ def stream_status(spark: SparkSession, declarations_path: str, root: str,
     return f"{root}/gauges"
 
 
+def periodic_source(spark: SparkSession, table_path: str, job, root: str,
+                    trigger: dict | None = None) -> str:
+    """Re-run ``job(current_table) -> DataFrame`` on every trigger and write its rows to
+    ``{root}/out/batch=N``. The file stream over the table is only the clock; the job
+    always reads the whole current table, like a scheduled query."""
+    schema = spark.read.parquet(table_path).schema
+    ticks = spark.readStream.schema(schema).parquet(table_path).select(F.lit(1).alias("t"))
+
+    def batch(_: DataFrame, batch_id: int) -> None:
+        job(spark.read.parquet(table_path)).write.mode("overwrite").parquet(
+            f"{root}/out/batch={batch_id:08d}")
+
+    _run(ticks, batch, f"{root}/_checkpoint", trigger)
+    return f"{root}/out"
+
+
 def stream_timeouts(spark: SparkSession, declarations_path: str, locks: DataFrame, as_of,
                     root: str, trigger: dict | None = None) -> tuple[str, str]:
     """Periodic timeout job: each trigger deletes the stale unlocked rows of the current
