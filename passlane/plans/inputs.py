@@ -25,7 +25,7 @@ from passlane.sources.tables import DriverTables
 
 AS_OF = bridge.AS_OF
 # Bump when a bridge formula changes so stored tables are derived again.
-BRIDGE_VERSION = "4"
+BRIDGE_VERSION = "5"
 
 _PARTITION_BY = {"declarations": ["state"]}
 
@@ -64,9 +64,13 @@ class Inputs:
         path = f"{self._root()}/{name}"
         if not _exists(self.spark, f"{path}/_SUCCESS"):
             tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-            writer = build().write.mode("overwrite")
+            df = build()
             if name in _PARTITION_BY:
-                writer = writer.partitionBy(*_PARTITION_BY[name])
+                writer = df.write.mode("overwrite").partitionBy(*_PARTITION_BY[name])
+            else:
+                # spread small derived tables over the cores so later scans run in parallel
+                n = self.spark.sparkContext.defaultParallelism
+                writer = df.repartition(n).write.mode("overwrite")
             writer.parquet(tmp)
             fs, src = _fs(self.spark, tmp)
             _, dst = _fs(self.spark, path)
