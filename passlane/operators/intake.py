@@ -51,6 +51,17 @@ def assign_references(df: DataFrame, start: int, order_cols: list[str],
             .drop("__part", "__offset"))
 
 
+def dispatch_slots(numbered: DataFrame, elements: int = 1, per_seconds: int = 1,
+                   seq_col: str = "seq") -> DataFrame:
+    """Throttle as data: at most ``elements`` rows per ``per_seconds``.
+
+    ``slot = floor((seq - 1) / elements)`` on a gap-free 1-based numbering, and
+    ``offset_seconds = slot * per_seconds`` is when the row may be sent."""
+    slot = F.floor((F.col(seq_col) - 1) / F.lit(int(elements))).cast("bigint")
+    return (numbered.withColumn("slot", slot)
+            .withColumn("offset_seconds", (F.col("slot") * F.lit(int(per_seconds))).cast("bigint")))
+
+
 def is_json_object(raw: str = "raw"):
     return F.expr(f"try_variant_get(try_parse_json(`{raw}`), '$', 'map<string,variant>') IS NOT NULL")
 

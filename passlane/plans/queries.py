@@ -433,9 +433,10 @@ def _batch(i: Inputs, amendment: bool) -> DataFrame:
     doc = "amend_data" if amendment else "data"
     refined = D.refine_payload(rows, doc)
     numbered = I.assign_references(refined, 0, ["ref_value"], value_col="seq")
-    return (numbered.withColumn("is_amendment", F.lit(amendment))
-            .withColumn("correlation", D.pick_correlation(numbered, F.lit(amendment)))
-            .withColumn("slot", F.floor((F.col("seq") - 1) / F.lit(1)).cast("bigint")))
+    # configured throttle: one element per second
+    slotted = I.dispatch_slots(numbered, elements=1, per_seconds=1)
+    return (slotted.withColumn("is_amendment", F.lit(amendment))
+            .withColumn("correlation", D.pick_correlation(slotted, F.lit(amendment))))
 
 
 @query

@@ -62,3 +62,10 @@ def test_rejected_documents_burn_numbers(spark):
     assert nums == [(1, 11), (3, 12)]
     rej = {r.seq: r.errors[0] for r in I.rejected_submissions(raw, v).collect()}
     assert rej[2] == "not_an_object" and rej[4] == "Missing X-Correlation-ID header"
+
+
+def test_dispatch_slots_cap_per_interval(spark):
+    df = spark.range(1, 6).withColumnRenamed("id", "seq")
+    out = I.dispatch_slots(df, elements=2, per_seconds=30).orderBy("seq").collect()
+    assert [r.slot for r in out] == [0, 0, 1, 1, 2]
+    assert [r.offset_seconds for r in out] == [0, 0, 30, 30, 60]
