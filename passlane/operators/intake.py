@@ -35,7 +35,10 @@ def assign_references(df: DataFrame, start: int, order_cols: list[str],
     """Adds ``value_col`` = start + 1, start + 2, ... in ``order_cols`` order."""
     spark: SparkSession = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # range partitions grow with the input (one per input split at least), so each
+    # numbering task holds a bounded slice however large the batch is
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          df.rdd.getNumPartitions())
     staged = (df.repartitionByRange(n, *order_cols)
               .withColumn("__part", F.spark_partition_id())
               .checkpoint(eager=True))
