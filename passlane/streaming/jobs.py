@@ -72,14 +72,21 @@ def stream_payments(spark: SparkSession, notifications_path: str, declarations_p
     return f"{root}/outcomes"
 
 
+def _source(spark: SparkSession, path: str, max_files_per_trigger: int | None):
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return reader.parquet(path)
+
+
 def stream_intake(spark: SparkSession, submissions_path: str, start: int, as_of, root: str,
-                  trigger: dict | None = None) -> str:
+                  trigger: dict | None = None, max_files_per_trigger: int | None = None) -> str:
     """Raw submissions → accepted rows and rejections per batch.
 
     The counter is carried between batches in ``{root}/counter/batch=N`` (one row:
     the last value handed out), so numbering continues across micro-batches."""
-    schema = spark.read.parquet(submissions_path).schema
-    src = spark.readStream.schema(schema).parquet(submissions_path)
+    src = _source(spark, submissions_path, max_files_per_trigger)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         last = _latest(spark, f"{root}/counter", "")
