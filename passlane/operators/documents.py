@@ -25,8 +25,8 @@ ITEM_SECTIONS = (("declarationAlcohol", "declarationItemAlcohol", "alcohol"),
                  ("declarationTobacco", "declarationItemTobacco", "tobacco"),
                  ("declarationOther", "declarationItemOther", "other"))
 
-# Default receipt copy addresses (service configuration defaults).
-DEFAULT_COPY_ADDRESSES = ("xxxxx@mailid.uk", "xxxxx@mailid.uk")
+# Default receipt copy addresses (a deployment passes its own).
+DEFAULT_COPY_ADDRESSES = ("receipts-copy-1@example.com", "receipts-copy-2@example.com")
 
 
 def _v(col: str) -> Column:
@@ -212,7 +212,7 @@ def receipt_requests(df: DataFrame, disable_zero_pound: bool = False,
 
 # -- audit, view, stamping -------------------------------------------------------------------
 
-def audit_events(refined: DataFrame, app_name: str = "bc-passengers-declarations",
+def audit_events(refined: DataFrame, app_name: str = "passlane",
                  journey_col: str = "journey_data") -> DataFrame:
     """Audit rows: the refined payload as detail plus ``isPrivateTravel`` when the journey
     data carries ``privateCraft``; constant type and transaction tag."""

@@ -25,7 +25,7 @@ from passlane.sources.tables import DriverTables
 
 AS_OF = bridge.AS_OF
 # Bump when a bridge formula changes so stored tables are derived again.
-BRIDGE_VERSION = "5"
+BRIDGE_VERSION = "6"
 
 _PARTITION_BY = {"declarations": ["state"]}
 

@@ -405,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
     q["receipt_parameters"] = (
         f"{DECL_WITH} SELECT charge_reference, {receipt}, CAST(n_items AS BIGINT) AS n_items "
         "FROM decl WHERE state = 'paid'")
-    copies = ",".join(("xxxxx@mailid.uk", "xxxxx@mailid.uk"))
+    copies = ",".join(("receipts-copy-1@example.com", "receipts-copy-2@example.com"))
     q["receipt_recipients"] = (
         f"{DECL_WITH} SELECT charge_reference, 'passenger' AS recipient, email AS to_text, "
         f"{_q(S.RECEIPT_TEMPLATE_ID)} AS templateId, true AS force FROM decl "
@@ -428,7 +428,7 @@ def oracle_sql() -> dict[str, str]:
         "CAST(li.vat AS VARCHAR) AS vatGBP FROM li JOIN decl d ON d.o_orderkey = li.l_orderkey")
     q["concat_items"] = f"{DECL_WITH} SELECT charge_reference, CAST(n_items AS BIGINT) AS n_items FROM decl"
     q["audit_events"] = (
-        f"{DECL_WITH} SELECT charge_reference, 'bc-passengers-declarations' AS auditSource, "
+        f"{DECL_WITH} SELECT charge_reference, 'passlane' AS auditSource, "
         f"{_q(S.AUDIT_TYPE)} AS auditType, {_q(S.AUDIT_TRANSACTION_NAME)} AS transactionName, "
         "o_orderpriority = '1-URGENT' AS isPrivateTravel, charge_reference AS detail_reference "
         f"FROM decl WHERE {PAID_FOR_SUB}")

@@ -276,7 +276,7 @@ def document(message_type: str, stamped: bool = True) -> Column:
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receiptDate"),
         (F.concat(ref, F.lit("0")) if stamped else F.lit(None).cast("string"))
         .alias("acknowledgementReference"),
-        F.array(F.struct(F.lit("REGIME").alias("paramName"), F.lit("PNGR").alias("paramValue")))
+        F.array(F.struct(F.lit("REGIME").alias("paramName"), F.lit("PASSENGER").alias("paramValue")))
         .alias("requestParameters"),
     )
     return F.struct(F.struct(common.alias("requestCommon"), F.struct(*detail).alias("requestDetail"))
