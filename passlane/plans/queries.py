@@ -426,17 +426,21 @@ def q_receipt_triggers(spark, sf_dir):
     return FO.receipt_triggers(_outcomes(Inputs(spark, sf_dir))).select("event_id", "ref_value", "level")
 
 
-def _batch(i: Inputs, amendment: bool) -> DataFrame:
-    """Submission batch: work list → unlocked → refined → numbered into dispatch slots."""
+def _batch_rows(i: Inputs, amendment: bool) -> DataFrame:
+    """Submission batch rows: work list → unlocked → refined payload."""
     pick = W.amendments_for_submission if amendment else W.paid_for_submission
     rows = L.exclude_locked(pick(i.declarations), i.locks, i.as_of)
     doc = "amend_data" if amendment else "data"
-    refined = D.refine_payload(rows, doc)
+    return D.refine_payload(rows, doc).withColumn("is_amendment", F.lit(amendment))
+
+
+def _batch(i: Inputs, amendment: bool) -> DataFrame:
+    """Submission batch: rows numbered into dispatch slots, with correlation ids."""
+    refined = _batch_rows(i, amendment)
     numbered = I.assign_references(refined, 0, ["ref_value"], value_col="seq")
     # configured throttle: one element per second
     slotted = I.dispatch_slots(numbered, elements=1, per_seconds=1)
-    return (slotted.withColumn("is_amendment", F.lit(amendment))
-            .withColumn("correlation", D.pick_correlation(slotted, F.lit(amendment))))
+    return slotted.withColumn("correlation", D.pick_correlation(slotted, F.lit(amendment)))
 
 
 @query
@@ -461,7 +465,7 @@ def q_dispatch_slots(spark, sf_dir):
 @query
 def q_classify_responses(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    batch = _batch(i, False).unionByName(_batch(i, True))
+    batch = _batch_rows(i, False).unionByName(_batch_rows(i, True))
     c = FO.classify_responses(i.submission_responses, batch)
     return c.select("charge_reference", "is_amendment", "http_status", "result")
 
@@ -469,7 +473,7 @@ def q_classify_responses(spark, sf_dir):
 @query
 def q_apply_submission_results(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    batch = _batch(i, False)
+    batch = _batch_rows(i, False)
     c = FO.classify_responses(i.submission_responses, batch)
     out = FO.apply_submission_results(batch.select(*i.declarations.columns), c, i.as_of)
     return out.select(*KEY_COLS, "result")
@@ -478,7 +482,7 @@ def q_apply_submission_results(spark, sf_dir):
 @query
 def q_apply_amendment_results(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    batch = _batch(i, True)
+    batch = _batch_rows(i, True)
     c = FO.classify_responses(i.submission_responses, batch)
     out = FO.apply_amendment_results(batch.select(*i.declarations.columns), c, i.as_of)
     return out.select(*KEY_COLS, "result")
