@@ -15,12 +15,17 @@ from passlane.session import ensure_checkpoint_dir
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of an Arrow batch; a worker holds a few batches of whole texts at a time.
+BATCH_ROWS = 500
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers.
+    """Make this package importable in Python workers, and bound their Arrow batches.
 
     Nothing is done where PYTHONPATH or the working folder already leads to it; else the
     package goes to the executors as a zip through Spark's own file distribution.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if any(p and os.path.isdir(os.path.join(p, "passlane", "llm")) for p in paths):
         return

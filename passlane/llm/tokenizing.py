@@ -39,7 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLANKS = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 #: Distinct chunks remembered by a worker.
-MEMORY = 600_000
+MEMORY = 250_000
 #: A window reaches at least this far on either side, longer than any special token.
 MARGIN = 32
 
