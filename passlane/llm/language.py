@@ -286,9 +286,7 @@ def learn(docs: DataFrame, per_language: int = 80, sample_chars: int = 20_000) -
     return fit([(r["lang"], r["text"]) for r in rows])
 
 
-def identify(docs: DataFrame, model: dict | None, spans: bool = False) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; with ``spans`` also ``lang_spans`` (runs of words
-    of one language: start, end in code points, language; else null)."""
+def _identified(docs: DataFrame, model: dict | None, spans: bool, out: str) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -297,7 +295,7 @@ def identify(docs: DataFrame, model: dict | None, spans: bool = False) -> DataFr
         model = shared.value
         labeller = labeller_of(model) if model else None
         for text in parts:
-            out = [(UNKNOWN, 0.0, [] if spans else None)] * len(text)
+            rows = [(UNKNOWN, 0.0, [] if spans else None)] * len(text)
             if labeller is not None:
                 whole = ["" if t is None else t for t in text]
                 for k, (starts, ends, found) in enumerate(labeller.label(whole)):
@@ -311,15 +309,21 @@ def identify(docs: DataFrame, model: dict | None, spans: bool = False) -> DataFr
                             last = np.append(first[1:], len(labels)) - 1
                             runs = [{"start": int(starts[a]), "end": int(ends[b]), "lang": labeller.languages[labels[a]]}
                                     for a, b in zip(first, last, strict=True)]
-                        out[k] = labeller.languages[best], min(1.0, float(total[best] / len(found))), runs
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "lang_spans"])
+                        rows[k] = labeller.languages[best], min(1.0, float(total[best] / len(found))), runs
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "lang_spans"])
+
+    return docs.withColumn(out, predict("text"))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")]
-    return docs.select(*kept, predict("text").alias("_found")).select(*kept, "_found.*")
+
+def identify(docs: DataFrame, model: dict | None, spans: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; with ``spans`` also ``lang_spans`` (runs of words
+    of one language: start, end in code points, language). They replace columns of those names."""
+    new = ["lang_pred", "score", *["lang_spans"] * spans]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return _identified(docs, model, spans, "_language").select(*kept, *[F.col(f"_language.{c}") for c in new])
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without those of no language or of a score under ``least``, all columns kept."""
-    found = identify(docs, learn(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    found = _identified(docs, learn(docs), False, "_language")
+    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")

@@ -146,8 +146,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``: array of (start, order, end, kind), sorted; code points, end exclusive."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
+    """``docs`` with ``out``: array of (start, order, end, kind), sorted; code points, end exclusive.
+
+    It replaces a column of that name."""
     indexed = [r for r in rules if trigram_query(r.pattern) is not None]
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
@@ -155,11 +157,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for order, rule in enumerate(rules):
         due = F.array_contains("_kinds", rule.kind) if rule in indexed else text.rlike(rule.pattern)
         found.append(F.when(due, _spans(text, rule, order)).otherwise(none))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "secret_spans"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
     if indexed:
         picked = candidates(docs, indexed).select(F.col("doc").alias("_doc"), F.col("kinds").alias("_kinds"))
         docs = docs.withColumn("_row", _key()).join(picked, F.col("_row") == F.col("_doc"), "left")
-    return docs.select(*kept, F.array_sort(F.concat(*found)).alias("secret_spans"))
+    return docs.select(*kept, F.array_sort(F.concat(*found)).alias(out))
 
 
 def listed(spans: Column) -> Column:
@@ -188,10 +190,11 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "
         put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    masked = F.aggregate("_secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                          lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = F.size("secret_spans") > 0
-    out = find_secrets(docs, rules).withColumn("text", F.when(changed, masked).otherwise(F.col("text")))
+    changed = F.size("_secret_spans") > 0
+    out = find_secrets(docs, rules, "_secret_spans").withColumn("_masked", F.when(changed, masked).otherwise(F.col("text")))
+    new = {"text": F.col("_masked")}
     if length_column in docs.columns:
-        out = out.withColumn(length_column, F.when(changed, F.length("text").cast("long")).otherwise(F.col(length_column)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length_column] = F.when(changed, F.length("_masked").cast("long")).otherwise(F.col(length_column))
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -292,8 +292,8 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
     short = docs.where(~is_long).withColumn("ids", encode("text"))
     long = docs.where(is_long).withColumn("_key", md5_of(F.col("text")))
     texts = long.select(F.col("_key").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    done = _encode_long(texts, path, leaf_chars, spread_chars)
-    return short.unionByName(long.join(done, F.col("_key") == F.col("key")).drop("_key", "key"))
+    done = _encode_long(texts, path, leaf_chars, spread_chars).select(F.col("key").alias("_done"), F.col("ids").alias("ids"))
+    return short.unionByName(long.join(done, F.col("_key") == F.col("_done")).drop("_key", "_done"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
