@@ -34,10 +34,21 @@ def _v(col: str) -> Column:
 
 
 def jget(doc: Column, path: str, typ: str = "string") -> Column:
-    """Typed field of a Variant document (null when missing or of another type)."""
+    """Field of a Variant document as ``typ`` (null when missing or not castable to it)."""
     return F.try_variant_get(doc, path, typ)
 
 
+_JSON_TYPES = {"string": ("STRING",), "boolean": ("BOOLEAN",), "int": ("BIGINT",)}
+
+
+def jstrict(doc: Column, path: str, typ: str) -> Column:
+    """Field of a Variant document whose JSON type is ``typ`` itself; null otherwise.
+
+    A number is no string and ``"true"`` is no boolean, as in the JSON reader being matched."""
+    return F.when(F.schema_of_variant(F.try_variant_get(doc, path, "variant")).isin(*_JSON_TYPES[typ]),
+                  F.try_variant_get(doc, path, typ))
+
+
 # -- typed submission payload -----------------------------------------------------
 
 def _typed_schema(dt: T.DataType, required: dict[str, list[str]], path: str = "") -> dict:
@@ -55,7 +66,7 @@ def _typed_schema(dt: T.DataType, required: dict[str, list[str]], path: str = ""
     return {"type": "string"}
 
 
-# Non-optional fields of the typed payload (absent → the payload cannot be built).
+# Non-optional fields of the typed payload (absent → the payload cannot be built).
 PAYLOAD_REQUIRED = {
     "": ["simpleDeclarationRequest"],
     "/simpleDeclarationRequest": ["requestCommon", "requestDetail"],
@@ -148,7 +159,10 @@ def explode_items(df: DataFrame, key_cols: list[str]) -> DataFrame:
 # -- receipts ------------------------------------------------------------------------------
 
 def receipt_parameters(df: DataFrame, doc_col: str = "chosen") -> DataFrame:
-    """The thirteen receipt parameters as columns, plus ``email`` and ``params`` (a map)."""
+    """The thirteen receipt parameters as columns, plus ``email`` and ``params`` (a map).
+
+    ``receipt_error``: why no receipt can be made (null: it can): a section without its item
+    array, or a date or time that is none."""
     doc = _v(doc_col)
     df = goods_items(df.withColumn("__d", F.col(doc_col)), "__d")
     s = lambda path: F.coalesce(jget(doc, path), F.lit(""))
@@ -183,7 +197,10 @@ def receipt_parameters(df: DataFrame, doc_col: str = "chosen") -> DataFrame:
         out = out.withColumn(k, c)
     params = F.create_map(*[x for k in S.RECEIPT_PARAMETER_KEYS for x in (F.lit(k), F.col(k))])
     return (out.withColumn("email", s(f"{DETAIL}.contactDetails.emailAddress"))
-            .withColumn("params", params).drop("__d"))
+            .withColumn("params", params)
+            .withColumn("receipt_error", F.when(F.col("items_error"), "items").when(F.col("DATE").isNull(), "receipt date")
+                        .when(F.col("DATEOFARRIVAL").isNull(), "arrival date")
+                        .when(F.col("TIMEOFARRIVAL").isNull(), "arrival time")).drop("__d"))
 
 
 def receipt_recipients(params_df: DataFrame,
@@ -199,15 +216,38 @@ def receipt_recipients(params_df: DataFrame,
             .drop("r"))
 
 
-def receipt_requests(df: DataFrame, disable_zero_pound: bool = False,
-                     copy_addresses: tuple[str, str] = DEFAULT_COPY_ADDRESSES) -> DataFrame:
-    """Whole receipt job for declarations: choose the document, drop zero-pound ones when
-    the switch is on, build parameters and recipients."""
+def _receipts(df: DataFrame, disable_zero_pound: bool) -> DataFrame:
+    """Receipt parameters of rows whose document exists and may need a receipt."""
     chosen = amendment_or_original(df).where(F.col("chosen_source") != "error")
     if disable_zero_pound:
         zero = F.lower(F.coalesce(jget(_v("chosen"), f"{LIABILITY}.grandTotalGBP"), F.lit(""))) == "0.00"
         chosen = chosen.where(~zero)
-    return receipt_recipients(receipt_parameters(chosen, "chosen"), copy_addresses)
+    return receipt_parameters(chosen, "chosen")
+
+
+def receipt_requests(df: DataFrame, disable_zero_pound: bool = False,
+                     copy_addresses: tuple[str, str] = DEFAULT_COPY_ADDRESSES) -> DataFrame:
+    """Whole receipt job for declarations: choose the document, drop zero-pound ones when
+    the switch is on, build parameters and recipients; refused rows send nothing."""
+    good = _receipts(df, disable_zero_pound).where(F.col("receipt_error").isNull())
+    return receipt_recipients(good, copy_addresses)
+
+
+def refused_receipts(df: DataFrame, disable_zero_pound: bool = False) -> DataFrame:
+    """The rows for which no receipt can be made, with ``receipt_error``."""
+    lost = amendment_or_original(df).where(F.col("chosen_source") == "error").select(
+        "charge_reference", F.lit("amendment document").alias("receipt_error"))
+    bad = _receipts(df, disable_zero_pound).where(F.col("receipt_error").isNotNull())
+    return lost.unionByName(bad.select("charge_reference", "receipt_error"))
+
+
+def triggered_receipts(triggers: DataFrame, declarations: DataFrame, disable_zero_pound: bool = False,
+                       copy_addresses: tuple[str, str] = DEFAULT_COPY_ADDRESSES) -> DataFrame:
+    """Receipt requests fired by payments: one set for each trigger (event_id, ref_value)."""
+    fired = triggers.select("event_id", F.col("ref_value").alias("__ref"))
+    rows = declarations.join(fired.select("__ref").distinct(), F.col("ref_value") == F.col("__ref"), "left_semi")
+    made = receipt_requests(rows, disable_zero_pound, copy_addresses)
+    return made.join(fired, F.col("ref_value") == F.col("__ref")).drop("__ref")
 
 
 # -- audit, view, stamping -------------------------------------------------------------------
@@ -216,7 +256,7 @@ def audit_events(refined: DataFrame, app_name: str = "passlane",
                  journey_col: str = "journey_data") -> DataFrame:
     """Audit rows: the refined payload as detail plus ``isPrivateTravel`` when the journey
     data carries ``privateCraft``; constant type and transaction tag."""
-    private = jget(_v(journey_col), "$.privateCraft", "boolean")
+    private = jstrict(_v(journey_col), "$.privateCraft", "boolean")
     # null when journey data has no flag; ``to_json`` then leaves the field out
     detail = F.col("payload").withField("isPrivateTravel", private)
     return refined.where(F.col("parse_ok")).select(
@@ -229,24 +269,33 @@ def audit_events(refined: DataFrame, app_name: str = "passlane",
 
 
 def previous_declaration_view(df: DataFrame) -> DataFrame:
-    """The twelve-field view returned by a previous-declaration lookup."""
+    """The twelve-field view returned by a previous-declaration lookup, and ``view_error``: a
+    member that the view cannot do without is missing or of another JSON type."""
     j = _v("journey_data")
     d = _v("data")
-    return df.select(
+    obj = lambda doc, path: jget(doc, path, "map<string,variant>").isNotNull()
+    out = df.select(
         "*",
-        jget(j, "$.euCountryCheck").alias("euCountryCheck"),
-        jget(j, "$.arrivingNICheck", "boolean").alias("arrivingNI"),
-        jget(j, "$.ageOver17", "boolean").alias("isOver17"),
-        jget(j, "$.isUKResident", "boolean").alias("isUKResident"),
-        jget(j, "$.privateCraft", "boolean").alias("isPrivateTravel"),
+        jstrict(j, "$.euCountryCheck", "string").alias("euCountryCheck"),
+        jstrict(j, "$.arrivingNICheck", "boolean").alias("arrivingNI"),
+        jstrict(j, "$.ageOver17", "boolean").alias("isOver17"),
+        jstrict(j, "$.isUKResident", "boolean").alias("isUKResident"),
+        jstrict(j, "$.privateCraft", "boolean").alias("isPrivateTravel"),
         F.to_json(jget(j, "$.userInformation", "variant")).alias("userInformation"),
         F.to_json(jget(j, "$.calculatorResponse.calculation", "variant")).alias("calculation"),
         F.to_json(jget(d, LIABILITY, "variant")).alias("liabilityDetails"),
         F.to_json(jget(j, "$.purchasedProductInstances", "variant")).alias("oldPurchaseProductInstances"),
-        jget(j, "$.amendmentCount", "int").alias("amendmentCount"),
+        jstrict(j, "$.amendmentCount", "int").alias("amendmentCount"),
         F.to_json(jget(j, "$.deltaCalculation", "variant")).alias("deltaCalculation"),
         F.coalesce(F.col("amend_state"), F.lit("None")).alias("amendState"),
+        (obj(j, "$.userInformation") & obj(j, "$.calculatorResponse.calculation") & obj(d, LIABILITY)
+         & jget(j, "$.purchasedProductInstances", "array<variant>").isNotNull()).alias("__whole"),
     )
+    needed = ("euCountryCheck", "arrivingNI", "isOver17", "isPrivateTravel")
+    missing = F.col(needed[0]).isNull()
+    for c in needed[1:]:
+        missing = missing | F.col(c).isNull()
+    return out.withColumn("view_error", missing | ~F.col("__whole")).drop("__whole")
 
 
 def stamp_reference(df: DataFrame, raw_col: str, reference_col: str) -> DataFrame:

@@ -9,20 +9,23 @@ Successful positions per key matter:
 * ``s1``, ``s2`` = the first and second Successful ``(ts, event_id)`` of the key;
 * ``k = 0`` while the row is at or before ``s1``, ``1`` up to ``s2``, else ``≥ 2``.
 
-``s1`` and ``s2`` are per-key minima: partial hash aggregates that shuffle one row
-per key and task, and joins on the key that AQE splits when one key is hot. No
-per-key window or collection is used, so a key holding a third of all
-notifications is spread over many tasks.
+``s1`` and ``s2`` come from a rank limited to two, which Spark applies before the
+shuffle: at most two rows per key and task move. What is known of a key (its declaration
+row, its live lock, ``s1`` and ``s2``) is joined first, one row per key, and meets the
+messages in a single join; the key is widened there, so that both sides are shuffled for
+that join alone and AQE can split the partition of a hot key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from passlane import schema as S
 from passlane.functions.refs import decode_reference
 from passlane.operators import locks as L
+from passlane.operators.documents import audit_events, jstrict
 from passlane.operators import worklists as W
 from passlane.operators.worklists import _ts
 
@@ -39,8 +42,8 @@ def intake_notifications(raw: DataFrame) -> DataFrame:
     A body without a string ``status`` and ``reference`` is a bad shape; a reference
     that does not decode is a bad reference. Both are refused (400)."""
     p = raw.withColumn("__j", F.expr("try_parse_json(raw)"))
-    status = F.try_variant_get("__j", "$.status", "string")
-    reference = F.try_variant_get("__j", "$.reference", "string")
+    status = jstrict(F.col("__j"), "$.status", "string")
+    reference = jstrict(F.col("__j"), "$.reference", "string")
     p = p.select("event_id", "ts", status.alias("status"), reference.alias("reference"))
     p = p.withColumn("ref_value", decode_reference(F.col("reference")))
     reason = (F.when(F.col("status").isNull() | F.col("reference").isNull(), F.lit("bad_shape"))
@@ -67,16 +70,19 @@ def payment_outcomes(notes: DataFrame, declarations: DataFrame, locks: DataFrame
     ``applied`` (the notification changes a state) and ``new_state``.
     """
     good = notes.where(F.col("reject_reason").isNull()) if "reject_reason" in notes.columns else notes
-    joined = notify_join(good, declarations)
-    held = L.live_locks(locks, as_of).select(F.col("lock_id").alias("__lock"))
-    joined = joined.join(held, joined["ref_value"] == held["__lock"], "left")
-
-    succ = good.where(F.col("status") == S.SUCCESSFUL).select("ref_value", _pos().alias("p"))
-    s1 = succ.groupBy("ref_value").agg(F.min("p").alias("s1"))
-    s2 = (succ.join(s1, "ref_value").where(F.col("p") > F.col("s1"))
-          .groupBy("ref_value").agg(F.min("p").alias("s2")))
-    firsts = s1.join(s2, "ref_value", "left")
-    j = joined.join(firsts, "ref_value", "left")
+    order = Window.partitionBy("ref_value").orderBy("p")
+    firsts = (good.where(F.col("status") == S.SUCCESSFUL).select("ref_value", _pos().alias("p"))
+              .distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2)
+              .groupBy("ref_value").agg(F.min(F.when(F.col("n") == 1, F.col("p"))).alias("s1"),
+                                        F.min(F.when(F.col("n") == 2, F.col("p"))).alias("s2")))
+    held = L.live_locks(locks, as_of).select(F.col("lock_id").alias("__lock")).distinct()
+    known_keys = declarations.select("ref_value", F.col("state").alias("decl_state"),
+                                     F.col("amend_state").alias("decl_amend_state"))
+    known_keys = (known_keys.join(held, known_keys["ref_value"] == held["__lock"], "left")
+                  .join(firsts, "ref_value", "left").withColumn("__k", F.col("ref_value").cast("long"))
+                  .drop("ref_value"))
+    j = (good.join(known_keys, F.col("ref_value").cast("long") == F.col("__k"), "left")
+         .withColumn("found", F.col("__k").isNotNull()).drop("__k"))
 
     pos = _pos()
     k = (F.when(F.col("s1").isNull() | (pos <= F.col("s1")), F.lit(0))
@@ -142,19 +148,23 @@ def receipt_triggers(outcomes: DataFrame) -> DataFrame:
 # -- submission responses -----------------------------------------------------------------
 
 def classify_responses(responses: DataFrame, batch: DataFrame | None = None) -> DataFrame:
-    """``result``: 204 → Submitted, 400 → Failed, other → Error; a row whose payload
-    could not be built (``parse_ok`` false in ``batch``) → ParsingException."""
+    """``result``: 204 → Submitted, 400 → Failed, other → Error; a row of ``batch`` whose
+    document is missing (an amendment without its data) → Error, one whose payload could not
+    be built (``parse_ok`` false) → ParsingException."""
     r = responses
     if batch is not None:
-        b = batch.select("charge_reference", "is_amendment", F.col("parse_ok").alias("__ok"))
+        doc = F.when(F.col("is_amendment"), F.col("amend_data")).otherwise(F.col("data"))
+        b = batch.select("charge_reference", "is_amendment", F.col("parse_ok").alias("__ok"),
+                         doc.isNull().alias("__no_doc"))
         r = r.join(b, ["charge_reference", "is_amendment"], "left")
     else:
-        r = r.withColumn("__ok", F.lit(True))
-    result = (F.when(F.col("__ok") == F.lit(False), F.lit("ParsingException"))
+        r = r.withColumn("__ok", F.lit(True)).withColumn("__no_doc", F.lit(False))
+    result = (F.when(F.col("__no_doc"), F.lit("Error"))
+              .when(F.col("__ok") == F.lit(False), F.lit("ParsingException"))
               .when(F.col("http_status") == 204, F.lit("Submitted"))
               .when(F.col("http_status") == 400, F.lit("Failed"))
               .otherwise(F.lit("Error")))
-    return r.withColumn("result", result).drop("__ok")
+    return r.withColumn("result", result).drop("__ok", "__no_doc")
 
 
 def _apply_results(batch: DataFrame, classified: DataFrame, as_of, amendment: bool) -> DataFrame:
@@ -185,8 +195,24 @@ def apply_amendment_results(batch: DataFrame, classified: DataFrame, as_of) -> D
     return _apply_results(batch, classified, as_of, amendment=True)
 
 
+def submitted_audit(batch: DataFrame, classified: DataFrame) -> DataFrame:
+    """Audit rows of a refined batch (``payload``, ``parse_ok``, ``is_amendment``): one for each
+    row whose result is Submitted, with the document that was sent."""
+    sent = classified.where(F.col("result") == "Submitted").select("charge_reference", "is_amendment").distinct()
+    return audit_events(batch.join(sent, ["charge_reference", "is_amendment"], "left_semi"))
+
+
 # -- requeue and removals --------------------------------------------------------------------
 
+def held_locks(rows: DataFrame, as_of) -> DataFrame:
+    """The lock rows that a requeue, timeout or deletion job holds for the rows it took.
+
+    These jobs take only rows whose key is free and never release their locks."""
+    stamp = _ts(as_of)
+    return rows.select(F.col("ref_value").cast("int").alias("lock_id")).distinct().select(
+        "lock_id", stamp.alias("last_updated"), stamp.alias("last_updated_date"))
+
+
 def requeue_failed(declarations: DataFrame, locks: DataFrame, as_of) -> DataFrame:
     """Unlocked submission-failed rows set back to paid, last_updated = as_of."""
     rows = L.exclude_locked(W.failed_declarations(declarations), locks, as_of)

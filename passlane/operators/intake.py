@@ -1,14 +1,16 @@
 """Intake: reference numbering, stamping, validation and the accept / reject split.
 
 ``assign_references`` gives every eligible submission the next counter value in
-arrival order, gap-free, without ever sorting the whole batch in one task:
+arrival order, gap-free, without ever sorting the whole batch in one task and without
+moving documents for it:
 
-1. range-partition the batch by the arrival key and tag rows with their partition
-   id; checkpoint that stage so both passes below see one fixed layout;
-2. count rows per partition (one small aggregate: one row per partition) and turn
+1. range-partition the order keys alone and tag them with their partition id; checkpoint
+   that narrow stage so both passes below see one fixed layout;
+2. count keys per partition (one small aggregate: one row per partition) and turn
    the counts into offsets with a window over that tiny table;
 3. join the offsets back (broadcast: the table has one row per partition, a bound
-   known before the join) and add ``row_number`` within each partition.
+   known before the join) and add ``row_number`` within each partition;
+4. join the numbers to the documents on the order key, the one shuffle of documents.
 
 Numbers are consumed by every submission that reaches the counter, including
 those that then fail validation, so accepted references have gaps.
@@ -16,7 +18,7 @@ those that then fail validation, so accepted references have gaps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,26 +34,26 @@ DECLARATION_PATH = "$.simpleDeclarationRequest.requestDetail.declarationHeader.c
 
 def assign_references(df: DataFrame, start: int, order_cols: list[str],
                       partitions: int | None = None, value_col: str = "ref_value") -> DataFrame:
-    """Adds ``value_col`` = start + 1, start + 2, ... in ``order_cols`` order."""
-    spark: SparkSession = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # range partitions grow with the input (one per input split at least), so each
-    # numbering task holds a bounded slice however large the batch is
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          df.rdd.getNumPartitions())
-    staged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("__part", F.spark_partition_id())
-              .checkpoint(eager=True))
+    """Adds ``value_col`` = start + 1, start + 2, ... in the order of ``order_cols``, which
+    identify a row."""
+    ensure_checkpoint_dir(df.sparkSession)
+    order = [F.col(c) for c in order_cols]
+    keys = df.select(*order)
+    ranged = keys.repartitionByRange(partitions, *order) if partitions else keys.repartitionByRange(*order)
+    staged = ranged.withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
     counts = staged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: a window without partitioning is bounded by ``n`` rows
+    # one row per shuffle partition: a window without partitioning is bounded by their number
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0))
                             .cast("long").alias("__offset"))
-    within = Window.partitionBy("__part").orderBy(*order_cols)
-    return (staged.join(F.broadcast(offsets), "__part")
-            .withColumn(value_col, (F.lit(int(start)) + F.col("__offset")
-                                    + F.row_number().over(within)).cast("int"))
-            .drop("__part", "__offset"))
+    within = Window.partitionBy("__part").orderBy(*order)
+    numbers = staged.join(F.broadcast(offsets), "__part").select(
+        *[F.col(c).alias(f"__key_{c}") for c in order_cols],
+        (F.lit(int(start)) + F.col("__offset") + F.row_number().over(within)).cast("int").alias(value_col))
+    same = F.lit(True)
+    for c in order_cols:
+        same = same & df[c].eqNullSafe(numbers[f"__key_{c}"])
+    return df.join(numbers, same).drop(*[f"__key_{c}" for c in order_cols])
 
 
 def dispatch_slots(numbered: DataFrame, elements: int = 1, per_seconds: int = 1,
@@ -137,33 +139,36 @@ def accept_amendments(raw_df: DataFrame, declarations: DataFrame, locks: DataFra
     """(after-images of amended rows, outcomes per amendment).
 
     Steps: correlation id required → validate (no stamping) → reference read from
-    the document and decoded → key join with the table (unmatched is an error) →
-    live lock gives 423. The amendment overwrites any earlier amendment; within one
+    the document and decoded → live lock gives 423 → key join with the table (unmatched
+    is an error) → journey data required. The amendment overwrites any earlier amendment; within one
     batch the last arrival per key wins. State, sent flag and data are kept.
     """
     has_cid = F.col("correlation_id").isNotNull()
     v = _document_parts(validate_documents(raw_df.where(has_cid), "raw"))
-    v = v.withColumn("__ref", decode_reference(
-        F.expr(f"try_variant_get(__doc, '{DECLARATION_PATH}', 'string')")))
-    held = L.live_locks(locks, as_of).select(F.col("lock_id").alias("__lock"))
+    # what decides an amendment, without its document
+    v = v.select(order_col, (F.size("errors") > 0).alias("__invalid"), "__journey_ok", decode_reference(
+        F.expr(f"try_variant_get(__doc, '{DECLARATION_PATH}', 'string')")).alias("__ref"))
+    held = L.live_locks(locks, as_of).select(F.col("lock_id").alias("__lock")).distinct()
     keys = declarations.select(F.col("ref_value").alias("__key"))
     v = (v.join(keys, v["__ref"] == keys["__key"], "left")
          .join(held, v["__ref"] == held["__lock"], "left"))
-    outcome = (F.when(F.size("errors") > 0, F.lit("invalid"))
-               .when(~F.col("__journey_ok"), F.lit("no_journey_data"))
+    outcome = (F.when(F.col("__invalid"), F.lit("invalid"))
                .when(F.col("__ref").isNull(), F.lit("bad_reference"))
                .when(F.col("__lock").isNotNull(), F.lit("locked"))
                .when(F.col("__key").isNull(), F.lit("not_found"))
+               .when(~F.col("__journey_ok"), F.lit("no_journey_data"))
                .otherwise(F.lit("accepted")))
-    v = v.withColumn("outcome", outcome)
-    outcomes = v.select(order_col, F.col("__ref").alias("ref_value"), "outcome").unionByName(
+    v = v.select(order_col, F.col("__ref").alias("ref_value"), outcome.alias("outcome"))
+    outcomes = v.unionByName(
         raw_df.where(~has_cid).select(order_col, F.lit(None).cast("int").alias("ref_value"),
                                       F.lit("missing_correlation_id").alias("outcome")))
-    # last arrival per key wins: a partial aggregate, no per-key collection
-    latest = (v.where(F.col("outcome") == "accepted")
-              .groupBy(F.col("__ref").alias("ref_value"))
-              .agg(F.max_by(F.struct("correlation_id", "journey_data", "data"), F.col(order_col))
-                   .alias("a")))
+    # last arrival per key wins: a partial aggregate, no per-key collection; only the documents
+    # of the winners are joined
+    winners = (v.where(F.col("outcome") == "accepted").groupBy("ref_value")
+               .agg(F.max(order_col).alias("__last")))
+    taken = raw_df.where(has_cid).join(winners, F.col(order_col) == F.col("__last"))
+    latest = _document_parts(taken.withColumn("__doc", F.expr("try_parse_json(raw)"))).select(
+        "ref_value", F.struct("correlation_id", "journey_data", "data").alias("a"))
     after = declarations.join(latest, "ref_value").select(
         "charge_reference", "ref_value", "state",
         F.lit(S.PENDING_PAYMENT).alias("amend_state"),

@@ -5,18 +5,20 @@ pattern both find a match (case-insensitive, unanchored) in the row's reference
 and last name, the row is paid, and its amendment is absent, paid or pending.
 The first match per request is kept (smallest reference: a deterministic order).
 
-Lanes, so only true regexes pay for a nested-loop join:
-
-1. *exact*: a full reference (``^[Xx][A-Za-z][Pp][Rr]\\d{10}$``) can only match by
-   equality → equi join on the upper-cased reference;
-2. *gram*: a pattern made of letters, digits and ``.`` with a literal run of at
-   least ``GRAM`` characters → equi join on that run's first ``GRAM`` characters
-   against the ``GRAM``-grams of the 14-character references (ten per row), then
-   the full pattern is checked on the candidates;
+Equal requests are looked up once. Lanes, so only true regexes pay for a nested-loop join
+(a *token* is a letter, a digit, ``.`` or a character class without negation):
+
+1. *number*: four tokens and ten digits. References have 14 characters, so such a pattern
+   can only match with its digits in place → equi join on the ten digits;
+2. *gram*: tokens with a literal run of at least ``GRAM`` characters → equi join on the
+   ``GRAM``-gram of its runs that fewest references hold (counted first; a gram that none
+   holds ends the request), then the full pattern is checked on the candidates;
 3. *scan*: everything else → nested-loop join against a broadcast of the lane's
    requests, in chunks of at most ``max_broadcast`` requests, so the broadcast
    side has a checked bound and no request is dropped.
 
+A row without a last name matches no pattern, the empty one included.
+
 Patterns are compiled on the request table first (``try_reflect``); a pattern
 that does not compile is reported, not run (it would fail the whole job).
 """
@@ -27,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passlane import schema as S
+from passlane.operators.documents import jstrict
 
 GRAM = 5
-EXACT_RE = r"^[Xx][A-Za-z][Pp][Rr][0-9]{10}$"
-SIMPLE_RE = r"^[A-Za-z0-9.]+$"
+CLASS = r"\[[A-Za-z0-9-]+\]"
+TOKEN = rf"(?:[A-Za-z0-9.]|{CLASS})"
+NUMBER_RE = rf"^{TOKEN}{{4}}[0-9]{{10}}$"
+SIMPLE_RE = rf"^{TOKEN}+$"
 LAST_NAME_PATH = "$.simpleDeclarationRequest.requestDetail.personalDetails.lastName"
 
 
@@ -45,7 +50,12 @@ def _compiles(p: Column) -> Column:
 
 
 def intake_lookup_requests(requests: DataFrame) -> DataFrame:
-    """Adds ``reject_reason``: missing field (bad shape) or a pattern that does not compile."""
+    """Requests with ``reject_reason``: missing or non-string field (bad shape), or a pattern
+    that does not compile. Takes JSON bodies (``request_id, raw``) or parsed columns."""
+    if "raw" in requests.columns:
+        body = F.expr("try_parse_json(raw)")
+        requests = requests.select("request_id", jstrict(body, "$.lastName", "string").alias("lastName"),
+                                   jstrict(body, "$.referenceNumber", "string").alias("referenceNumber"))
     missing = F.col("lastName").isNull() | F.col("referenceNumber").isNull()
     bad = ~_compiles(F.col("lastName")) | ~_compiles(F.col("referenceNumber"))
     return requests.withColumn("reject_reason", F.when(missing, F.lit("bad_shape"))
@@ -58,56 +68,68 @@ def eligible_declarations(declarations: DataFrame) -> DataFrame:
     rows = declarations.where((F.col("state") == S.PAID)
                               & (amend.isNull() | amend.isin(S.PAID, S.PENDING_PAYMENT)))
     return rows.select("charge_reference", "ref_value",
-                       F.get_json_object("data", LAST_NAME_PATH).alias("last_name"))
+                       F.get_json_object("data", LAST_NAME_PATH).alias("last_name")).where(
+        F.col("last_name").isNotNull())
+
+
+def _grams(text: Column) -> Column:
+    """Distinct ``GRAM``-grams of a text, upper-cased."""
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - GRAM + 1),
+        lambda i: F.upper(F.substring(text, i, F.lit(GRAM)))))).otherwise(F.array().cast("array<string>"))
 
 
 def _lane(requests: DataFrame) -> DataFrame:
+    """Adds ``lane``, and ``grams``: those every match must hold."""
     ref = F.col("referenceNumber")
-    runs = F.regexp_extract_all(ref, F.lit(f"[A-Za-z0-9]{{{GRAM},}}"), 0)
-    longest = F.element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), 1)
-    lane = (F.when(ref.rlike(EXACT_RE), F.lit("exact"))
+    runs = F.regexp_extract_all(F.regexp_replace(ref, CLASS, "."), F.lit(f"[A-Za-z0-9]{{{GRAM},}}"), 0)
+    lane = (F.when(ref.rlike(NUMBER_RE), F.lit("number"))
             .when(ref.rlike(SIMPLE_RE) & (F.size(runs) > 0), F.lit("gram"))
             .otherwise(F.lit("scan")))
     return (requests.withColumn("lane", lane)
-            .withColumn("gram", F.when(F.col("lane") == "gram",
-                                       F.upper(F.substring(longest, 1, GRAM)))))
+            .withColumn("grams", F.array_distinct(F.flatten(F.transform(runs, _grams)))))
 
 
 def _verify(df: DataFrame) -> DataFrame:
     return df.where(F.regexp_like(F.col("charge_reference"), _ci(F.col("referenceNumber")))
-                    & F.regexp_like(F.coalesce(F.col("last_name"), F.lit("")), _ci(F.col("lastName"))))
+                    & F.regexp_like(F.col("last_name"), _ci(F.col("lastName")))).select(
+        "lastName", "referenceNumber", "charge_reference")
 
 
 def lookup_matches(requests: DataFrame, declarations: DataFrame, max_broadcast: int = 10_000
                    ) -> DataFrame:
     """All (request_id, charge_reference) pairs that match (before first-match)."""
-    reqs = _lane(intake_lookup_requests(requests).where(F.col("reject_reason").isNull()))
-    reqs = reqs.select("request_id", "lastName", "referenceNumber", "lane", "gram")
+    good = intake_lookup_requests(requests).where(F.col("reject_reason").isNull())
+    pairs = _lane(good.select("lastName", "referenceNumber").distinct())
     decl = eligible_declarations(declarations)
 
-    exact = reqs.where(F.col("lane") == "exact").withColumn("__ref", F.upper("referenceNumber"))
-    m_exact = exact.join(decl, exact["__ref"] == decl["charge_reference"]).drop("__ref")
+    number = pairs.where(F.col("lane") == "number").select(
+        "lastName", "referenceNumber", F.expr("right(referenceNumber, 10)").alias("digits"))
+    parts = [_verify(number.join(decl.withColumn("digits", F.expr("right(charge_reference, 10)")), "digits"))]
 
-    grams = decl.select("*", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("charge_reference") - GRAM + 1),
-        lambda i: F.upper(F.substring("charge_reference", i, GRAM))))).alias("gram"))
-    by_gram = reqs.where(F.col("lane") == "gram")
-    m_gram = by_gram.join(grams, "gram").drop("gram")
+    by_gram = pairs.where(F.col("lane") == "gram")
+    asked = by_gram.select("lastName", "referenceNumber", F.size("grams").alias("asked"), F.explode("grams").alias("gram"))
+    held = decl.select("*", F.explode(_grams(F.col("charge_reference"))).alias("gram"))
+    counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (asked.join(counts, "gram").groupBy("lastName", "referenceNumber").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.lit(1)).alias("found"), F.first("asked").alias("asked"))
+        .where(F.col("found") == F.col("asked")).select("lastName", "referenceNumber", "gram"))
+    parts.append(_verify(rarest.join(held, "gram")))
 
-    scan = reqs.where(F.col("lane") == "scan").drop("gram")
+    scan = pairs.where(F.col("lane") == "scan").select("lastName", "referenceNumber")
     n_scan = scan.count()
-    parts = [_verify(m_exact.drop("lane", "gram")), _verify(m_gram.drop("lane"))]
     if n_scan:
         chunks = max(1, -(-n_scan // max_broadcast))
-        scan = scan.withColumn("__chunk", F.pmod(F.hash("request_id"), F.lit(chunks)))
+        scan = scan.withColumn("__chunk", F.pmod(F.hash("lastName", "referenceNumber"), F.lit(chunks)))
         for c in range(chunks):
-            side = F.broadcast(scan.where(F.col("__chunk") == c).drop("__chunk", "lane"))
+            side = F.broadcast(scan.where(F.col("__chunk") == c).drop("__chunk"))
             parts.append(_verify(decl.join(side, F.regexp_like(
                 F.col("charge_reference"), _ci(F.col("referenceNumber"))))))
-    out = parts[0].select("request_id", "charge_reference")
+    out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select("request_id", "charge_reference"))
-    return out
+        out = out.unionByName(p)
+    return good.select("request_id", "lastName", "referenceNumber").join(
+        out, ["lastName", "referenceNumber"]).select("request_id", "charge_reference")
 
 
 def first_match(matches: DataFrame) -> DataFrame:

@@ -40,11 +40,3 @@ def status_gauges(decl: DataFrame) -> DataFrame:
     summary = status_summary(decl)
     pairs = ", ".join(f"'{S.GAUGE_NAMES[state]}', {name}" for name, state in SUMMARY_COLUMNS.items())
     return summary.selectExpr(f"stack({len(SUMMARY_COLUMNS)}, {pairs}) AS (metric, value)")
-
-
-def status_gauges_from_counts(pivoted: DataFrame) -> DataFrame:
-    """Gauge rows from a one-row table with one count column per state name
-    (a missing count is 0)."""
-    pairs = ", ".join(f"'{S.GAUGE_NAMES[state]}', CAST(coalesce(`{state}`, 0) AS BIGINT)"
-                      for state in SUMMARY_COLUMNS.values())
-    return pivoted.selectExpr(f"stack({len(SUMMARY_COLUMNS)}, {pairs}) AS (metric, value)")

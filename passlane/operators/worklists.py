@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from passlane import schema as S
 
 RECEIPT_DATE_PATH = "$.simpleDeclarationRequest.requestCommon.receiptDate"
-RECEIPT_DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+RECEIPT_DATE_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 
 
 def _ts(as_of) -> Column:
@@ -118,8 +118,9 @@ def stale_amendments(decl: DataFrame, as_of, timeout_seconds: int = S.PAYMENT_TI
 def receipt_timestamp(data: Column | None = None) -> Column:
     """receiptDate of the original document; null when missing or not in the strict format."""
     data = F.col("data") if data is None else data
-    return F.try_to_timestamp(F.get_json_object(data, RECEIPT_DATE_PATH),
-                              F.lit(RECEIPT_DATE_FORMAT)).cast("timestamp_ntz")
+    text = F.get_json_object(data, RECEIPT_DATE_PATH)
+    # a zone-free cast: the session time zone has gaps that these times do not
+    return F.when(text.rlike(RECEIPT_DATE_SHAPE), F.substring(text, 1, 19).try_cast("timestamp_ntz"))
 
 
 def retention_expired(decl: DataFrame, as_of, hold_seconds: int = S.DELETION_HOLD_SECONDS

@@ -25,7 +25,7 @@ from passlane.sources.tables import DriverTables
 
 AS_OF = bridge.AS_OF
 # Bump when a bridge formula changes so stored tables are derived again.
-BRIDGE_VERSION = "6"
+BRIDGE_VERSION = "7"
 
 _PARTITION_BY = {"declarations": ["state"]}
 
@@ -53,31 +53,43 @@ class Inputs:
         self.tables = DriverTables(spark, sf_dir)
         self.store = (os.environ.get("PASSLANE_TABLE_CACHE", "1") != "0") if store is None else store
 
+    def _fingerprint(self) -> str:
+        """Names, sizes and times of the source files, so that changed input gets new tables."""
+        fs, p = _fs(self.spark, self.sf_dir)
+        found, todo = [], [p]
+        while todo:
+            for s in fs.listStatus(todo.pop()):
+                if s.isDirectory():
+                    todo.append(s.getPath())
+                else:
+                    found.append(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}")
+        return "\n".join(sorted(found))
+
+    @cached_property
     def _root(self) -> str:
         base = ensure_checkpoint_dir(self.spark).rstrip("/")
-        key = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self.as_of}|{BRIDGE_VERSION}".encode())
+        key = hashlib.sha256(f"{self._fingerprint()}|{self.as_of}|{BRIDGE_VERSION}".encode())
         return f"{base}/passlane-tables/{key.hexdigest()[:16]}"
 
+    def _finished(self, name: str) -> str | None:
+        """A copy of the table whose write was committed, if there is one."""
+        fs, p = _fs(self.spark, f"{self._root}/{name}")
+        if not fs.exists(p):
+            return None
+        copies = sorted(s.getPath().toString() for s in fs.listStatus(p) if _exists(self.spark, f"{s.getPath()}/_SUCCESS"))
+        return copies[0] if copies else None
+
     def _stored(self, name: str, build, columns: list[str] | None = None) -> DataFrame:
+        """The table, from a committed copy. Every writer has a folder of its own, nothing is
+        renamed or deleted, and a copy without its ``_SUCCESS`` marker is never read."""
         if not self.store:
             return build()
-        path = f"{self._root()}/{name}"
-        if not _exists(self.spark, f"{path}/_SUCCESS"):
-            tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-            df = build()
-            if name in _PARTITION_BY:
-                writer = df.write.mode("overwrite").partitionBy(*_PARTITION_BY[name])
-            else:
-                # spread small derived tables over the cores so later scans run in parallel
-                n = self.spark.sparkContext.defaultParallelism
-                writer = df.repartition(n).write.mode("overwrite")
-            writer.parquet(tmp)
-            fs, src = _fs(self.spark, tmp)
-            _, dst = _fs(self.spark, path)
-            if not fs.exists(dst):      # first writer wins; a concurrent one drops its copy
-                fs.rename(src, dst)
-            else:
-                fs.delete(src, True)
+        if not (path := self._finished(name)):
+            path = f"{self._root}/{name}/copy-{uuid.uuid4().hex[:12]}"
+            # files of bounded size let later scans run in parallel, without a shuffle here
+            build().write.option("maxRecordsPerFile", 20_000).partitionBy(*_PARTITION_BY.get(name, ())).parquet(path)
+            if not _exists(self.spark, f"{path}/_SUCCESS"):
+                return build()
         df = self.spark.read.parquet(path)
         return df.select(*columns) if columns else df
 
@@ -123,7 +135,7 @@ class Inputs:
             self.__dict__.pop(name, None) if not store else None
         finally:
             self.store = store
-        return f"{self._root()}/{name}"
+        return self._finished(name)
 
     def build_all(self) -> None:
         """Derive and store every domain table now (bench warm-up)."""

@@ -236,17 +236,17 @@ o3 AS (
 BATCH_CTE = """
 batch0 AS (
   SELECT d.*, false AS is_amendment, correlation_id AS correlation FROM decl d
-  WHERE state = 'paid' AND NOT sent_to_hod AND ref_value NOT IN (SELECT lock_id FROM live)
+  WHERE state = 'paid' AND NOT sent_to_hod
   UNION ALL
   SELECT d.*, true, amend_correlation_id FROM decl d
   WHERE state = 'paid' AND sent_to_hod AND amend_state = 'paid' AND amend_sent_to_hod = false
-    AND ref_value NOT IN (SELECT lock_id FROM live)
 ),
-batch AS (
+batch1 AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY is_amendment ORDER BY ref_value) AS BIGINT) AS seq,
          CAST(row_number() OVER (PARTITION BY is_amendment ORDER BY ref_value) - 1 AS BIGINT) AS slot
   FROM batch0
 ),
+batch AS (SELECT * FROM batch1 WHERE ref_value NOT IN (SELECT lock_id FROM live)),
 resp AS (
   SELECT charge_reference, CASE WHEN ref_value % 4 < 2 THEN 204 WHEN ref_value % 4 = 2 THEN 400
          ELSE 503 END AS http_status, false AS is_amendment FROM decl WHERE state = 'paid'
@@ -364,8 +364,8 @@ def oracle_sql() -> dict[str, str]:
         "JOIN num n ON n.seq = f.seq WHERE f.rn = 1 "
         "UNION ALL SELECT seq, ref_value, 'journeyData is missing or not an object', CAST(1 AS BIGINT) "
         "FROM num WHERE seq % 37 = 0 AND seq NOT IN (SELECT seq FROM errs)")
-    amend_ok = ("o_orderkey % 5 = 0 AND o_orderkey % 35 <> 0 AND o_orderkey % 45 <> 0 "
-                "AND ref_value NOT IN (SELECT lock_id FROM live)")
+    amend_ok = ("o_orderkey % 35 <> 0 AND o_orderkey % 45 <> 0 AND o_orderkey % 53 <> 0 "
+                "AND o_orderkey % 37 <> 0 AND ref_value NOT IN (SELECT lock_id FROM live)")
     q["accept_amendments"] = (
         f"{LOCK_WITH} SELECT charge_reference, ref_value, state, 'pending-payment' AS amend_state, "
         f"sent_to_hod, false AS amend_sent_to_hod, {AS_OF_SQL} AS last_updated, correlation_id, "
@@ -375,9 +375,9 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN o_orderkey % 45 = 0 THEN NULL WHEN o_orderkey % 35 = 0 "
         "THEN CAST(900000000 + o_orderkey AS INTEGER) ELSE ref_value END AS ref_value, "
         "CASE WHEN o_orderkey % 45 = 0 THEN 'missing_correlation_id' "
-        "WHEN o_orderkey % 35 = 0 THEN 'not_found' "
-        "WHEN ref_value IN (SELECT lock_id FROM live) THEN 'locked' ELSE 'accepted' END AS outcome "
-        "FROM decl WHERE o_orderkey % 5 = 0")
+        "WHEN o_orderkey % 53 = 0 THEN 'invalid' WHEN o_orderkey % 35 = 0 THEN 'not_found' "
+        "WHEN ref_value IN (SELECT lock_id FROM live) THEN 'locked' "
+        "WHEN o_orderkey % 37 = 0 THEN 'no_journey_data' ELSE 'accepted' END AS outcome FROM decl")
     paid = f"{DECL_WITH} SELECT * FROM decl WHERE state = 'paid'"
     q["refine_payload"] = (
         f"{DECL_WITH} SELECT charge_reference, true AS parse_ok, 'DeclarationCreate' AS message_type, "
@@ -404,20 +404,20 @@ def oracle_sql() -> dict[str, str]:
         "'£' || CAST(total_vat AS VARCHAR) AS TOTALVATGBP, travelling_from AS TRAVELLINGFROM")
     q["receipt_parameters"] = (
         f"{DECL_WITH} SELECT charge_reference, {receipt}, CAST(n_items AS BIGINT) AS n_items "
-        "FROM decl WHERE state = 'paid'")
+        "FROM decl")
     copies = ",".join(("receipts-copy-1@example.com", "receipts-copy-2@example.com"))
     q["receipt_recipients"] = (
         f"{DECL_WITH} SELECT charge_reference, 'passenger' AS recipient, email AS to_text, "
         f"{_q(S.RECEIPT_TEMPLATE_ID)} AS templateId, true AS force FROM decl "
-        "WHERE state = 'paid' AND email IS NOT NULL UNION ALL "
+        "WHERE email IS NOT NULL UNION ALL "
         f"SELECT charge_reference, 'copy', {_q(copies)}, {_q(S.RECEIPT_TEMPLATE_ID)}, true "
-        "FROM decl WHERE state = 'paid'")
+        "FROM decl")
     subj = (f"concat(CASE WHEN grand_total = 0 THEN {_q(S.SUBJECT_ZERO)} ELSE {_q(S.SUBJECT_NON_ZERO)} "
             "END, ' ', charge_reference)")
     q["receipt_requests"] = (
         f"{DECL_WITH} SELECT charge_reference, 'passenger' AS recipient, {subj} AS subject FROM decl "
-        "WHERE state = 'paid' AND grand_total <> 0 AND email IS NOT NULL UNION ALL "
-        f"SELECT charge_reference, 'copy', {subj} FROM decl WHERE state = 'paid' AND grand_total <> 0")
+        "WHERE grand_total <> 0 AND email IS NOT NULL UNION ALL "
+        f"SELECT charge_reference, 'copy', {subj} FROM decl WHERE grand_total <> 0")
     q["goods_items"] = (
         f"{DECL_WITH} SELECT d.charge_reference, CAST(row_number() OVER (PARTITION BY li.l_orderkey "
         "ORDER BY li.cat, li.l_linenumber, li.l_partkey, li.l_suppkey, li.l_extendedprice, li.l_quantity, "
@@ -460,6 +460,11 @@ def oracle_sql() -> dict[str, str]:
         "'payment-failed' WHEN 'Cancelled' THEN 'payment-cancelled' END END AS new_state FROM o3")
     q["receipt_triggers"] = (f"{pay} SELECT event_id, ref_value, level FROM o3 "
                              "WHERE applied AND status = 'Successful'")
+    q["triggered_receipts"] = (
+        f"{pay}, t AS (SELECT event_id, d.* FROM o3 JOIN decl d USING (ref_value) WHERE applied "
+        "AND status = 'Successful') "
+        f"SELECT event_id, charge_reference, 'passenger' AS recipient, {subj} AS subject FROM t "
+        f"WHERE email IS NOT NULL UNION ALL SELECT event_id, charge_reference, 'copy', {subj} FROM t")
     q["apply_payments"] = (
         f"{pay}, fin0 AS (SELECT ref_value, level, status, row_number() OVER (PARTITION BY ref_value, "
         "level ORDER BY ts DESC, event_id DESC) AS rn, bool_or(status = 'Successful') OVER "
@@ -511,6 +516,18 @@ def oracle_sql() -> dict[str, str]:
         f"{lk} SELECT charge_reference, ref_value, state, 'paid' AS amend_state, sent_to_hod, "
         f"amend_sent_to_hod, {AS_OF_SQL} AS last_updated FROM decl "
         f"WHERE amend_state = 'submission-failed' AND {unlocked}")
+    stamped = f"{AS_OF_SQL} AS last_updated, {AS_OF_SQL} AS last_updated_date"
+    expired = (f"{DELETABLE} AND strptime(receipt_date, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 7200 MINUTE "
+               f"< {AS_OF_SQL}")
+    q["held_locks"] = f"{lk} " + " UNION ALL ".join(
+        f"SELECT {_q(job)} AS job, ref_value AS lock_id, {stamped} FROM decl WHERE {pred} AND {unlocked}"
+        for job, pred in (
+            ("remove_stale", f"{UNPAID} AND {STALE_TS}"), ("remove_stale_amendments", f"{UNPAID_AMEND} AND {STALE_TS}"),
+            ("remove_expired", expired), ("requeue_failed", "state = 'submission-failed'"),
+            ("requeue_failed_amendments", "amend_state = 'submission-failed'")))
+    q["submitted_audit"] = (
+        f"{bat} SELECT charge_reference, is_amendment, {_q(S.AUDIT_TYPE)} AS auditType, "
+        "o_orderpriority = '1-URGENT' AS isPrivateTravel FROM batch WHERE ref_value % 4 < 2")
     q["remove_stale"] = f"{lk} SELECT {KEY_COLS} FROM decl WHERE {UNPAID} AND {STALE_TS} AND {unlocked}"
     q["remove_stale_amendments"] = (
         f"{lk} SELECT {KEY_COLS} FROM decl WHERE {UNPAID_AMEND} AND {STALE_TS} AND {unlocked}")
@@ -519,8 +536,8 @@ def oracle_sql() -> dict[str, str]:
         f"'%Y-%m-%dT%H:%M:%SZ') + INTERVAL 7200 MINUTE < {AS_OF_SQL} AND {unlocked}")
     q["delete_rows"] = (
         f"{lk} SELECT {KEY_COLS} FROM decl WHERE NOT ({UNPAID} AND {STALE_TS} AND {unlocked})")
-    amend_ok2 = ("o_orderkey % 5 = 0 AND o_orderkey % 35 <> 0 AND o_orderkey % 45 <> 0 "
-                 f"AND {unlocked}")
+    amend_ok2 = ("o_orderkey % 35 <> 0 AND o_orderkey % 45 <> 0 AND o_orderkey % 53 <> 0 "
+                 f"AND o_orderkey % 37 <> 0 AND {unlocked}")
     q["replace_row"] = (
         f"{lk} SELECT charge_reference, ref_value, state, "
         f"CASE WHEN {amend_ok2} THEN 'pending-payment' ELSE amend_state END AS amend_state, sent_to_hod, "
@@ -535,24 +552,23 @@ def oracle_sql() -> dict[str, str]:
     q["amend_join"] = (
         f"{lk} SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 45 = 0 THEN NULL "
         "WHEN o_orderkey % 35 = 0 THEN CAST(900000000 + o_orderkey AS INTEGER) ELSE ref_value END "
-        "AS ref_value, NOT (o_orderkey % 35 = 0 AND o_orderkey % 45 <> 0) AS matched "
-        "FROM decl WHERE o_orderkey % 5 = 0")
-    look = (f"{DECL_WITH}, req AS (SELECT o_orderkey AS request_id, CASE (o_orderkey // 50) % 2 "
-            "WHEN 0 THEN upper(last_name) ELSE lower(last_name) END AS lastName, "
-            "CASE (o_orderkey // 50) % 5 WHEN 0 THEN charge_reference WHEN 1 THEN lower(charge_reference) "
-            "WHEN 2 THEN substr(charge_reference, 10, 5) WHEN 3 THEN 'X.PR' || substr(charge_reference, 5, 10) "
-            "ELSE 'X[A-Z]PR' || substr(charge_reference, 5, 10) "
-            "END AS referenceNumber FROM base WHERE o_orderkey % 50 = 5), "
+        "AS ref_value, NOT (o_orderkey % 35 = 0 AND o_orderkey % 45 <> 0 AND o_orderkey % 53 <> 0) AS matched "
+        "FROM decl")
+    look = (f"{DECL_WITH}, req AS (SELECT o_orderkey AS request_id, last_name, ref_value AS asked, "
+            "substr(charge_reference, 10, 5) AS tail, (o_orderkey // 7) % 5 AS kind FROM base "
+            "WHERE o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0 AND o_orderkey % 47 <> 0), "
             "el AS (SELECT * FROM decl WHERE state = 'paid' AND (amend_state IS NULL OR amend_state "
             "IN ('paid', 'pending-payment'))), "
-            "m AS (SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON "
-            "regexp_matches(e.charge_reference, r.referenceNumber, 'i') AND "
-            "regexp_matches(e.last_name, r.lastName, 'i')), "
+            # a pattern with all ten digits matches its own reference alone
+            "m AS (SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON e.ref_value = r.asked "
+            "WHERE kind <> 2 UNION ALL SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON "
+            "contains(e.charge_reference, r.tail) AND contains(lower(e.last_name), lower(r.last_name)) "
+            "WHERE kind = 2), "
             "fm AS (SELECT request_id, min(charge_reference) AS charge_reference, "
             "CAST(COUNT(*) AS BIGINT) AS n_matches FROM m GROUP BY request_id)")
     q["intake_lookup_requests"] = (
-        f"{DECL_WITH} SELECT o_orderkey AS request_id, CAST(NULL AS VARCHAR) AS reject_reason "
-        "FROM base WHERE o_orderkey % 50 = 5")
+        "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 41 = 0 OR o_orderkey % 43 = 0 THEN 'bad_shape' "
+        "WHEN o_orderkey % 47 = 0 THEN 'bad_pattern' END AS reject_reason FROM orders")
     q["first_match"] = f"{look} SELECT request_id, charge_reference, n_matches FROM fm"
     q["previous_declaration_lookup"] = (
         f"{look} SELECT fm.request_id, fm.charge_reference, d.eu_country_check AS euCountryCheck, "

@@ -294,8 +294,8 @@ RECEIPT_COLS = ["subject", "NAME", "DATE", "PLACEOFARRIVAL", "DATEOFARRIVAL", "T
 
 @query
 def q_receipt_parameters(spark, sf_dir):
-    """Receipt parameters of every paid row (amendment document when there is one)."""
-    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    """Receipt parameters of every row (amendment document when there is one)."""
+    d = Inputs(spark, sf_dir).declarations
     p = D.receipt_parameters(D.amendment_or_original(d), "chosen")
     return p.select("charge_reference", *RECEIPT_COLS,
                     F.size("items").cast("bigint").alias("n_items"))
@@ -303,7 +303,7 @@ def q_receipt_parameters(spark, sf_dir):
 
 @query
 def q_receipt_recipients(spark, sf_dir):
-    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    d = Inputs(spark, sf_dir).declarations
     r = D.receipt_recipients(D.receipt_parameters(D.amendment_or_original(d), "chosen"))
     return r.select("charge_reference", "recipient", F.array_join("to", ",").alias("to_text"),
                     "templateId", "force")
@@ -311,8 +311,8 @@ def q_receipt_recipients(spark, sf_dir):
 
 @query
 def q_receipt_requests(spark, sf_dir):
-    """Receipt job over paid rows with the zero-pound switch on."""
-    d = Inputs(spark, sf_dir).declarations.where(F.col("state") == "paid")
+    """Receipt job over every row with the zero-pound switch on."""
+    d = Inputs(spark, sf_dir).declarations
     r = D.receipt_requests(d, disable_zero_pound=True)
     return r.select("charge_reference", "recipient", "subject")
 
@@ -401,7 +401,7 @@ def q_notify_join(spark, sf_dir):
 def q_point_lookup(spark, sf_dir):
     """Declarations looked up by the keys of the payment messages (semi join)."""
     i = Inputs(spark, sf_dir)
-    k = _notes(i).where(F.col("reject_reason").isNull()).select("ref_value")
+    k = _notes(i).where(F.col("reject_reason").isNull()).select("ref_value").distinct()
     return keys(i.declarations.join(k, "ref_value", "left_semi"))
 
 
@@ -426,21 +426,33 @@ def q_receipt_triggers(spark, sf_dir):
     return FO.receipt_triggers(_outcomes(Inputs(spark, sf_dir))).select("event_id", "ref_value", "level")
 
 
-def _batch_rows(i: Inputs, amendment: bool) -> DataFrame:
+@query
+def q_triggered_receipts(spark, sf_dir):
+    """Receipt requests fired by the payment messages that took effect."""
+    i = Inputs(spark, sf_dir)
+    r = D.triggered_receipts(FO.receipt_triggers(_outcomes(i)), i.declarations)
+    return r.select("event_id", "charge_reference", "recipient", "subject")
+
+
+def _work(i: Inputs, amendment: bool) -> DataFrame:
+    return (W.amendments_for_submission if amendment else W.paid_for_submission)(i.declarations)
+
+
+def _batch_rows(i: Inputs, amendment: bool, rows: DataFrame | None = None) -> DataFrame:
     """Submission batch rows: work list → unlocked → refined payload."""
-    pick = W.amendments_for_submission if amendment else W.paid_for_submission
-    rows = L.exclude_locked(pick(i.declarations), i.locks, i.as_of)
+    rows = L.exclude_locked(_work(i, amendment) if rows is None else rows, i.locks, i.as_of)
     doc = "amend_data" if amendment else "data"
     return D.refine_payload(rows, doc).withColumn("is_amendment", F.lit(amendment))
 
 
 def _batch(i: Inputs, amendment: bool) -> DataFrame:
-    """Submission batch: rows numbered into dispatch slots, with correlation ids."""
-    refined = _batch_rows(i, amendment)
-    numbered = I.assign_references(refined, 0, ["ref_value"], value_col="seq")
+    """Submission batch: the throttle deals slots to the whole work list, a locked row uses its
+    slot up; then the free rows with correlation ids."""
+    numbered = I.assign_references(_work(i, amendment), 0, ["ref_value"], value_col="seq")
     # configured throttle: one element per second
     slotted = I.dispatch_slots(numbered, elements=1, per_seconds=1)
-    return slotted.withColumn("correlation", D.pick_correlation(slotted, F.lit(amendment)))
+    rows = _batch_rows(i, amendment, slotted)
+    return rows.withColumn("correlation", D.pick_correlation(rows, F.lit(amendment)))
 
 
 @query
@@ -462,6 +474,16 @@ def q_dispatch_slots(spark, sf_dir):
     return b.select("charge_reference", F.col("seq").cast("bigint").alias("seq"), "slot")
 
 
+@query
+def q_submitted_audit(spark, sf_dir):
+    """Audit rows of both submission batches: one for each Submitted response."""
+    i = Inputs(spark, sf_dir)
+    batch = _batch_rows(i, False).unionByName(_batch_rows(i, True))
+    a = FO.submitted_audit(batch, FO.classify_responses(i.submission_responses, batch))
+    return a.select("charge_reference", "is_amendment", "auditType",
+                    F.col("detail.isPrivateTravel").alias("isPrivateTravel"))
+
+
 @query
 def q_classify_responses(spark, sf_dir):
     i = Inputs(spark, sf_dir)
@@ -518,6 +540,19 @@ def q_remove_expired(spark, sf_dir):
     return keys(FO.remove_expired(i.declarations, i.locks, i.as_of))
 
 
+@query
+def q_held_locks(spark, sf_dir):
+    """Lock rows that the timeout, deletion and requeue jobs hold."""
+    i = Inputs(spark, sf_dir)
+    out = None
+    for job in (FO.remove_stale, FO.remove_stale_amendments, FO.remove_expired, FO.requeue_failed,
+                FO.requeue_failed_amendments):
+        rows = FO.held_locks(job(i.declarations, i.locks, i.as_of), i.as_of).select(
+            F.lit(job.__name__).alias("job"), *LOCK_COLS)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def q_delete_rows(spark, sf_dir):
     """The table after the timeout job deletes its rows (survivors)."""
@@ -572,60 +607,82 @@ def q_previous_declaration_lookup(spark, sf_dir):
                        "amendState")
 
 
-# -- streaming (availableNow runs of the stream jobs over the stored inputs) ---------------
+# -- streaming: rows arrive in three parts, each a run of the stream over what is new ---------
+
+def _in_parts(rows: DataFrame, by: str, folder: str, run, parts: int = 3) -> None:
+    """Append ``rows`` to a folder in order of the number ``by``, and run the stream after each part."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    width = ((high or 0) - (low or 0)) // parts + 1
+    for k in range(parts):
+        part = F.floor((F.col(by) - F.lit(low or 0)) / F.lit(width))
+        rows.where(part == k).drop(by if by.startswith("__") else "").write.mode("append").parquet(folder)
+        run(folder)
+
 
 @query
 def q_stream_payments(spark, sf_dir):
-    """Payment stream: outcomes written by the foreachBatch fold."""
+    """Payment stream: outcomes written by the foreachBatch fold, over three micro-batches."""
     i = Inputs(spark, sf_dir)
     root = ST.stream_root(spark, "payments")
-    out = ST.stream_payments(spark, i.path("raw_notifications"), i.path("declarations"),
-                             i.locks, i.as_of, root)
-    return spark.read.parquet(out).select("event_id", "ref_value", "level", "http_status",
-                                          "applied", "new_state")
+    table = i.path("declarations")
+    notes = i.raw_notifications.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp")))
+    _in_parts(notes, "__t", f"{root}/in", lambda folder: ST.stream_payments(
+        spark, folder, table, i.locks, i.as_of, root))
+    return spark.read.parquet(f"{root}/outcomes").select("event_id", "ref_value", "level", "http_status",
+                                                         "applied", "new_state")
 
 
 @query
 def q_stream_intake(spark, sf_dir):
+    """Intake stream: accepted rows of three micro-batches, numbered across them."""
     i = Inputs(spark, sf_dir)
-    root = ST.stream_root(spark, "intake")
-    out = ST.stream_intake(spark, i.path("raw_submissions"), counter_start(i), i.as_of, root)
-    return spark.read.parquet(out).select("charge_reference", "ref_value", "state", "sent_to_hod",
-                                          "correlation_id", "last_updated")
+    root, start = ST.stream_root(spark, "intake"), counter_start(i)
+    _in_parts(i.raw_submissions, "seq", f"{root}/in", lambda folder: ST.stream_intake(
+        spark, folder, start, i.as_of, root))
+    return spark.read.parquet(f"{root}/accepted").select("charge_reference", "ref_value", "state", "sent_to_hod",
+                                                         "correlation_id", "last_updated")
 
 
 @query
 def q_stream_status(spark, sf_dir):
+    """Counters over row versions: every sixth key arrives as pending first and again as it is."""
     i = Inputs(spark, sf_dir)
-    out = ST.stream_status(spark, i.path("declarations"), ST.stream_root(spark, "status"))
-    return spark.read.parquet(out)
+    d = i.declarations.select("ref_value", "state", "last_updated")
+    day = F.expr("INTERVAL 1 DAY")
+    old = d.where("ref_value % 6 = 0").withColumn("state", F.lit("pending-payment")).withColumn(
+        "last_updated", F.col("last_updated") - day)
+    versions = (old.withColumn("__part", F.lit(0))
+                .unionByName(d.where("ref_value % 2 = 1").withColumn("__part", F.lit(1)))
+                .unionByName(d.where("ref_value % 2 = 0").withColumn("__part", F.lit(2))))
+    root = ST.stream_root(spark, "status")
+    _in_parts(versions, "__part", f"{root}/in", lambda folder: ST.stream_status(spark, folder, root))
+    return ST.last_gauges(spark, root)
 
 
 @query
 def q_periodic_source(spark, sf_dir):
-    """The unpaid work list re-run by a triggered source (one trigger)."""
+    """The unpaid work list re-run by a clock (three ticks): the rows of the last run."""
     i = Inputs(spark, sf_dir)
     out = ST.periodic_source(spark, i.path("declarations"), W.unpaid_declarations,
-                             ST.stream_root(spark, "periodic"))
-    return keys(spark.read.parquet(out))
+                             ST.stream_root(spark, "periodic"), every="1 second", runs=3)
+    return keys(spark.read.parquet(f"{out}/batch=2"))
+
+
+def _timeouts(i: Inputs) -> tuple[str, str]:
+    return ST.stream_timeouts(i.spark, i.path("declarations"), i.locks, lambda: i.as_of,
+                              ST.stream_root(i.spark, "timeouts"), every="1 second", runs=3)
 
 
 @query
 def q_stream_timeouts(spark, sf_dir):
-    """Periodic timeout job, one trigger: the rows it deletes."""
-    i = Inputs(spark, sf_dir)
-    removed, _ = ST.stream_timeouts(spark, i.path("declarations"), i.locks, i.as_of,
-                                    ST.stream_root(spark, "timeouts"))
-    return keys(spark.read.parquet(removed))
+    """Periodic timeout job, three ticks: the rows it deletes."""
+    return keys(spark.read.parquet(_timeouts(Inputs(spark, sf_dir))[0]))
 
 
 @query
 def q_tap_output(spark, sf_dir):
     """The tap sink of the timeout stream: the same rows as the main sink."""
-    i = Inputs(spark, sf_dir)
-    _, tap = ST.stream_timeouts(spark, i.path("declarations"), i.locks, i.as_of,
-                                ST.stream_root(spark, "timeouts"))
-    return keys(spark.read.parquet(tap))
+    return keys(spark.read.parquet(_timeouts(Inputs(spark, sf_dir))[1]))
 
 
 # -- flagship ----------------------------------------------------------------------------------

@@ -67,12 +67,16 @@ def apply_core_conf(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) is a fresh scratch folder created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; without
+    one, executors would each write to their own disk, so that is an error. Only a local
+    session (tests) gets a fresh scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not current and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="passlane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)

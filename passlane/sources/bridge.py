@@ -409,21 +409,23 @@ def raw_submissions(t: DriverTables) -> DataFrame:
 
 
 def raw_amendments(t: DriverTables) -> DataFrame:
-    """Amendment bodies for every fifth order, stamped with the original reference.
+    """Amendment bodies for every order, stamped with the original reference.
 
     ``% 35 == 0`` points at a reference that does not exist; ``% 45 == 0`` comes
-    without a correlation id.
+    without a correlation id; ``% 37 == 0`` has no journeyData, ``% 53 == 0`` a bad total.
     """
-    rows = base_rows(t).where(F.col("o_orderkey") % 5 == 0)
+    rows = base_rows(t)
     k = F.col("o_orderkey")
     rows = rows.withColumn(
         "charge_reference",
         F.when(k % 35 == 0, encode_reference(F.lit(900000000) + k)).otherwise(F.col("charge_reference")),
     )
-    body = F.to_json(F.struct(
-        _journey(True).alias("journeyData"),
+    rows = rows.withColumn("body", F.to_json(F.struct(
+        F.when(k % 37 != 0, _journey(True)).alias("journeyData"),
         document("DeclarationAmend")["simpleDeclarationRequest"].alias("simpleDeclarationRequest"),
-    ))
+    )))
+    body = F.when(k % 53 == 0, F.regexp_replace("body", '"grandTotalGBP":"[^"]*"', '"grandTotalGBP":"12.345"')) \
+        .otherwise(F.col("body"))
     return rows.select(
         k.alias("seq"),
         F.when(k % 45 != 0, F.concat(F.lit("m-"), k.cast("string"))).alias("correlation_id"),
@@ -432,24 +434,26 @@ def raw_amendments(t: DriverTables) -> DataFrame:
 
 
 def lookup_requests(t: DriverTables) -> DataFrame:
-    """Previous-declaration requests from every 50th order (keys ending in 5: paid rows).
+    """Previous-declaration request bodies, one for every order, as JSON text.
 
-    lastName upper- or lower-cased by ``(key // 50) % 2``; reference by
-    ``(key // 50) % 5``: full, lower-cased, last five digits, the check character
-    replaced by ``.``, or the check character replaced by ``[A-Z]``.
+    With j = ``key // 7``: lastName upper- or lower-cased by ``j % 2``; reference by ``j % 5``:
+    full, lower-cased, last five digits, the check character replaced by ``.``, or by ``[A-Z]``.
+    Broken on purpose: ``% 41`` sends the reference as a number, ``% 43`` no lastName, ``% 47`` a
+    pattern that does not compile.
     """
-    rows = base_rows(t).where(F.col("o_orderkey") % 50 == 5)
-    j = F.floor(F.col("o_orderkey") / 50)
+    rows = base_rows(t)
+    k = F.col("o_orderkey")
+    j = F.floor(k / 7)
     ref = F.col("charge_reference")
     pattern = (
-        F.when(j % 5 == 0, ref)
+        F.when(k % 47 == 0, F.lit("X(YPR"))
+        .when(j % 5 == 0, ref)
         .when(j % 5 == 1, F.lower(ref))
         .when(j % 5 == 2, F.substring(ref, 10, 5))
         .when(j % 5 == 3, F.concat(F.lit("X.PR"), F.substring(ref, 5, 10)))
         .otherwise(F.concat(F.lit("X[A-Z]PR"), F.substring(ref, 5, 10)))
     )
-    return rows.select(
-        F.col("o_orderkey").alias("request_id"),
-        F.when(j % 2 == 0, F.upper("last_name")).otherwise(F.lower("last_name")).alias("lastName"),
-        pattern.alias("referenceNumber"),
-    )
+    name = F.when(j % 2 == 0, F.upper("last_name")).otherwise(F.lower("last_name"))
+    body = F.to_json(F.struct(F.when(k % 43 != 0, name).alias("lastName"), pattern.alias("referenceNumber")))
+    odd = F.to_json(F.struct(name.alias("lastName"), k.alias("referenceNumber")))
+    return rows.select(k.alias("request_id"), F.when(k % 41 == 0, odd).otherwise(body).alias("raw"))

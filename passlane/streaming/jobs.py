@@ -1,19 +1,24 @@
 """Structured Streaming versions of the intake, payment, timeout and counter jobs.
 
-Each job is ``readStream`` (file source) → ``foreachBatch``. The batch function
-runs the same library fold as the batch API against the current snapshot and
-writes a new snapshot named by the batch id, so a retried micro-batch overwrites
-its own output and no streaming state store is needed: every fold resumes from
-the stored snapshot. Outputs that two sinks need (the main sink and a tap) are
-written from one persisted batch.
-
-``trigger`` defaults to ``availableNow`` (process what is there, then stop: tests,
-backfills); pass ``{"processingTime": "1 day"}`` etc. for the periodic jobs.
+Each job is ``readStream`` → ``foreachBatch``. Batch N writes only what it changes, under
+``<output>/batch=N``, and reads only what batches before N wrote: a retried micro-batch
+therefore sees the same base, replaces its own files alone and gives the same rows. The
+declarations table is never rewritten; its current rows are the stored ones with the latest
+change of each key (``current_declarations``), which ``compacted_declarations`` folds into a
+full table whenever a deployment wants a new base.
+
+``trigger`` defaults to ``availableNow`` (process what is there, then stop: tests, backfills).
+``max_files_per_trigger`` bounds a micro-batch. Periodic jobs are clocked by a ``rate`` source,
+so they run whether or not files arrive; ``as_of`` may be a function, evaluated once for each
+batch and stored, so that a retried batch works at the same time as before.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +28,9 @@ from passlane.operators import intake as I
 from passlane.operators import metrics as M
 from passlane.session import ensure_checkpoint_dir
 
+#: What a payment can change in a declaration row.
+CHANGED = ["state", "amend_state", "last_updated"]
+
 
 def stream_root(spark: SparkSession, name: str) -> str:
     """A fresh folder for one stream run under the session's checkpoint directory."""
@@ -38,130 +46,198 @@ def _run(stream: DataFrame, fn, checkpoint: str, trigger: dict | None = None) ->
         raise RuntimeError(str(q.exception()))
 
 
-def _latest(spark: SparkSession, root: str, fallback: str) -> str:
-    """Path of the newest committed snapshot under ``root`` (or ``fallback``)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return fallback
-    done = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                  if s.getPath().getName().startswith("batch=")
-                  and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return f"{root}/{done[-1]}" if done else fallback
+def _source(spark: SparkSession, path: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return reader.parquet(path)
 
 
-def stream_payments(spark: SparkSession, notifications_path: str, declarations_path: str,
-                    locks: DataFrame, as_of, root: str, trigger: dict | None = None) -> str:
-    """Payment notifications → outcomes per batch and a new declarations snapshot."""
-    schema = spark.read.parquet(notifications_path).schema
-    src = spark.readStream.schema(schema).parquet(notifications_path)
+def _write(df: DataFrame, root: str, output: str, batch_id: int) -> None:
+    """Replace the files of this batch of one output, and no others."""
+    df.write.mode("overwrite").parquet(f"{root}/{output}/batch={batch_id}")
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p))
+
+
+def _before(spark: SparkSession, root: str, output: str, batch_id: int) -> DataFrame | None:
+    """What batches before ``batch_id`` wrote to an output (column ``batch`` added)."""
+    path = f"{root}/{output}"
+    done = [n for n in range(batch_id) if _exists(spark, f"{path}/batch={n}/_SUCCESS")]
+    if not done:
+        return None
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in done])
+
+
+def _time_of(spark: SparkSession, root: str, batch_id: int, as_of):
+    """``as_of`` of a batch: a value, or a function whose first answer for the batch is kept."""
+    if not callable(as_of):
+        return as_of
+    path = f"{root}/clock/batch={batch_id}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        now: _dt.datetime = as_of()
+        spark.createDataFrame([(now.isoformat(sep=" "),)], "as_of string").write.mode("overwrite").parquet(path)
+    return _dt.datetime.fromisoformat(spark.read.parquet(path).first()["as_of"])
+
+
+def periodic(spark: SparkSession, batch: Callable[[int], None], root: str, every: str = "1 day",
+             runs: int | None = None) -> None:
+    """Call ``batch(n)`` on every tick of a clock; with ``runs`` stop after so many (for tests)."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = (ticks.writeStream.foreachBatch(lambda _, n: batch(n) if runs is None or n < runs else None)
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(processingTime=every).start())
+    if runs is None:
+        q.awaitTermination()
+    while q.isActive and (q.lastProgress is None or q.lastProgress["batchId"] < runs - 1):
+        time.sleep(0.2)
+    failed = q.exception()
+    q.stop()
+    if failed is not None:
+        raise RuntimeError(str(failed))
+
+
+# -- payments
+
+def current_declarations(spark: SparkSession, declarations_path: str, root: str, batch_id: int) -> DataFrame:
+    """The stored declarations with the latest change of each key made before ``batch_id``."""
+    base = spark.read.parquet(declarations_path)
+    changes = _before(spark, root, "changes", batch_id)
+    if changes is None:
+        return base
+    latest = changes.groupBy(F.col("ref_value").alias("__key")).agg(
+        F.max_by(F.struct(*CHANGED), "batch").alias("__new"))
+    joined = base.join(latest, base["ref_value"] == latest["__key"], "left")
+    return joined.select(*[
+        F.when(F.col("__key").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in CHANGED else F.col(c)
+        for c in base.columns])
+
+
+def compacted_declarations(spark: SparkSession, declarations_path: str, root: str) -> DataFrame:
+    """The whole table after all finished batches: the base of a stream that starts anew."""
+    done = 0
+    while _exists(spark, f"{root}/changes/batch={done}/_SUCCESS"):
+        done += 1
+    return current_declarations(spark, declarations_path, root, done)
+
+
+def payments_batch(spark: SparkSession, declarations_path: str, locks: DataFrame, as_of, root: str):
+    """The batch function of ``stream_payments``."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        current = spark.read.parquet(_latest(spark, f"{root}/snapshots", declarations_path))
-        outcomes = FO.payment_outcomes(FO.intake_notifications(df), current, locks, as_of)
-        outcomes = outcomes.persist()
-        outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/batch={batch_id:08d}")
-        after = FO.apply_payments(outcomes, current, as_of)
-        FO.replace_rows(current, after).write.mode("overwrite").parquet(
-            f"{root}/snapshots/batch={batch_id:08d}")
-        outcomes.unpersist()
-
-    _run(src, batch, f"{root}/_checkpoint", trigger)
-    return f"{root}/outcomes"
+        now = _time_of(spark, root, batch_id, as_of)
+        current = current_declarations(spark, declarations_path, root, batch_id).select("ref_value", *CHANGED)
+        outcomes = FO.payment_outcomes(FO.intake_notifications(df), current, locks, now)
+        _write(outcomes, root, "outcomes", batch_id)
+        outcomes = spark.read.parquet(f"{root}/outcomes/batch={batch_id}")
+        _write(FO.apply_payments(outcomes, current, now), root, "changes", batch_id)
 
+    return batch
 
-def _source(spark: SparkSession, path: str, max_files_per_trigger: int | None):
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return reader.parquet(path)
 
+def stream_payments(spark: SparkSession, notifications_path: str, declarations_path: str,
+                    locks: DataFrame, as_of, root: str, trigger: dict | None = None,
+                    max_files_per_trigger: int | None = None) -> str:
+    """Payment notifications → outcomes and changed rows per batch."""
+    src = _source(spark, notifications_path, max_files_per_trigger)
+    _run(src, payments_batch(spark, declarations_path, locks, as_of, root), f"{root}/_checkpoint", trigger)
+    return f"{root}/outcomes"
 
-def stream_intake(spark: SparkSession, submissions_path: str, start: int, as_of, root: str,
-                  trigger: dict | None = None, max_files_per_trigger: int | None = None) -> str:
-    """Raw submissions → accepted rows and rejections per batch.
 
-    The counter is carried between batches in ``{root}/counter/batch=N`` (one row:
-    the last value handed out), so numbering continues across micro-batches."""
-    src = _source(spark, submissions_path, max_files_per_trigger)
+# -- intake
 
+def intake_batch(spark: SparkSession, start: int, as_of, root: str):
+    """The batch function of ``stream_intake``; the counter goes on from earlier batches."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        last = _latest(spark, f"{root}/counter", "")
-        current = spark.read.parquet(last).first()["value"] if last else start
+        now = _time_of(spark, root, batch_id, as_of)
+        counters = _before(spark, root, "counter", batch_id)
+        current = start if counters is None else counters.agg(F.max("value")).first()[0]
         df = df.persist()
         validated = I.validated_submissions(df, current).persist()
-        I.accept_submissions(validated, as_of).write.mode("overwrite").parquet(
-            f"{root}/accepted/batch={batch_id:08d}")
-        rej = I.rejected_submissions(df, validated)
-        rej.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id:08d}")
+        _write(I.accept_submissions(validated, now), root, "accepted", batch_id)
+        _write(I.rejected_submissions(df, validated), root, "rejected", batch_id)
         high = validated.agg(F.max("ref_value")).first()[0]
-        spark.createDataFrame([(int(high if high is not None else current),)], "value long") \
-            .write.mode("overwrite").parquet(f"{root}/counter/batch={batch_id:08d}")
+        _write(spark.createDataFrame([(int(high if high is not None else current),)], "value long"),
+               root, "counter", batch_id)
         validated.unpersist()
         df.unpersist()
 
-    _run(src, batch, f"{root}/_checkpoint", trigger)
+    return batch
+
+
+def stream_intake(spark: SparkSession, submissions_path: str, start: int, as_of, root: str,
+                  trigger: dict | None = None, max_files_per_trigger: int | None = None) -> str:
+    """Raw submissions → accepted rows and rejections per batch, numbered across batches."""
+    src = _source(spark, submissions_path, max_files_per_trigger)
+    _run(src, intake_batch(spark, start, as_of, root), f"{root}/_checkpoint", trigger)
     return f"{root}/accepted"
 
 
-def stream_status(spark: SparkSession, declarations_path: str, root: str,
-                  trigger: dict | None = None) -> str:
-    """Counters of a declarations table fed as files: a streaming per-state count
-    (complete mode), written as the five gauge rows after every trigger."""
-    schema = spark.read.parquet(declarations_path).schema
-    src = spark.readStream.schema(schema).parquet(declarations_path)
-    counts = M.state_counts(src)
+# -- counters
 
+def status_batch(spark: SparkSession, root: str):
+    """The batch function of ``stream_status``."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        # gauges from the running counts (absent states → 0), replacing the last run
-        status = df.groupBy().pivot("state", list(M.SUMMARY_COLUMNS.values())).agg(F.sum("n"))
-        gauges = M.status_gauges_from_counts(status)
-        gauges.write.mode("overwrite").parquet(f"{root}/gauges")
-
-    w = (counts.writeStream.outputMode("complete").foreachBatch(batch)
-         .option("checkpointLocation", f"{root}/_checkpoint"))
-    q = w.trigger(**(trigger or {"availableNow": True})).start()
-    q.awaitTermination()
+        own = df.groupBy("ref_value").agg(F.max_by("state", "last_updated").alias("state"),
+                                          F.max("last_updated").alias("last_updated"))
+        _write(own, root, "versions", batch_id)
+        own = spark.read.parquet(f"{root}/versions/batch={batch_id}").withColumn("batch", F.lit(batch_id))
+        before = _before(spark, root, "versions", batch_id)
+        seen = own if before is None else before.unionByName(own)
+        latest = seen.groupBy("ref_value").agg(
+            F.max_by("state", F.struct("last_updated", "batch")).alias("state"))
+        _write(M.status_gauges(latest), root, "gauges", batch_id)
+
+    return batch
+
+
+def stream_status(spark: SparkSession, versions_path: str, root: str, trigger: dict | None = None,
+                  max_files_per_trigger: int | None = None) -> str:
+    """Row versions fed as files → the five gauges over the latest version of each key.
+
+    A key that changes state moves from one counter to the other; it is never counted twice."""
+    src = _source(spark, versions_path, max_files_per_trigger)
+    _run(src, status_batch(spark, root), f"{root}/_checkpoint", trigger)
     return f"{root}/gauges"
 
 
-def periodic_source(spark: SparkSession, table_path: str, job, root: str,
-                    trigger: dict | None = None) -> str:
-    """Re-run ``job(current_table) -> DataFrame`` on every trigger and write its rows to
-    ``{root}/out/batch=N``. The file stream over the table is only the clock; the job
-    always reads the whole current table, like a scheduled query."""
-    schema = spark.read.parquet(table_path).schema
-    ticks = spark.readStream.schema(schema).parquet(table_path).select(F.lit(1).alias("t"))
+def last_gauges(spark: SparkSession, root: str) -> DataFrame:
+    n = spark.read.parquet(f"{root}/gauges").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{root}/gauges/batch={n}")
+
 
-    def batch(_: DataFrame, batch_id: int) -> None:
-        job(spark.read.parquet(table_path)).write.mode("overwrite").parquet(
-            f"{root}/out/batch={batch_id:08d}")
+# -- periodic jobs
 
-    _run(ticks, batch, f"{root}/_checkpoint", trigger)
+def periodic_source(spark: SparkSession, table_path: str, job, root: str, every: str = "1 day",
+                    runs: int | None = None) -> str:
+    """Re-run ``job(current table)`` on every tick; its rows go to ``{root}/out/batch=N``."""
+    periodic(spark, lambda n: _write(job(spark.read.parquet(table_path)), root, "out", n), root, every, runs)
     return f"{root}/out"
 
 
-def stream_timeouts(spark: SparkSession, declarations_path: str, locks: DataFrame, as_of,
-                    root: str, trigger: dict | None = None) -> tuple[str, str]:
-    """Periodic timeout job: each trigger deletes the stale unlocked rows of the current
-    table and emits them twice (main sink and a tap) from one persisted batch.
+def timeout_batch(spark: SparkSession, declarations_path: str, locks: DataFrame, as_of, root: str):
+    """The batch function of ``stream_timeouts``."""
+    def batch(batch_id: int) -> None:
+        now = _time_of(spark, root, batch_id, as_of)
+        current = spark.read.parquet(declarations_path)
+        gone = _before(spark, root, "removed", batch_id)
+        if gone is not None:
+            current, _ = FO.delete_rows(current, gone)
+        removed = FO.remove_stale(current, locks, now)
+        _write(removed, root, "removed", batch_id)
+        removed = spark.read.parquet(f"{root}/removed/batch={batch_id}")
+        _write(removed, root, "tap", batch_id)
+        _write(FO.held_locks(removed, now), root, "locks", batch_id)
+
+    return batch
 
-    The stream over the table's files is only the clock: each micro-batch re-runs
-    the work list against the whole current snapshot, like a scheduled query."""
-    schema = spark.read.parquet(declarations_path).schema
-    ticks = spark.readStream.schema(schema).parquet(declarations_path).select(F.lit(1).alias("t"))
 
-    def batch(_: DataFrame, batch_id: int) -> None:
-        current = spark.read.parquet(_latest(spark, f"{root}/snapshots", declarations_path))
-        removed = FO.remove_stale(current, locks, as_of).persist()
-        removed.write.mode("overwrite").parquet(f"{root}/removed/batch={batch_id:08d}")
-        removed.write.mode("overwrite").parquet(f"{root}/tap/batch={batch_id:08d}")
-        survivors, _ = FO.delete_rows(current, removed)
-        survivors.write.mode("overwrite").parquet(f"{root}/snapshots/batch={batch_id:08d}")
-        removed.unpersist()
+def stream_timeouts(spark: SparkSession, declarations_path: str, locks: DataFrame, as_of, root: str,
+                    every: str = "1 day", runs: int | None = None) -> tuple[str, str]:
+    """Periodic timeout job: each tick deletes the stale unlocked rows of the current table.
 
-    _run(ticks, batch, f"{root}/_checkpoint", trigger)
+    They go to the main sink, to a tap, and as held locks to ``locks``."""
+    periodic(spark, timeout_batch(spark, declarations_path, locks, as_of, root), root, every, runs)
     return f"{root}/removed", f"{root}/tap"
