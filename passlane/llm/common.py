@@ -50,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if(df: DataFrame, size: Column, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df``, stored by the caller, marked for a broadcast if its ``size`` (bytes of a row) sums
+    up to ``most_bytes`` at most; a larger one is joined by a shuffle."""
+    total = df.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= most_bytes else df
+
+
 def md5_of(text: Column) -> Column:
     """128-bit content hash as 16 bytes; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

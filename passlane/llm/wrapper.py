@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passlane.llm.common import ship
+from passlane.llm.common import broadcast_if, cut, ship
 
 # Elements of HTML, by how they are parsed and what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -271,9 +271,10 @@ def extract_main_text(pages: DataFrame, share: float = 0.8, support: int = 4) ->
     ship(pages.sparkSession)
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     usable = F.length(F.trim(F.coalesce("html", F.lit("")))) > 0
-    references = pages.where(usable).groupBy("host").agg(
+    references = cut(pages.where(usable).groupBy("host").agg(
         F.min(F.struct(F.length("html").alias("n"), "html")).alias("r")).select(
-        F.col("host").alias("r_host"), F.col("r.html").alias("reference"))
+        F.col("host").alias("r_host"), F.col("r.html").alias("reference")))
+    beside = broadcast_if(references, F.octet_length("reference"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -284,13 +285,14 @@ def extract_main_text(pages: DataFrame, share: float = 0.8, support: int = 4) ->
             yield pd.DataFrame([(h, x, n if same else 0, n) for (h, x, same), n in seen.items()],
                                columns=["host", "node", "same", "pages"])
 
-    aligned = pages.where(usable).join(references, F.col("host") == F.col("r_host")).select("host", "html", "reference")
+    aligned = pages.where(usable).join(beside, F.col("host") == F.col("r_host")).select("host", "html", "reference")
     slots = (aligned.mapInPandas(count, "host string, node int, same long, pages long")
              .groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("pages").alias("pages")))
     wrappers = (slots.where((F.col("pages") >= support) & (F.col("same") >= share * F.col("pages")))
                 .groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("nodes")))  # one page's nodes at most
-    wrappers = references.join(wrappers.withColumnRenamed("host", "w_host"), F.col("r_host") == F.col("w_host")).select(
-        "w_host", "reference", F.to_json("nodes").alias("template"))
+    wrappers = cut(references.join(wrappers.withColumnRenamed("host", "w_host"), F.col("r_host") == F.col("w_host")).select(
+        "w_host", "reference", F.to_json("nodes").alias("template")))
+    beside = broadcast_if(wrappers, F.octet_length("reference") + F.octet_length("template"))
 
     @F.pandas_udf("string")
     def main_text(html: pd.Series, host: pd.Series, reference: pd.Series, template: pd.Series) -> pd.Series:
@@ -303,5 +305,5 @@ def extract_main_text(pages: DataFrame, share: float = 0.8, support: int = 4) ->
             out.append(page.text(fixed))
         return pd.Series(out, dtype=object)
 
-    return (pages.join(wrappers, F.col("host") == F.col("w_host"), "left")
+    return (pages.join(beside, F.col("host") == F.col("w_host"), "left")
             .select("page_id", "url", main_text("html", "host", "reference", "template").alias("text")))
