@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passlane.functions.request_schema import REQUEST_SCHEMA
@@ -94,40 +94,6 @@ class SchemaTables:
     def sid(self, sch: dict) -> int:
         return self.ids[id(self.resolve(sch))]
 
-    # literal maps ------------------------------------------------------------
-    @staticmethod
-    def _map(pairs: list[tuple[str, str]], ktype: str, vtype: str) -> str:
-        if not pairs:
-            return f"CAST(map() AS map<{ktype},{vtype}>)"
-        return "map(" + ", ".join(f"{k}, {v}" for k, v in pairs) + ")"
-
-    def child_map(self) -> str:
-        pairs = []
-        for sid, sch in enumerate(self.nodes):
-            for key, sub in sch.get("properties", {}).items():
-                pairs.append((sql_str(f"{sid}/{key}"), str(self.sid(sub))))
-        return self._map(pairs, "string", "int")
-
-    def item_map(self) -> str:
-        pairs = [(str(sid), str(self.sid(sch["items"])))
-                 for sid, sch in enumerate(self.nodes) if "items" in sch]
-        return self._map(pairs, "int", "int")
-
-    def int_map(self, keyword: str) -> str:
-        pairs = [(str(sid), str(int(sch[keyword])))
-                 for sid, sch in enumerate(self.nodes) if keyword in sch]
-        return self._map(pairs, "int", "int")
-
-    def str_array_map(self, pick) -> str:
-        pairs = []
-        for sid, sch in enumerate(self.nodes):
-            vals = pick(sch)
-            if vals is not None:
-                arr = "array(" + ", ".join(sql_str(v) for v in vals) + ")" if vals else \
-                    "CAST(array() AS array<string>)"
-                pairs.append((str(sid), arr))
-        return self._map(pairs, "int", "array<string>")
-
     def patterns(self) -> list[str]:
         seen: list[str] = []
         for sch in self.nodes:
@@ -137,19 +103,11 @@ class SchemaTables:
         return seen
 
 
-def _type_name(var: str) -> str:
-    s = f"schema_of_variant({var})"
-    return (f"CASE WHEN {s} = 'STRING' THEN 'string' WHEN {s} = 'BOOLEAN' THEN 'boolean' "
-            f"WHEN {s} IN {INTEGER_TYPES} THEN 'integer' WHEN startswith({s}, 'OBJECT') THEN 'object' "
-            f"WHEN startswith({s}, 'ARRAY') THEN 'array' WHEN {s} = 'VOID' THEN 'null' "
-            f"ELSE 'number' END")
-
-
 def _json_list(arr: str) -> str:
     return f"concat('[', array_join(transform({arr}, r -> concat('\"', r, '\"')), ','), ']')"
 
 
-NODE_TYPE = ("struct<path:string,sid:int,v:variant,ty:string,keys:array<string>,"
+NODE_TYPE = ("struct<path:string,sid:int,m:map<string,variant>,ty:string,keys:array<string>,"
              "arr:array<variant>,s:string>")
 NODE_ARRAY = f"array<{NODE_TYPE}>"
 RULE_TYPE = ("struct<types:array<string>,maxlen:int,minlen:int,pat:int,dt:boolean,"
@@ -159,13 +117,16 @@ RULE_TYPE = ("struct<types:array<string>,maxlen:int,minlen:int,pat:int,dt:boolea
 
 
 def _node_sql(path: str, sid: str, v: str) -> str:
-    """A node struct with its type, object keys, array items and string value, each
-    computed once from the Variant."""
-    ty = f"schema_of_variant({v})"
-    return (f"named_struct('path', {path}, 'sid', {sid}, 'v', {v}, 'ty', {ty}, "
-            f"'keys', map_keys(try_variant_get({v}, '$', 'map<string,variant>')), "
-            f"'arr', try_variant_get({v}, '$', 'array<variant>'), "
-            f"'s', try_variant_get({v}, '$', 'string'))")
+    """A node struct with its type, object members, array items and string value.
+
+    The members and items are cast once and bound to ``q``; only a leaf is asked for its type
+    and text, which for an object or array would walk the whole subtree."""
+    parts = (f"named_struct('m', try_variant_get({v}, '$', 'map<string,variant>'), "
+             f"'a', try_variant_get({v}, '$', 'array<variant>'))")
+    return (f"element_at(transform(array({parts}), q -> named_struct('path', {path}, 'sid', {sid}, 'm', q.m, "
+            f"'ty', CASE WHEN q.m IS NOT NULL THEN 'OBJECT' WHEN q.a IS NOT NULL THEN 'ARRAY' "
+            f"ELSE schema_of_variant({v}) END, 'keys', map_keys(q.m), 'arr', q.a, "
+            f"'s', CASE WHEN q.m IS NULL AND q.a IS NULL THEN try_variant_get({v}, '$', 'string') END)), 1)")
 
 
 class SchemaCompiler:
@@ -220,8 +181,7 @@ class SchemaCompiler:
         then array items. Unknown members are not expanded (the parent reports them)."""
         r = f"element_at({self.rules_sql()}, n.sid + 1)"
         members = (
-            "transform(filter(map_entries(coalesce(try_variant_get(n.v, '$', 'map<string,variant>'), "
-            "CAST(map() AS map<string,variant>))), e -> array_contains(r.child_keys, e.key)), "
+            "transform(filter(map_entries(n.m), e -> array_contains(r.child_keys, e.key)), "
             "e -> " + _node_sql("concat(n.path, '/', e.key)",
                                 "element_at(r.child_sids, CAST(array_position(r.child_keys, e.key) AS INT))",
                                 "e.value") + ")"
@@ -386,8 +346,3 @@ def validation_summary(errors: DataFrame) -> DataFrame:
     """Documents per (path, rule): partial aggregation before the shuffle."""
     return (errors.groupBy("path", "rule")
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
-
-
-def doc_json(col: str = "__doc") -> Column:
-    """The (stamped) document as JSON text."""
-    return F.to_json(F.col(col))

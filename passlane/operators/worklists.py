@@ -135,11 +135,6 @@ def retention_expired(decl: DataFrame, as_of, hold_seconds: int = S.DELETION_HOL
         plus_minutes(receipt_timestamp(), hold_minutes) < _ts(as_of))
 
 
-def point_lookup(decl: DataFrame, charge_reference: str) -> DataFrame:
-    """Key equality: zero or one row."""
-    return decl.where(F.col("charge_reference") == F.lit(charge_reference))
-
-
 def is_zero_pound(data: Column | None = None) -> Column:
     data = F.col("data") if data is None else data
     total = F.coalesce(F.get_json_object(

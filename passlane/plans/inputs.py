@@ -18,10 +18,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passlane import schema as S
 from passlane.session import apply_core_conf, ensure_checkpoint_dir
 from passlane.sources import bridge
-from passlane.sources.tables import DriverTables
+from passlane.sources.tables import DriverTables, read_declarations, read_locks
 
 AS_OF = bridge.AS_OF
 # Bump when a bridge formula changes so stored tables are derived again.
@@ -79,7 +78,7 @@ class Inputs:
         copies = sorted(s.getPath().toString() for s in fs.listStatus(p) if _exists(self.spark, f"{s.getPath()}/_SUCCESS"))
         return copies[0] if copies else None
 
-    def _stored(self, name: str, build, columns: list[str] | None = None) -> DataFrame:
+    def _stored(self, name: str, build, read=None) -> DataFrame:
         """The table, from a committed copy. Every writer has a folder of its own, nothing is
         renamed or deleted, and a copy without its ``_SUCCESS`` marker is never read."""
         if not self.store:
@@ -90,21 +89,15 @@ class Inputs:
             build().write.option("maxRecordsPerFile", 20_000).partitionBy(*_PARTITION_BY.get(name, ())).parquet(path)
             if not _exists(self.spark, f"{path}/_SUCCESS"):
                 return build()
-        df = self.spark.read.parquet(path)
-        return df.select(*columns) if columns else df
+        return read(self.spark, path) if read else self.spark.read.parquet(path)
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return self._stored("declarations", lambda: bridge.declarations(self.tables),
-                            S.DECLARATION_COLUMNS)
+        return self._stored("declarations", lambda: bridge.declarations(self.tables), read_declarations)
 
     @cached_property
     def locks(self) -> DataFrame:
-        return self._stored("locks", lambda: bridge.locks(self.declarations, self.as_of))
-
-    @cached_property
-    def notifications(self) -> DataFrame:
-        return self._stored("notifications", lambda: bridge.notifications(self.tables))
+        return self._stored("locks", lambda: bridge.locks(self.declarations, self.as_of), read_locks)
 
     @cached_property
     def raw_notifications(self) -> DataFrame:
@@ -139,7 +132,7 @@ class Inputs:
 
     def build_all(self) -> None:
         """Derive and store every domain table now (bench warm-up)."""
-        for name in ("declarations", "locks", "notifications", "raw_notifications",
+        for name in ("declarations", "locks", "raw_notifications",
                      "submission_responses", "raw_submissions", "raw_amendments",
                      "lookup_requests"):
             getattr(self, name)
