@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from passlane import schema as S
 from passlane.functions.refs import decode_reference
 from passlane.operators import locks as L
-from passlane.operators.documents import audit_events, jstrict
+from passlane.operators.documents import audit_events, jstrict, pick_correlation
 from passlane.operators import worklists as W
 from passlane.operators.worklists import _ts
 
@@ -195,6 +195,17 @@ def apply_amendment_results(batch: DataFrame, classified: DataFrame, as_of) -> D
     return _apply_results(batch, classified, as_of, amendment=True)
 
 
+def quarantined(batch: DataFrame) -> DataFrame:
+    """Rows of a refined submission batch that cannot be sent, with ``quarantine_reason``; each
+    is left as it is and does not stop the others."""
+    doc = F.when(F.col("is_amendment"), F.col("amend_data")).otherwise(F.col("data"))
+    correlation = pick_correlation(batch, F.col("is_amendment"))
+    reason = (F.when(doc.isNull(), F.lit("missing document"))
+              .when(correlation.isNull(), F.lit("missing correlation id"))
+              .when(~F.col("parse_ok"), F.lit("payload does not parse")))
+    return batch.withColumn("quarantine_reason", reason).where(F.col("quarantine_reason").isNotNull())
+
+
 def submitted_audit(batch: DataFrame, classified: DataFrame) -> DataFrame:
     """Audit rows of a refined batch (``payload``, ``parse_ok``, ``is_amendment``): one for each
     row whose result is Submitted, with the document that was sent."""

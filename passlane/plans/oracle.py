@@ -482,6 +482,8 @@ def oracle_sql() -> dict[str, str]:
                              "FROM batch WHERE NOT is_amendment")
     q["amendment_batch"] = (f"{bat} SELECT charge_reference, correlation, slot, true AS parse_ok "
                             "FROM batch WHERE is_amendment")
+    q["quarantined"] = (f"{DECL_WITH} SELECT charge_reference, true AS is_amendment, "
+                        "'missing document' AS quarantine_reason FROM decl WHERE amend_state IS NULL")
     q["dispatch_slots"] = (f"{bat} SELECT charge_reference, seq, slot FROM batch "
                            "WHERE NOT is_amendment")
     q["classify_responses"] = (

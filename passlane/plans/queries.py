@@ -467,6 +467,17 @@ def q_amendment_batch(spark, sf_dir):
     return b.select("charge_reference", "correlation", "slot", "parse_ok")
 
 
+@query
+def q_quarantined(spark, sf_dir):
+    """Rows of every state that could not be sent as they are, as originals and as amendments."""
+    d = Inputs(spark, sf_dir).declarations
+    both = None
+    for amendment, doc in ((False, "data"), (True, "amend_data")):
+        rows = D.refine_payload(d, doc).withColumn("is_amendment", F.lit(amendment))
+        both = rows if both is None else both.unionByName(rows)
+    return FO.quarantined(both).select("charge_reference", "is_amendment", "quarantine_reason")
+
+
 @query
 def q_dispatch_slots(spark, sf_dir):
     """One row per second (1 element per 1 s): slot of every row in the batch."""

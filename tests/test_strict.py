@@ -84,6 +84,15 @@ def test_missing_amendment_document_is_an_error(spark):
     assert FO.classify_responses(response, held).first().result == "ParsingException"
 
 
+def test_quarantine_reasons(spark):
+    cases = [({"amend_data": None}, True, True, "missing document"), ({"amend_data": "{}"}, True, True, "missing correlation id"),
+             ({"amend_data": "{}", "amend_correlation_id": "a"}, True, True, None), ({"data": "{}"}, False, True, None),
+             ({"data": "{}"}, False, False, "payload does not parse")]
+    for columns, amendment, parsed, why in cases:
+        batch = rows(spark, **columns).withColumn("is_amendment", F.lit(amendment)).withColumn("parse_ok", F.lit(parsed))
+        assert [r.quarantine_reason for r in FO.quarantined(batch).collect()] == ([why] if why else [])
+
+
 def test_retention_ignores_the_session_zone(spark):
     doc = json.dumps({"simpleDeclarationRequest": {"requestCommon": {"receiptDate": "2020-03-29T01:30:00Z"}}})
     zone = spark.conf.get("spark.sql.session.timeZone")
