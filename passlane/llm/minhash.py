@@ -11,9 +11,12 @@ the full sets of both texts.
 probability below ``MISS``; the estimate may fall six standard deviations short.
 
 Equal sets are one class from the start, so copies are never compared. In each bucket every
-class is first compared with the bucket's smallest class alone; what that leaves in separate
-components is then compared across components inside the bucket, with the estimate as part of
-the join. So no link between components is lost, and a bucket of copies gives no pairs.
+class is first compared with the bucket's hub alone, the class that meets most others in its
+buckets. What that leaves in separate components of one bucket is compared across components,
+each pair once, but only where a link is possible at all: shingles that no other class in such
+a bucket has are in no intersection, so a class with too many of them has no link, and two
+classes share at most what the poorer one has besides them. No link between components is
+lost, and a large group of copies with edits of their own gives few pairs.
 
 Defined results: null, empty and blank texts have no shingles and no links; a text shorter
 than a shingle is one shingle; repeated rows are one class; rows with a null doc_id take part
@@ -150,6 +153,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return with_b.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
+def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(node, own): how many shingles of a text no other of ``texts`` has."""
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(h, words) for h in word_hashes(list(batch["text"]))]
+            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(np.int64), [len(s) for s in sets]),
+                                "shingle": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
+
+    return (texts.mapInPandas(explode, "node long, shingle long")
+            .groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+            .groupBy("node").agg(F.count("*").alias("own")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 4, bits: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_key, rep_key.
 
@@ -166,40 +182,55 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         F.first("packed").alias("packed"))).withColumn("node", F.monotonically_increasing_id())
 
     members = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(shared, "bucket").select("bucket", "node", "hub"))
+    met = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(met, "bucket").select("bucket", "node", "n"))
+    central = members.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = members.join(central, "node").groupBy("bucket").agg(
+        F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("best")).select(
+        "bucket", (-F.col("best.neg")).alias("hub"))
     facts = classes.select("node", "size", "packed")
     sides = lambda c: facts.select(*[F.col(x).alias(f"{x}_{c}") for x in facts.columns])
-    stars = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = members.join(hubs, "bucket").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = cut(stars.join(sides("a"), F.col("a") == F.col("node_a")).join(sides("b"), F.col("b") == F.col("node_b"))
                 .where(_plausible(F.col("size_a"), F.col("size_b"), F.col("packed_a"), F.col("packed_b"),
                                   percent, k, bits)).select("a", "b"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = classes.join(nodes, "node").select(
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes.distinct(), "node").select(
             "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"))
         keyed = docs.select("doc_id", md5_of(F.col("text")).alias("text_key"), "text")
         return (keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
                 .groupBy("node").agg(F.first("text").alias("text")))
 
-    links = cut(_confirmed(stars, texts_of(stars), words, percent))
+    both = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    links = cut(_confirmed(stars, texts_of(both(stars)), words, percent))
     found = cut(connected(links))
 
-    # Components that still share a bucket: compare across them, whatever their number.
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    open_members = placed.join(mixed.select("bucket"), "bucket").join(facts, "node").select(
-        "bucket", "node", "component", "size", "packed")
+    def across_components(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+        return rows.join(mixed.select("bucket"), "bucket")
+
+    placed = members.select("bucket", "node").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    open_members = cut(across_components(placed))
+    alone = _own_shingles(texts_of(open_members.select("node")), words)
+    able = (classes.select("node", "size", "packed", "bands").join(alone, "node", "left")
+            .withColumn("common", F.col("size") - F.coalesce("own", F.lit(0)))
+            .where(F.col("common") * 100 >= F.col("size") * percent).drop("own"))
+    open_members = across_components(open_members.join(able, "node"))
     left, right = (open_members.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in (
-        "node", "component", "size", "packed")]) for c in "ab")
+        "node", "component", "size", "packed", "bands", "common")]) for c in "ab")
+    most = F.least("common_a", "common_b")
     across = (left.join(right, "bucket").where(
         (F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        & _plausible(F.col("size_a"), F.col("size_b"), F.col("packed_a"), F.col("packed_b"), percent, k, bits))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    across = cut(across.join(stars, ["a", "b"], "left_anti"))
+        & (most * 100 >= (F.col("size_a") + F.col("size_b") - most) * percent)
+        & _plausible(F.col("size_a"), F.col("size_b"), F.col("packed_a"), F.col("packed_b"), percent, k, bits)
+        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket")))  # a pair's first bucket
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    across = cut(across.join(stars, ["a", "b"], "left_anti").join(
+        stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        links = links.unionByName(cut(_confirmed(across, texts_of(across), words, percent)))
+        links = links.unionByName(cut(_confirmed(across, texts_of(both(across)), words, percent)))
         found = cut(connected(links))
 
     named = (classes.select("set_key", "node", "rep").join(found, "node", "left")
