@@ -10,13 +10,12 @@ the full sets of both texts.
 ``bands`` follows from the threshold: two documents at the threshold share no bucket with a
 probability below ``MISS``; the estimate may fall six standard deviations short.
 
-Equal sets are one class from the start, so copies are never compared. In each bucket every
-class is first compared with the bucket's hub alone, the class that meets most others in its
-buckets. What that leaves in separate components of one bucket is compared across components,
-each pair once, but only where a link is possible at all: shingles that no other class in such
-a bucket has are in no intersection, so a class with too many of them has no link, and two
-classes share at most what the poorer one has besides them. No link between components is
-lost, and a large group of copies with edits of their own gives few pairs.
+Equal sets are one class from the start, so copies are never compared. Every bucket has a hub,
+the class that meets most others in its buckets; each class is first compared with the hubs of
+its buckets alone. Where the classes of one hub then still lie in several components, their
+full sets are compared across components inside tasks of at most two blocks of ``BLOCK_ROWS``
+classes, and only links come out, at most one for each two components. So no link between
+components is lost, and a group of near copies never becomes rows of all its pairs.
 
 Defined results: null, empty and blank texts have no shingles and no links; a text shorter
 than a shingle is one shingle; repeated rows are one class; rows with a null doc_id take part
@@ -41,6 +40,8 @@ from passlane.llm.vector import mix, word_hashes
 
 MISS = 1e-7
 SEED = 20_231
+#: Classes of one hub that a task compares with as many others; and shingles it counts at a time.
+BLOCK_ROWS, BLOCK_COLUMNS = 400, 8192
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -153,17 +154,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return with_b.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(node, own): how many shingles of a text no other of ``texts`` has."""
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(h, words) for h in word_hashes(list(batch["text"]))]
-            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(np.int64), [len(s) for s in sets]),
-                                "shingle": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
-
-    return (texts.mapInPandas(explode, "node long, shingle long")
-            .groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-            .groupBy("node").agg(F.count("*").alias("own")))
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from one-hot columns of the shingles that two sets share."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = df[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = column.argsort(kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        a, b = np.searchsorted(column, (k, k + BLOCK_COLUMNS))
+        hot = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+        hot[row[a:b], column[a:b] - k] = 1
+        both += hot @ hot.T
+    return both
+
+
+def _links_across(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of one hub: ``members`` (hub, node, component, n, text),
+    ``n`` the members of the hub. Exact: all pairs of classes of different components are held
+    against the threshold."""
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    dealt = (members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                     "own", "node", "component", "text"))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node")
+        own, node, component = (g[c].to_numpy(np.int64) for c in ("own", "node", "component"))
+        found = []
+        if len(set(component)) > 1:
+            sets = [shingle_set(h, words) for h in word_hashes(list(g["text"]))]
+            size = np.array([len(s) for s in sets], np.int64)
+            both = _overlaps(sets).astype(np.int64)
+            ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            ok &= component[:, None] != component[None, :]
+            if g["low"].iloc[0] != g["high"].iloc[0]:
+                ok &= own[:, None] != own[None, :]  # the pairs of one block have a task of their own
+            top = {c: c for c in component.tolist()}
+            for i, j in zip(*np.nonzero(np.triu(ok)), strict=True):
+                x, y = int(component[i]), int(component[j])
+                while top[x] != x:
+                    x = top[x]
+                while top[y] != y:
+                    y = top[y]
+                if x != y:
+                    top[x] = y
+                    found.append((node[i], node[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("hub", "low", "high").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 4, bits: int = 2) -> DataFrame:
@@ -190,7 +233,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         "bucket", (-F.col("best.neg")).alias("hub"))
     facts = classes.select("node", "size", "packed")
     sides = lambda c: facts.select(*[F.col(x).alias(f"{x}_{c}") for x in facts.columns])
-    stars = members.join(hubs, "bucket").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    members = cut(members.join(hubs, "bucket").select("hub", "node").distinct())
+    stars = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     stars = cut(stars.join(sides("a"), F.col("a") == F.col("node_a")).join(sides("b"), F.col("b") == F.col("node_b"))
                 .where(_plausible(F.col("size_a"), F.col("size_b"), F.col("packed_a"), F.col("packed_b"),
                                   percent, k, bits)).select("a", "b"))
@@ -206,32 +250,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     links = cut(_confirmed(stars, texts_of(both(stars)), words, percent))
     found = cut(connected(links))
 
-    def across_components(rows: DataFrame) -> DataFrame:
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        return rows.join(mixed.select("bucket"), "bucket")
-
-    placed = members.select("bucket", "node").join(found, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    open_members = cut(across_components(placed))
-    alone = _own_shingles(texts_of(open_members.select("node")), words)
-    able = (classes.select("node", "size", "packed", "bands").join(alone, "node", "left")
-            .withColumn("common", F.col("size") - F.coalesce("own", F.lit(0)))
-            .where(F.col("common") * 100 >= F.col("size") * percent).drop("own"))
-    open_members = across_components(open_members.join(able, "node"))
-    left, right = (open_members.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in (
-        "node", "component", "size", "packed", "bands", "common")]) for c in "ab")
-    most = F.least("common_a", "common_b")
-    across = (left.join(right, "bucket").where(
-        (F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        & (most * 100 >= (F.col("size_a") + F.col("size_b") - most) * percent)
-        & _plausible(F.col("size_a"), F.col("size_b"), F.col("packed_a"), F.col("packed_b"), percent, k, bits)
-        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket")))  # a pair's first bucket
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    across = cut(across.join(stars, ["a", "b"], "left_anti").join(
-        stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = links.unionByName(cut(_confirmed(across, texts_of(both(across)), words, percent)))
-        found = cut(connected(links))
+    # Hubs whose classes still lie in several components: compare across them.
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                      F.count("*").alias("n")).where("x != y")
+    apart = cut(placed.join(mixed.select("hub", "n"), "hub").select("hub", "node", "component", "n"))
+    more = cut(_links_across(apart.join(texts_of(apart.select("node")), "node"), words, percent))
+    if not more.isEmpty():
+        found = cut(connected(links.unionByName(more)))
 
     named = (classes.select("set_key", "node", "rep").join(found, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
