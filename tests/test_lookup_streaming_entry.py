@@ -56,9 +56,10 @@ def test_stream_intake_counter_continues_across_batches(spark):
     from passlane.plans.queries import counter_start
     from passlane.streaming import jobs as ST
     i = Inputs(spark, SF)
-    src = i.path("raw_submissions")
     start = counter_start(i)
     root = ST.stream_root(spark, "intake-test")
+    src = f"{root}/in"
+    i.raw_submissions.repartition(3).write.parquet(src)
     out = ST.stream_intake(spark, src, start, i.as_of, root, max_files_per_trigger=1)
     batches = spark.read.parquet(f"{root}/counter").count()
     assert batches > 1
