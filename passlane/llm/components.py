@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from passlane.llm.common import cut
 
 
-def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    return (pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") != F.col("v")).distinct())
-
-
 def connected(links: DataFrame) -> DataFrame:
     """``links`` (a, b) of longs to (node, component): the smallest node reachable.
 
@@ -22,20 +17,19 @@ def connected(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every greater neighbour, and the node itself, to the least
-        edges = _star(both.where(F.col("v") > F.col("u")), least).unionByName(
-            least.where(F.col("m") != F.col("u")).select("u", F.col("m").alias("v"))).distinct()
+        down = (both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         # small star: every smaller neighbour, and the node itself, to the least of them
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(_star(down, least).unionByName(least.select("u", F.col("m").alias("v"))).select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == seen:
+        edges = cut(down.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+                    .unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        # done when no node that others point to points on, and none points twice
+        ups = edges.agg(F.count("*"), F.count_distinct("u")).first()
+        on = edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi")
+        if ups[0] == ups[1] and on.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now

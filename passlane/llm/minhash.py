@@ -41,7 +41,7 @@ from passlane.llm.vector import mix, word_hashes
 MISS = 1e-7
 SEED = 20_231
 #: Classes of one hub that a task compares with as many others; and shingles it counts at a time.
-BLOCK_ROWS, BLOCK_COLUMNS = 400, 8192
+BLOCK_ROWS, BLOCK_COLUMNS = 800, 8192
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -239,25 +239,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
                 .where(_plausible(F.col("size_a"), F.col("size_b"), F.col("packed_a"), F.col("packed_b"),
                                   percent, k, bits)).select("a", "b"))
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes.distinct(), "node").select(
-            "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"))
-        keyed = docs.select("doc_id", md5_of(F.col("text")).alias("text_key"), "text")
-        return (keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
+    wanted = classes.join(members.select("node").distinct(), "node").select(
+        "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"))
+    keyed = docs.select("doc_id", md5_of(F.col("text")).alias("text_key"), "text")
+    texts = cut(keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
                 .groupBy("node").agg(F.first("text").alias("text")))
-
-    both = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    links = cut(_confirmed(stars, texts_of(both(stars)), words, percent))
-    found = cut(connected(links))
+    links = cut(_confirmed(stars, texts, words, percent))
+    found = connected(links)
 
     # Hubs whose classes still lie in several components: compare across them.
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"),
                                       F.count("*").alias("n")).where("x != y")
     apart = cut(placed.join(mixed.select("hub", "n"), "hub").select("hub", "node", "component", "n"))
-    more = cut(_links_across(apart.join(texts_of(apart.select("node")), "node"), words, percent))
+    more = cut(_links_across(apart.join(texts, "node"), words, percent))
     if not more.isEmpty():
-        found = cut(connected(links.unionByName(more)))
+        found = connected(links.unionByName(more))
 
     named = (classes.select("set_key", "node", "rep").join(found, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
