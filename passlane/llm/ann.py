@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
 Index. Equal vectors are one node (with its smallest ids), so copies cost nothing. A first
-graph comes from exact search inside the cells of a few random projection trees; then each
-round joins every node's neighbours (and a bounded number of nodes that name it) with their
-vectors, compares them with each other and offers each what it lacks: neighbours of
-neighbours. Vectors travel as bytes there; scores of the search are in double precision.
+graph comes from exact search inside the cells of a few random projection trees (the upper
+levels from a sample, the lower ones inside the task that has the cell); then rounds join every
+node's neighbours (and a bounded number of nodes that name it) with their vectors, compare them
+with each other and offer each what it lacks, neighbours of neighbours, until a round changes
+hardly any edge. Vectors travel as bytes there, whose products are exact sums, so that lists
+only ever get better; scores of the search are in double precision.
 
 Search. A query starts at its own node and keeps a beam of the best nodes found. Each hop
 expands what the beam has not expanded yet, scores the neighbours where their vectors are
-(nodes lie in blocks of bounded size), and ends when nothing is left to expand. Queries run in
-batches of bounded number, whose vectors are broadcast.
+(nodes lie in blocks of bounded size), until nothing is left to expand for any query. Queries
+run in batches of bounded number, whose vectors are broadcast.
 
 Every row is in the index. The degree, the beam and the reverse neighbours are bounds of the
-approximate method; recall against brute force is measured in the tests.
+approximate method; the numbers of levels, rounds and hops follow from the data. Recall against
+brute force is measured in the tests.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null,
 NaN or infinite numbers take no part; rows repeated with one vec_id count once (of different
@@ -71,6 +74,19 @@ def _triples(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.concatenate([np.frombuffer(x, "<f4") for x in frame["scores"]] + [np.empty(0, np.float32)]))
 
 
+def _codes_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as numbers whose inner products are exact, and their scales."""
+    x = _matrix(g["code"], "i1")
+    return x.astype(np.float32 if x.shape[1] << 14 < 1 << 24 else np.float64), g["scale"].to_numpy(np.float32)
+
+
+def _products(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs; -inf of a vector with itself."""
+    s = ((x @ x.T) * np.outer(scale, scale)).astype(np.float32)
+    np.fill_diagonal(s, -np.inf)
+    return s
+
+
 def _matrix(column: pd.Series, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1) if len(column) else np.empty((0, 1), dtype)
 
@@ -131,7 +147,8 @@ def nodes_of(found: DataFrame, answers: int, block_size: int) -> tuple[DataFrame
 # -- graph
 
 def _trees(nodes: DataFrame, n: int, trees: int, cell: int, sample: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Random directions by level, and the medians of a bounded sample at every inner node."""
+    """Random directions by level, and the medians of a bounded sample at every inner node; cells
+    that are still too large are split further by the task that has them."""
     taken = nodes.select("node", "vec").orderBy(F.xxhash64("node")).limit(sample).select("vec").toPandas()
     x = _matrix(taken["vec"], "<f8")
     r = np.random.Generator(np.random.PCG64(SEED))
@@ -150,6 +167,18 @@ def _trees(nodes: DataFrame, n: int, trees: int, cell: int, sample: int) -> list
     return out
 
 
+def _leaves(x: np.ndarray, most: int, r: np.random.Generator) -> Iterator[np.ndarray]:
+    """Rows of ``x`` in cells of at most ``most``, halved at medians along random directions."""
+    todo = [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            yield rows
+        else:
+            rows = rows[np.argsort(x[rows] @ r.normal(size=x.shape[1]).astype(x.dtype), kind="stable")]
+            todo += [rows[:len(rows) // 2], rows[len(rows) // 2:]]
+
+
 def first_graph(nodes: DataFrame, n: int, blocks: int, degree: int, trees: int, cell: int, sample: int) -> DataFrame:
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(_trees(nodes, n, trees, cell, sample))
@@ -165,34 +194,45 @@ def first_graph(nodes: DataFrame, n: int, blocks: int, degree: int, trees: int,
         return pd.Series(list(np.stack(found, 1).astype(np.int32)))
 
     placed = nodes.select("node", "code", "scale", F.posexplode(cells("vec")).alias("tree", "cell"))
-    sizes = placed.groupBy("tree", "cell").count().select(  # bounded by the sample
-        F.col("tree").alias("s_tree"), F.col("cell").alias("s_cell"), F.ceil(F.col("count") / (2 * cell)).alias("parts"))
-    placed = placed.join(F.broadcast(sizes), (F.col("tree") == F.col("s_tree")) & (F.col("cell") == F.col("s_cell"))).select(
-        "tree", "cell", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).alias("part"), "node", "code", "scale")
 
     def inside(g: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(g["code"], "i1").astype(np.float32) * g["scale"].to_numpy(np.float32)[:, None]
-        node = g["node"].to_numpy(np.int64)
-        if len(node) < 2:
-            return _lists(node[:0], node[:0], np.empty(0, np.float32))
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
-        m = min(degree, len(node) - 1)
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        return _lists(*best_of(np.repeat(node, m), node[top].ravel(), np.take_along_axis(s, top, 1).ravel(), m))
+        g = g.sort_values("node", kind="stable")
+        x, scale = _codes_of(g)
+        node, found = g["node"].to_numpy(np.int64), []
+        for rows in _leaves(x * scale[:, None], 2 * cell, np.random.Generator(np.random.PCG64([SEED, *g[["tree", "cell"]].iloc[0]]))):
+            if len(rows) < 2:
+                continue
+            s = _products(x[rows], scale[rows])
+            m = min(degree, len(rows) - 1)
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            found.append(best_of(np.repeat(node[rows], m), node[rows][top].ravel(), np.take_along_axis(s, top, 1).ravel(), m))
+        return _joined(found)
+
+    return _merged(None, placed.groupBy("tree", "cell").applyInPandas(inside, LISTS), blocks, degree)
+
 
-    return _merged([placed.groupBy("tree", "cell", "part").applyInPandas(inside, LISTS)], blocks, degree)
+def _joined(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    if not found:
+        return _lists(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    return _lists(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
-def _merged(parts: list[DataFrame], blocks: int, degree: int) -> DataFrame:
-    """Lists of one node to its best ``degree`` neighbours; blocks are merged as arrays."""
+def _merged(graph: DataFrame | None, offers: DataFrame, blocks: int, degree: int) -> DataFrame:
+    """Lists of one node to its best ``degree`` neighbours, and how many of them ``graph`` lacks;
+    blocks are merged as arrays."""
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        return _lists(*best_of(*_triples(g), degree))
+        node, other, score = best_of(*_triples(g), degree)
+        out = _lists(node, other, score)
+        before = {n: np.frombuffer(x, "<i8") for n, x in zip(g["node"][g["held"]], g["ids"][g["held"]], strict=True)}
+        none = np.empty(0, np.int64)
+        return out.assign(fresh=[int((~np.isin(np.frombuffer(x, "<i8"), before.get(n, none))).sum())
+                                 for n, x in zip(out["node"], out["ids"], strict=True)])
 
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return cut(rows.withColumn("block", _block(F.col("node"), blocks)).groupBy("block").applyInPandas(merge, LISTS))
+    rows = offers.withColumn("held", F.lit(False))
+    if graph is not None:
+        rows = graph.select("node", "ids", "scores", F.lit(True).alias("held")).unionByName(rows)
+    return cut(rows.withColumn("block", _block(F.col("node"), blocks)).groupBy("block").applyInPandas(
+        merge, f"{LISTS}, fresh long"))
 
 
 def _edges(graph: DataFrame, degree: int) -> DataFrame:
@@ -208,8 +248,9 @@ def _edges(graph: DataFrame, degree: int) -> DataFrame:
     return named.select("at", "node").unionByName(back.select(F.col("node").alias("at"), F.col("at").alias("node"))).distinct()
 
 
-def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, offers: int) -> DataFrame:
-    """One round: neighbours of a node are compared with each other; each is offered the best it lacks."""
+def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, held: int = 1 << 20) -> DataFrame:
+    """One round: neighbours of a node are compared with each other; each is offered all that is
+    better than its last. A task reduces its offers when it holds ``held``."""
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"l_node": b["node"], "least": [
@@ -223,26 +264,22 @@ def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, offers
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("at", kind="stable")
         at, node = g["at"].to_numpy(np.int64), g["node"].to_numpy(np.int64)
-        x = _matrix(g["code"], "i1").astype(np.float32) * g["scale"].to_numpy(np.float32)[:, None]
+        x, scale = _codes_of(g)
         least = g["least"].to_numpy(np.float32)
         cuts = np.append(np.flatnonzero(np.diff(at, prepend=at[0] - 1)), len(at))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2:
-                continue
-            s = x[a:b] @ x[a:b].T
-            np.fill_diagonal(s, -np.inf)
-            m = min(offers, b - a - 1)
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            score = np.take_along_axis(s, top, 1)
-            better = score > least[a:b, None]
-            row = np.repeat(np.arange(a, b), m).reshape(-1, m)[better]
-            found.append((node[row], node[a:b][top[better]], score[better]))
-        if not found:
-            return _lists(node[:0], node[:0], np.empty(0, np.float32))
-        return _lists(*best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), degree))
+            s = _products(x[a:b], scale[a:b])
+            row, col = np.nonzero(s > least[a:b, None])
+            found.append((node[a:b][row], node[a:b][col], s[row, col]))
+            size += len(row)
+            if size > held:
+                found = [best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), degree)]
+                size = 0
+        return _joined([best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), degree)])
 
-    return _merged([graph, around.groupBy("block").applyInPandas(compare, LISTS)], blocks, degree)
+    return _merged(graph, around.groupBy("block").applyInPandas(compare, LISTS), blocks, degree)
 
 
 # -- search
@@ -251,7 +288,7 @@ STATE = "query long, ids binary, scores binary, opened binary"
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, beam: int,
-           most_hops: int, batch: int) -> DataFrame:
+           batch: int) -> DataFrame:
     """``queries`` (query: a node) to (query, ids, scores): the best ``beam`` nodes found, best first."""
     spark = queries.sparkSession
 
@@ -274,12 +311,12 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, blocks: int,
         got = mine.toPandas()  # about `batch` rows
         order = got["query"].to_numpy(np.int64).argsort()
         shared = spark.sparkContext.broadcast((got["query"].to_numpy(np.int64)[order], _matrix(got["vec"], "<f8")[order]))
-        done = _search_batch(mine.select("query"), placed, blocks, beam, most_hops, shared)
+        done = _search_batch(mine.select("query"), placed, blocks, beam, shared)
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def _search_batch(queries: DataFrame, placed: DataFrame, blocks: int, beam: int, most_hops: int, shared) -> DataFrame:
+def _search_batch(queries: DataFrame, placed: DataFrame, blocks: int, beam: int, shared) -> DataFrame:
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """What each query's beam has not opened yet, by block."""
         for b in batches:
@@ -347,7 +384,7 @@ def _search_batch(queries: DataFrame, placed: DataFrame, blocks: int, beam: int,
                 .withColumn("opened", F.lit(None).cast("binary")))
 
     state = merged(scored(queries.select("query", F.col("query").alias("node"))))
-    for _ in range(most_hops):
+    while True:  # a beam only gets better, so this ends
         asked = state.mapInPandas(expand, "query long, node long").withColumn("block", _block(F.col("node"), blocks))
         found = (asked.groupBy("block").cogroup(placed.groupBy("block"))
                  .applyInPandas(open_nodes, "query long, node long"))
@@ -359,19 +396,24 @@ def _search_batch(queries: DataFrame, placed: DataFrame, blocks: int, beam: int,
     return state.select("query", "ids", "scores")
 
 
-def nearest(rows: DataFrame, is_query: Column, answers: int = 20, degree: int = 24, trees: int = 8, cell: int = 400,
-            rounds: int = 2, offers: int = 8, beam: int = 256, most_hops: int = 12, block_size: int = 4096,
-            sample: int = 20_000, batch: int = 20_000) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, answers: int = 20, degree: int = 32, trees: int = 8, cell: int = 400,
+            settled: float = 0.001, beam: int = 256, block_size: int = 4096, sample: int = 20_000,
+            batch: int = 20_000) -> DataFrame:
     """For each row of (vec_id, embedding) that ``is_query`` picks, its ``answers`` nearest others:
-    query_id, rank, vec_id, score."""
+    query_id, rank, vec_id, score. The graph is done when a round changes at most the share
+    ``settled`` of its edges."""
     found = vectors(rows)
     nodes, n, blocks = nodes_of(found, answers, block_size)
     graph = first_graph(nodes, n, blocks, degree, trees, cell, sample)
-    for _ in range(rounds):
-        graph = descend(graph, nodes, blocks, degree, offers)
+    fresh = n
+    while fresh:
+        graph = descend(graph, nodes, blocks, degree)
+        fresh = graph.where(F.col("fresh") > 0).agg(F.sum("fresh")).first()[0] or 0
+        if fresh <= settled * n * degree:
+            break
     asking = cut(found.where(is_query).join(nodes.select("node", F.col("vec").alias("n_vec")), F.col("vec") == F.col("n_vec"))
                  .select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")))
-    best = search(asking.select("query").distinct(), graph, nodes, blocks, degree, beam, most_hops, batch)
+    best = search(asking.select("query").distinct(), graph, nodes, blocks, degree, beam, batch)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from passlane.llm import ann
@@ -60,3 +61,45 @@ def test_few_and_no_rows(spark):
 def test_batches_of_queries_agree(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(200)
     assert answers(frame, 10, batch=7, block_size=64) == answers(frame, 10)
+
+
+def test_search_goes_on_while_anything_is_open(spark):
+    """A path of 16 nodes whose scores grow along it takes 15 hops."""
+    near = [(k, [j for j in (k - 1, k + 1) if 0 <= j < 16]) for k in range(16)]
+    graph = spark.createDataFrame([(k, np.array(j, "<i8").tobytes(), np.zeros(len(j), "<f4").tobytes()) for k, j in near], ann.LISTS)
+    nodes = spark.createDataFrame([(k, np.array([1.0 + k]).tobytes()) for k in range(16)], "node long, vec binary").select(
+        "node", ann._block(F.col("node"), 2).alias("block"), "vec")
+    queries = spark.createDataFrame([(0,)], "query long")
+    best = ann.search(queries, graph, nodes, blocks=2, degree=2, beam=2, batch=10).first()
+    assert np.frombuffer(best["ids"], "<i8").tolist() == [15, 14]
+
+
+def unit_vectors(n):
+    x = np.random.Generator(np.random.PCG64(5)).normal(size=(n, 64)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(spark, n, every, **kw):
+    x = unit_vectors(n)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(8)
+    got, hits = answers(frame, every, **kw), 0
+    asked = np.arange(0, n, every)
+    for part in np.array_split(asked, -(-len(asked) // 200)):  # blocked brute force
+        s = x[part] @ x.T
+        s[np.arange(len(part)), part] = -np.inf
+        for q, best in zip(part, np.argpartition(-s, 20, axis=1)[:, :20], strict=True):
+            hits += len({i for i, _ in got[int(q)]} & set(best.tolist()))
+    return hits / (20 * len(asked))
+
+
+def test_cells_beyond_the_sample_are_split_by_place():
+    r = np.random.Generator(np.random.PCG64(1))
+    x = unit_vectors(3000)
+    leaves = list(ann._leaves(x, 100, r))
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(3000)) and max(map(len, leaves)) <= 100
+    inside = np.mean([(x[k] @ x[k].T).sum() / len(k) ** 2 for k in leaves])
+    assert inside > 0.05  # of random groups: 1 / len(k), about 0.01
+
+
+def test_recall_of_production_defaults_on_many_flat_vectors(spark):
+    assert recall(spark, 50_000, 100) >= 0.9
