@@ -59,7 +59,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -109,7 +109,7 @@ class Page:
                     words |= set(WORD.findall(value))
                 elif name == "role":
                     role = value.strip()
-                elif name == "hidden" or value == "true":
+                elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     hidden = True
         node, parent = len(self.tags), stack[-1]
         inside = any(self.tags[k] in ("article", "main") for k in stack)

@@ -63,3 +63,10 @@ def test_whole_table_against_the_articles(spark):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body))
         want[r.page_id] = "\n".join(b for b in blocks if b)
     assert {r.page_id: r.text for r in W.extract_main_text(frame).collect()} == want
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="hidden"', 'data-id="ad"', "data-x=hidden", 'data-class="nav" data-hidden'])
+def test_only_whole_attribute_names_count(attributes):
+    assert text(f"<article><div {attributes}><p>one</p></div><p>two</p></article>") == "one\ntwo"
+    assert text('<p>see <a href="/hidden-gems">gems</a> <a href="/p?id=login">in</a></p>') == "see gems in"
+    assert text('<p>a<b aria-hidden="true">x</b><i HIDDEN>y</i><u hidden=until-found>z</u></p>') == "a"
