@@ -197,24 +197,36 @@ def simple_tree_matching(a: Page, b: Page) -> dict[int, int]:
     """Nodes of ``b`` matched to nodes of ``a``: the largest top-down, order-preserving match."""
     memo: dict[tuple[int, int], list] = {}
 
-    def match(x: int, y: int) -> int:
-        if a.labels[x] != b.labels[y]:
-            return 0
+    def alike(x: int, y: int) -> bool:
+        return a.labels[x] == b.labels[y]
+
+    def weigh(x: int, y: int) -> None:
         p, q = a.children[x], b.children[y]
-        if not p or not q:
-            return 1
         table = [[0] * (len(q) + 1)]
         for i, u in enumerate(p):
             row, above = [0], table[i]
             for j, v in enumerate(q):
                 best = above[j + 1] if above[j + 1] >= row[j] else row[j]
-                w = match(u, v) if a.labels[u] == b.labels[v] else 0
+                w = 0
+                if alike(u, v):
+                    below = memo.get((u, v))
+                    w = 1 + below[-1][-1] if below else 1
                 row.append(above[j] + w if w and above[j] + w > best else best)
             table.append(row)
         memo[x, y] = table
-        return 1 + table[-1][-1]
 
-    found, todo = {}, [(0, 0)] if match(0, 0) else []
+    # Pairs with children, each after the pairs below it.
+    open_pairs = [(0, 0, False)] if alike(0, 0) and a.children[0] and b.children[0] else []
+    while open_pairs:
+        x, y, ready = open_pairs.pop()
+        if ready:
+            weigh(x, y)
+            continue
+        open_pairs.append((x, y, True))
+        open_pairs += [(u, v, False) for u in a.children[x] if a.children[u]
+                       for v in b.children[y] if b.children[v] and alike(u, v)]
+
+    found, todo = {}, [(0, 0)] if alike(0, 0) else []
     while todo:
         x, y = todo.pop()
         found[y] = x

@@ -70,3 +70,8 @@ def test_only_whole_attribute_names_count(attributes):
     assert text(f"<article><div {attributes}><p>one</p></div><p>two</p></article>") == "one\ntwo"
     assert text('<p>see <a href="/hidden-gems">gems</a> <a href="/p?id=login">in</a></p>') == "see gems in"
     assert text('<p>a<b aria-hidden="true">x</b><i HIDDEN>y</i><u hidden=until-found>z</u></p>') == "a"
+
+
+def test_deep_pages_are_matched():
+    page = W.Page("<div>" + "<font>x" * 5000)
+    assert len(W.simple_tree_matching(page, page)) == len(page.tags) == 5002
