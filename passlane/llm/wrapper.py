@@ -34,7 +34,10 @@ from passlane.llm.common import broadcast_if, cut, ship
 
 # Elements of HTML, by how they are parsed and what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|audio|video|title"
+RAW = "script|style|noscript|iframe|textarea|title"
+FOREIGN = frozenset(("svg", "math"))
+# Dropped with what they hold if they are closed by a tag of their own.
+UNSHOWN = frozenset("template select svg object canvas audio video annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
@@ -69,6 +72,7 @@ class Page:
     def __init__(self, source: str | None):
         self.tags, self.labels, self.parents, self.aside = ["html"], ["html"], [-1], [False]
         self.children: list[list[int]] = [[]]
+        self.ended = [False]  # by an end tag of its own
         self.runs: list[tuple[int, str | None]] = []  # None: a block ends or begins
         stack, at, source = [0], 0, source or ""
         for m in TOKEN.finditer(source):
@@ -87,18 +91,23 @@ class Page:
                 self._open(stack, tag, attributes)
         if at < len(source):
             self.runs.append((stack[-1], source[at:]))
+        unshown = [False] * len(self.tags)
+        for k in range(1, len(self.tags)):
+            unshown[k] = unshown[self.parents[k]] or (self.tags[k] in UNSHOWN and self.ended[k])
+            self.aside[k] |= self.aside[self.parents[k]] or unshown[k]
+        self.runs = [(k, run) for k, run in self.runs if run is not None or not unshown[k]]
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         if tag in ("html", "body") and (tag == "html" or tag in self.tags):
             return
         if tag in CLOSES_P:
-            self._pop_to(stack, {"p"}, {"article", "section", "div", "td", "li", "body", "blockquote"})
+            self._pop_to(stack, {"p"}, {"article", "section", "div", "td", "li", "body", "blockquote"} | UNSHOWN)
         if tag in CLOSES:
             for _ in range(3):
                 self._pop_to(stack, *CLOSES[tag])
         if tag in BLOCK:
             self.runs.append((stack[-1], None))
-        if tag in VOID:
+        if tag in VOID or (attributes.endswith("/") and (tag in FOREIGN or any(self.tags[k] in FOREIGN for k in stack))):
             return
         words = set()
         role, hidden = "", False
@@ -118,7 +127,8 @@ class Page:
         self.tags.append(tag)
         self.labels.append(" ".join([tag, *sorted(words)]))
         self.parents.append(parent)
-        self.aside.append(aside or self.aside[parent])
+        self.aside.append(aside)
+        self.ended.append(False)
         self.children.append([])
         self.children[parent].append(node)
         stack.append(node)
@@ -141,6 +151,7 @@ class Page:
             if self.tags[stack[k]] == tag or self.labels[stack[k]].split(" ", 1)[0] == tag:
                 if tag in BLOCK:
                     self.runs.append((stack[-1], None))
+                self.ended[stack[k]] = True
                 del stack[k:]
                 return
         if tag in BLOCK:

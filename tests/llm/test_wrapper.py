@@ -75,3 +75,13 @@ def test_only_whole_attribute_names_count(attributes):
 def test_deep_pages_are_matched():
     page = W.Page("<div>" + "<font>x" * 5000)
     assert len(W.simple_tree_matching(page, page)) == len(page.tags) == 5002
+
+
+def test_elements_without_their_end_tag_do_not_eat_the_page():
+    end = " two</p><p>three</p></article>"
+    for element in ('<svg class="i"/>', "<math/>", "<svg><path d='x'/><g/><circle/></svg>", "<video src=x><source src=y></video>",
+                    "<select><option>1<option>2</select>", "<svg><title>t</title><text>s</text></svg>", "<template><p>x</p></template>"):
+        assert text(f"<article><p>one {element}{end}") == "one two\nthree"
+    for name in ("object", "video", "audio", "canvas", "select"):
+        assert text(f"<article><p>one <{name}>{end}") == "one two\nthree"
+    assert text("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> shows</p>") == "as x=1 shows"
