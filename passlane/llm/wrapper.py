@@ -55,6 +55,12 @@ ASIDE_WORDS = frozenset(
     "cookie cookies disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter "
     "notice notices overlay paywall popup promo promoted promotion recommended related replies reply respond responses "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+# Words that name no aside by themselves but may stand beside one that does, as in "site-footer" or "ad-slot-1".
+BESIDE_WORDS = frozenset(
+    "area bar block bottom box btn button container content form global group inner item items left link links list "
+    "main outer page primary right secondary section site slot top unit wrap wrapper".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+NEVER_ASIDE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # by a word
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -66,12 +72,19 @@ ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 WORD = re.compile(r"[a-z]+")
 
 
+def aside_words(token: str, known: frozenset[str]) -> set[str]:
+    """The words of a class or id that name an aside: all its words are known ones or such as stand beside them."""
+    words = set(WORD.findall(token))
+    return words & known if words <= known | BESIDE_WORDS else set()
+
+
 class Page:
     """A DOM tree: nodes in document order, and the text runs with the node that holds each."""
 
     def __init__(self, source: str | None):
         self.tags, self.labels, self.parents, self.aside = ["html"], ["html"], [-1], [False]
         self.children: list[list[int]] = [[]]
+        self.named: dict[int, set[str]] = {}  # asides by the words of a class or id alone
         self.ended = [False]  # by an end tag of its own
         self.runs: list[tuple[int, str | None]] = []  # None: a block ends or begins
         stack, at, source = [0], 0, source or ""
@@ -91,12 +104,30 @@ class Page:
                 self._open(stack, tag, attributes)
         if at < len(source):
             self.runs.append((stack[-1], source[at:]))
+        self._keep_bulk()
         unshown = [False] * len(self.tags)
         for k in range(1, len(self.tags)):
             unshown[k] = unshown[self.parents[k]] or (self.tags[k] in UNSHOWN and self.ended[k])
             self.aside[k] |= self.aside[self.parents[k]] or unshown[k]
         self.runs = [(k, run) for k, run in self.runs if run is not None or not unshown[k]]
 
+    def _keep_bulk(self) -> None:
+        """What is an aside by a word only, and no comments, stays one only without most of the text."""
+        marked = list(self.named)
+        if not marked:
+            return
+        size = [0] * len(self.tags)
+        for node, run in self.runs:
+            if run:
+                size[node] += len(run.strip())
+        for k in range(len(self.tags) - 1, 0, -1):
+            if self.aside[k] and k not in self.named:
+                size[k] = 0
+            size[self.parents[k]] += size[k]
+        for k in marked:
+            if not self.named[k] & COMMENT_WORDS and 2 * size[k] > size[0]:
+                self.aside[k] = False
+
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         if tag in ("html", "body") and (tag == "html" or tag in self.tags):
             return
@@ -109,21 +140,30 @@ class Page:
             self.runs.append((stack[-1], None))
         if tag in VOID or (attributes.endswith("/") and (tag in FOREIGN or any(self.tags[k] in FOREIGN for k in stack))):
             return
-        words = set()
+        words, tokens = set(), []
         role, hidden = "", False
         if attributes:
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id"):
                     words |= set(WORD.findall(value))
+                    tokens += [(name, t) for t in value.split()]
                 elif name == "role":
                     role = value.strip()
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     hidden = True
         node, parent = len(self.tags), stack[-1]
         inside = any(self.tags[k] in ("article", "main") for k in stack)
-        aside = (hidden or tag in ASIDE_TAGS or (tag == "header" and not inside) or role in ASIDE_ROLES
-                 or (tag not in ("html", "body", "main") and bool(words & (ASIDE_WORDS - {"header"} if inside else ASIDE_WORDS))))
+        aside = hidden or tag in ASIDE_TAGS or (tag == "header" and not inside) or role in ASIDE_ROLES
+        if not aside and tag not in NEVER_ASIDE and role != "main":
+            known = ASIDE_WORDS - {"header"} if inside else ASIDE_WORDS
+            named = set()
+            for name, token in tokens:
+                # ids of sections inside an article are made from their headings
+                named |= aside_words(token, COMMENT_WORDS if name == "id" and tag == "section" and inside else known)
+            if named:
+                self.named[node] = named
+                aside = True
         self.tags.append(tag)
         self.labels.append(" ".join([tag, *sorted(words)]))
         self.parents.append(parent)

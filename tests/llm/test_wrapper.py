@@ -85,3 +85,15 @@ def test_elements_without_their_end_tag_do_not_eat_the_page():
     for name in ("object", "video", "audio", "canvas", "select"):
         assert text(f"<article><p>one <{name}>{end}") == "one two\nthree"
     assert text("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> shows</p>") == "as x=1 shows"
+
+
+def test_words_of_content_make_no_aside():
+    for element in ('h2 id="related-work"', 'section id="discussion"', 'h2 id="search"', 'div class="response-text"',
+                    'div id="search-algorithms"', 'p class="no-promo-text"'):
+        name = element.split()[0]
+        assert text(f"<article><p>a</p><{element}>b</{name}><p>c</p></article>") == "a\nb\nc"
+    assert text('<article class="post category-social tag-ads"><p>a</p></article>') == "a"
+    assert text('<body><div class="widget"><p>all the text of this page</p></div><p>end</p>') == "all the text of this page\nend"
+    for word in ("ad", "ad-slot-1", "site-footer", "comment-list", "cookie-notice", "share-links wide", "sidebar"):
+        assert text(f'<article><p>one and two</p><div class="{word}">b</div></article>') == "one and two"
+    assert text('<article><p>a</p><div id="comments">long and longer remarks</div></article>') == "a"
