@@ -8,7 +8,7 @@ has beyond the reference is content. Counts are summed inside tasks and by an ag
 a host that holds a third of the pages is no group of its own anywhere.
 
 What varies on every page and still is no article (adverts, menus, footers, comments) is known
-by its element, role or class. An ``article`` or ``main`` element, the one with most text, is
+by its element, role or class. The ``article`` and ``main`` elements, all of them in page order, are
 the place to look; without one it is the whole body. If all text there is template (a host
 of copies), the text stays.
 
@@ -205,28 +205,25 @@ class Page:
                 parts[node].append(run)
         return [" ".join(" ".join(p).split()) for p in parts]
 
-    def root(self) -> int:
-        """The article or main element with most text outside asides; else the whole page."""
-        size = Counter()
+    def roots(self) -> set[int]:
+        """The outermost article and main elements with text outside asides; else the whole page."""
+        found = set()
         for node, run in self.runs:
-            if run and not self.aside[node]:
+            if run and not self.aside[node] and run.strip():
                 top, k = None, node
-                while k >= 0:  # the outermost article, or main where there is none
-                    if self.tags[k] == "article" or (self.tags[k] == "main" and top is None):
+                while k >= 0:
+                    if self.tags[k] in ("article", "main"):
                         top = k
                     k = self.parents[k]
                 if top is not None:
-                    size[top] += len(run.strip())
-        if not size:
-            return 0
-        articles = [k for k in size if self.tags[k] == "article" and size[k]]
-        return max(articles or size, key=lambda k: (size[k], -k))
+                    found.add(top)
+        return found or {0}
 
     def text(self, template: set[int]) -> str:
-        root = self.root()
+        roots = self.roots()
         inside = [False] * len(self.tags)
         for k in range(len(self.tags)):
-            inside[k] = not self.aside[k] and (k == root or (k > 0 and inside[self.parents[k]]))
+            inside[k] = not self.aside[k] and (k in roots or (k > 0 and inside[self.parents[k]]))
         out = self._blocks([i and k not in template for k, i in enumerate(inside)]) if template else ""
         return out or self._blocks(inside)
 

@@ -97,3 +97,8 @@ def test_words_of_content_make_no_aside():
     for word in ("ad", "ad-slot-1", "site-footer", "comment-list", "cookie-notice", "share-links wide", "sidebar"):
         assert text(f'<article><p>one and two</p><div class="{word}">b</div></article>') == "one and two"
     assert text('<article><p>a</p><div id="comments">long and longer remarks</div></article>') == "a"
+
+
+def test_all_articles_and_the_enclosing_main_stay():
+    assert text("<p>out</p><article><p>a</p></article><div><article><p>longer b</p></article></div><aside><article>x</article></aside>") == "a\nlonger b"
+    assert text("<body><p>out</p><main><h1>Title</h1><p>Lead</p><article><p>long text</p></article><nav>n</nav></main>") == "Title\nLead\nlong text"
