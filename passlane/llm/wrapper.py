@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host (its shortest) by simple
+Pages of one host are aligned with a reference page of that host (of median length) by simple
 tree matching: the largest order-preserving match of two DOM trees whose matched nodes agree
 in label and have matched parents. Over all pages of the host, a node of the reference whose
 text is the same nearly everywhere is template, one whose text varies is a slot; what a page
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from passlane.llm.common import broadcast_if, cut, ship
 
@@ -322,6 +323,21 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _median_pages(pages: DataFrame) -> DataFrame:
+    """r_host, reference: of each host a page of median length. Stubs and cut-off pages are no
+    reference unless most pages are such; counts by length keep a large host in no one group."""
+    n = F.length("html")
+    by_length = cut(pages.groupBy("host", n.alias("n")).count())
+    upto = Window.partitionBy("host").orderBy("n")
+    total = Window.partitionBy("host")
+    medians = cut(by_length.select("host", "n", F.sum("count").over(upto).alias("upto"), F.sum("count").over(total).alias("pages"))
+                  .where(2 * F.col("upto") >= F.col("pages")).groupBy("host").agg(F.min("n").alias("m_n"))
+                  .withColumnRenamed("host", "m_host"))
+    beside = broadcast_if(medians, F.octet_length("m_host"))
+    return (pages.join(beside, (F.col("host") == F.col("m_host")) & (n == F.col("m_n")))
+            .groupBy(F.col("host").alias("r_host")).agg(F.min("html").alias("reference")))
+
+
 def extract_main_text(pages: DataFrame, share: float = 0.8, support: int = 4) -> DataFrame:
     """page_id, url, text of every page.
 
@@ -331,9 +347,7 @@ def extract_main_text(pages: DataFrame, share: float = 0.8, support: int = 4) ->
     ship(pages.sparkSession)
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     usable = F.length(F.trim(F.coalesce("html", F.lit("")))) > 0
-    references = cut(pages.where(usable).groupBy("host").agg(
-        F.min(F.struct(F.length("html").alias("n"), "html")).alias("r")).select(
-        F.col("host").alias("r_host"), F.col("r.html").alias("reference")))
+    references = cut(_median_pages(pages.where(usable)))
     beside = broadcast_if(references, F.octet_length("reference"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

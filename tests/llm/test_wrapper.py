@@ -102,3 +102,11 @@ def test_words_of_content_make_no_aside():
 def test_all_articles_and_the_enclosing_main_stay():
     assert text("<p>out</p><article><p>a</p></article><div><article><p>longer b</p></article></div><aside><article>x</article></aside>") == "a\nlonger b"
     assert text("<body><p>out</p><main><h1>Title</h1><p>Lead</p><article><p>long text</p></article><nav>n</nav></main>") == "Title\nLead\nlong text"
+
+
+def test_a_stub_is_no_median_reference(spark):
+    page = "<html><body><div class=x>Our motto</div><div class=y><p>{a}</p></div><div class=z>All rights</div></body></html>"
+    rows = [(k, f"https://one.example/{k}", page.format(a=f"story {k}")) for k in range(8)]
+    rows += [(8, "https://one.example/8", "x"), (9, "https://one.example/9", "<p>")]
+    got = {r.page_id: r.text for r in W.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"story {k}" for k in range(8)}, 8: "x", 9: ""}
