@@ -13,7 +13,7 @@ from passlane.llm.queries import TOKENIZERS
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a language that most of their words agree on go."""
+    """Documents without letters or whose words' languages are uncertain go; mixed languages stay."""
     return language.keep_identified(docs)
 
 

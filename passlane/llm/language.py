@@ -290,12 +290,12 @@ def _identified(docs: DataFrame, model: dict | None, spans: bool, out: str) -> D
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+    @F.pandas_udf("lang_pred string, score double, certainty double, lang_spans array<struct<start:int,end:int,lang:string>>")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         labeller = labeller_of(model) if model else None
         for text in parts:
-            rows = [(UNKNOWN, 0.0, [] if spans else None)] * len(text)
+            rows = [(UNKNOWN, 0.0, 0.0, [] if spans else None)] * len(text)
             if labeller is not None:
                 whole = ["" if t is None else t for t in text]
                 for k, (starts, ends, found) in enumerate(labeller.label(whole)):
@@ -309,8 +309,9 @@ def _identified(docs: DataFrame, model: dict | None, spans: bool, out: str) -> D
                             last = np.append(first[1:], len(labels)) - 1
                             runs = [{"start": int(starts[a]), "end": int(ends[b]), "lang": labeller.languages[labels[a]]}
                                     for a, b in zip(first, last, strict=True)]
-                        rows[k] = labeller.languages[best], min(1.0, float(total[best] / len(found))), runs
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "lang_spans"])
+                        certainty = float(found.max(axis=1).mean(dtype=np.float64))
+                        rows[k] = labeller.languages[best], min(1.0, float(total[best] / len(found))), certainty, runs
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "certainty", "lang_spans"])
 
     return docs.withColumn(out, predict("text"))
 
@@ -324,6 +325,11 @@ def identify(docs: DataFrame, model: dict | None, spans: bool = False) -> DataFr
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """``docs`` without those of no language or of a score under ``least``, all columns kept."""
-    found = _identified(docs, learn(docs), False, "_language")
-    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")
+    """``docs`` without those that have no words or whose words' labels are uncertain (the mean of
+    each word's largest marginal is under ``least``), all columns kept. Where nothing is labelled
+    no language can be judged, and all documents with letters stay."""
+    model = learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = _identified(docs, model, False, "_language")
+    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.certainty") >= least)).drop("_language")

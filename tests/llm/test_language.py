@@ -61,3 +61,20 @@ def test_edges(spark, docs, clashing, no_docs):
 def test_held_out_rule(spark):
     rows = spark.range(50).select("id", L.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+MIXED = [("en", "the dog and the cat went to the house with this man and that woman "),
+         ("de", "der Hund und die Katze gingen in das Haus mit einem Mann und einer Frau "),
+         ("fr", "le chien et le chat sont dans une maison avec cet homme et cette femme "),
+         ("es", "el perro y el gato fueron a la casa con este hombre y aquella mujer ")]
+
+
+def test_documents_of_several_languages_and_unlabelled_tables_stay(spark):
+    rows = [(100 * k + i, text * 5, lang) for k, (lang, text) in enumerate(MIXED) for i in range(12)]
+    rows += [(1000, "\n".join(text * 3 for _, text in MIXED), None), (1001, "12 34", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = L.identify(frame, L.learn(frame)).where("doc_id = 1000").first()
+    kept = {r.doc_id for r in L.keep_identified(frame).collect()}
+    assert mixed.score < 0.4 and 1000 in kept and 1001 not in kept
+    unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in L.keep_identified(unlabelled).collect()} == {r[0] for r in rows} - {1001}
