@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passlane.llm import (ann, exact_dedup, language, minhash, packing, secret_scan, sharding, tokenizing, url_filter,
-                          wrapper)
+from passlane.llm import (ann, exact_dedup, language, minhash, packing, prefix_trie, quality, secret_scan, sharding, simplex,
+                          tokenizing, url_filter, wrapper)
 from passlane.llm.common import table
 from passlane.session import apply_core_conf
 
@@ -74,10 +74,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.cluster(table(apply_core_conf(spark), sf_dir, "embeddings")).drop("n_compared")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(apply_core_conf(spark), sf_dir, "conversations"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_minhash, op3_sharding, op4_bpe, op5_language, op6_secrets, op7_nearest, op8_url_filter,
-        op9_packing, op10_exact_dedup)}
+        op9_packing, op10_exact_dedup, op11_centroids, op12_prefix_trie, op13_quality)}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -115,4 +128,5 @@ FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": secrets_sql(), "op8_url_filter": url_filter.ORACLE, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op6_secrets": secrets_sql(), "op8_url_filter": url_filter.ORACLE, "op10_exact_dedup": EXACT_DEDUP_SQL,
+            "op11_centroids": simplex.oracle(), "op12_prefix_trie": prefix_trie.ORACLE, "op13_quality": quality.oracle()}
