@@ -167,20 +167,33 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_ranks(arcs: DataFrame, most: int = MOST) -> DataFrame:
-    """id, place: how many steps each element of a linked list is from its first."""
+    """id, place: how many steps each element of a linked list is from its first.
+
+    An element and the one after it meet as two rows of one key in an aggregate: keys are
+    unique on both sides, so that is a join without Spark's estimate of a join's size, which
+    would multiply from round to round.
+    """
+    nothing = F.lit(None).cast("long")
     arcs, left = cut(arcs), []
     while arcs.count() > most:
         heads = lambda c, r=len(left): F.xxhash64(c, F.lit(r)) % 2 == 0
         leaves = F.col("pred").isNotNull() & heads(F.col("id")) & ~heads(F.col("pred"))
-        gone = arcs.where(leaves).select(F.col("id").alias("_id"), F.col("pred").alias("_pred"), F.col("steps").alias("_steps"))
+        gone = arcs.where(leaves)
         left.append(gone)
-        arcs = cut(arcs.where(~leaves).join(gone, F.col("pred") == F.col("_id"), "left").select(
-            "id", F.coalesce("_pred", "pred").alias("pred"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+        met = arcs.where(~leaves).select(F.col("pred").alias("key"), "id", "steps", nothing.alias("past"), nothing.alias("more"))
+        met = met.unionByName(gone.select(F.col("id").alias("key"), nothing.alias("id"), nothing.alias("steps"),
+                                          F.col("pred").alias("past"), F.col("steps").alias("more")))
+        arcs = cut(met.groupBy("key").agg(*[F.max(c).alias(c) for c in ("id", "steps", "past", "more")])
+                   .where(F.col("id").isNotNull()).select("id", F.coalesce("past", "key").alias("pred"),
+                                                          (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
     places = cut(arcs.repartition(1).mapInPandas(_walk, "id long, place long"))
     for gone in reversed(left):
-        back = gone.join(places, F.col("_pred") == F.col("id")).select(
-            F.col("_id").alias("id"), (F.col("place") + F.col("_steps")).alias("place"))
-        places = cut(places.unionByName(back))
+        met = places.select(F.col("id").alias("key"), "place", nothing.alias("back"), nothing.alias("steps")).unionByName(
+            gone.select(F.col("pred").alias("key"), nothing.alias("place"), F.col("id").alias("back"), "steps"))
+        met = met.groupBy("key").agg(*[F.max(c).alias(c) for c in ("place", "back", "steps")])
+        both = F.array(F.struct(F.col("key").alias("id"), "place"),
+                       F.struct(F.col("back").alias("id"), (F.col("place") + F.col("steps")).alias("place")))
+        places = cut(met.select(F.inline(both)).where(F.col("id").isNotNull()))
     return places
 
 
