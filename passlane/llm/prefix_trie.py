@@ -223,39 +223,49 @@ def ends_hashes(found: DataFrame, convs: DataFrame, chunk: int = CHUNK) -> DataF
     last = found.select("conv_id", *key).join(convs, "conv_id").where(F.col("depth") == F.col("length")).select(*key, "conv_id")
     none = convs.where("length = 0").select(*[zero.alias(c) for c in key], "conv_id")
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list]]:
-        """Rows of sorted batches by key, in order, a batch at a time."""
+    def rows(batches: Iterator[pd.DataFrame], value: str) -> Iterator[tuple[tuple, object]]:
         for b in batches:
-            for k, g in b.groupby(key, sort=False):
-                yield k, g
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from zip(zip(*[b[k].tolist() for k in key], strict=True), b[value].tolist(), strict=True)
+
+    def frames(found: Iterator[tuple], columns: list[str], most: int) -> Iterator[pd.DataFrame]:
+        held = []
+        for r in found:
+            held.append(r)
+            if len(held) >= most:
+                yield pd.DataFrame(held, columns=columns)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         now, ids = None, []
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(*now, ids[0], ",".join(map(str, ids)))], columns=[*key, "first", "ids"])
-
-        for k, g in runs(batches):
-            if ids and (k != now or len(ids) + len(g) > chunk):
-                yield out()
+        for k, c in rows(batches, "conv_id"):
+            if ids and (k != now or len(ids) >= chunk):
+                yield *now, ids[0], ",".join(map(str, ids))
                 ids = []
             now = k
-            ids += g["conv_id"].tolist()
+            ids.append(c)
         if ids:
-            yield out()
+            yield *now, ids[0], ",".join(map(str, ids))
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         now, state = None, None
-        for k, g in runs(batches):
+        for k, text in rows(batches, "ids"):
             if k != now:
                 if state is not None:
-                    yield pd.DataFrame([(*now, state.hexdigest())], columns=[*key, "ends_sha256"])
+                    yield *now, state.hexdigest()
                 now, state = k, hashlib.sha256()
             else:
                 state.update(b",")
-            state.update(",".join(g["ids"]).encode())
+            state.update(text.encode())
         if state is not None:
-            yield pd.DataFrame([(*now, state.hexdigest())], columns=[*key, "ends_sha256"])
+            yield *now, state.hexdigest()
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from frames(chunked(batches), [*key, "first", "ids"], 100)
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from frames(hashed(batches), [*key, "ends_sha256"], 5000)
 
     longs = ", ".join(f"{c} long" for c in key)
     chunks = (last.unionByName(none).repartitionByRange(*key, "conv_id").sortWithinPartitions(*key, "conv_id")
