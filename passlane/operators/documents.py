@@ -1,9 +1,8 @@
 """Projections over nested declaration documents.
 
-Documents are stored as JSON text. Each job parses only what it needs: typed
-extraction through ``from_json`` with a narrow schema, or Variant navigation
-(``try_parse_json`` + ``try_variant_get``) where JSON types must stay visible.
-All are narrow (per-row) projections: no shuffle, no UDF.
+Documents are stored as JSON text. Each job parses a document once into a Variant
+(``with_variant``) and navigates that (``try_variant_get``), so that JSON types stay
+visible. All are narrow (per-row) projections: no shuffle, no UDF.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passlane import schema as S
-from passlane.operators.validate import validate_documents
+from passlane.operators.validate import validate_documents, with_variant
 
 SDR = "$.simpleDeclarationRequest"
 DETAIL = f"{SDR}.requestDetail"
@@ -29,10 +28,6 @@ ITEM_SECTIONS = (("declarationAlcohol", "declarationItemAlcohol", "alcohol"),
 DEFAULT_COPY_ADDRESSES = ("receipts-copy-1@example.com", "receipts-copy-2@example.com")
 
 
-def _v(col: str) -> Column:
-    return F.expr(f"try_parse_json(`{col}`)")
-
-
 def jget(doc: Column, path: str, typ: str = "string") -> Column:
     """Field of a Variant document as ``typ`` (null when missing or not castable to it)."""
     return F.try_variant_get(doc, path, typ)
@@ -91,7 +86,7 @@ def refine_payload(df: DataFrame, doc_col: str) -> DataFrame:
     and ``parse_ok``: false when a required field is missing or has another type."""
     checked = validate_documents(df.withColumn("__src", F.col(doc_col)), "__src", schema=PAYLOAD_SCHEMA)
     return (checked.withColumn("parse_ok", F.size("errors") == 0)
-            .withColumn("payload", F.when(F.col("parse_ok"), F.from_json(F.col(doc_col), S.PAYLOAD)))
+            .withColumn("payload", F.when(F.col("parse_ok"), F.try_variant_get("__doc", "$", S.PAYLOAD.simpleString())))
             .drop("errors", "__doc", "__src"))
 
 
@@ -133,7 +128,11 @@ def goods_items(df: DataFrame, doc_col: str = "data") -> DataFrame:
     """``items``: alcohol ++ tobacco ++ other item arrays (absent section → empty);
     ``items_json``: the same array as JSON text; ``items_error``: a section without
     its item array."""
-    doc = _v(doc_col)
+    df = with_variant(df, doc_col, "__v")
+    return _items(df, F.col("__v")).drop("__v")
+
+
+def _items(df: DataFrame, doc: Column) -> DataFrame:
     parts, errors, texts = [], [], []
     for section, arr, label in ITEM_SECTIONS:
         sec = jget(doc, f"{DETAIL}.{section}", "variant")
@@ -163,8 +162,8 @@ def receipt_parameters(df: DataFrame, doc_col: str = "chosen") -> DataFrame:
 
     ``receipt_error``: why no receipt can be made (null: it can): a section without its item
     array, or a date or time that is none."""
-    doc = _v(doc_col)
-    df = goods_items(df.withColumn("__d", F.col(doc_col)), "__d")
+    doc = F.col("__v")
+    df = _items(with_variant(df, doc_col, "__v"), doc)
     s = lambda path: F.coalesce(jget(doc, path), F.lit(""))
     receipt = s(f"{SDR}.requestCommon.receiptDate")
     arrival = s(f"{HEADER}.expectedDateOfArrival")
@@ -200,7 +199,7 @@ def receipt_parameters(df: DataFrame, doc_col: str = "chosen") -> DataFrame:
             .withColumn("params", params)
             .withColumn("receipt_error", F.when(F.col("items_error"), "items").when(F.col("DATE").isNull(), "receipt date")
                         .when(F.col("DATEOFARRIVAL").isNull(), "arrival date")
-                        .when(F.col("TIMEOFARRIVAL").isNull(), "arrival time")).drop("__d"))
+                        .when(F.col("TIMEOFARRIVAL").isNull(), "arrival time")).drop("__v"))
 
 
 def receipt_recipients(params_df: DataFrame,
@@ -218,11 +217,8 @@ def receipt_recipients(params_df: DataFrame,
 
 def _receipts(df: DataFrame, disable_zero_pound: bool) -> DataFrame:
     """Receipt parameters of rows whose document exists and may need a receipt."""
-    chosen = amendment_or_original(df).where(F.col("chosen_source") != "error")
-    if disable_zero_pound:
-        zero = F.lower(F.coalesce(jget(_v("chosen"), f"{LIABILITY}.grandTotalGBP"), F.lit(""))) == "0.00"
-        chosen = chosen.where(~zero)
-    return receipt_parameters(chosen, "chosen")
+    made = receipt_parameters(amendment_or_original(df).where(F.col("chosen_source") != "error"), "chosen")
+    return made.where(F.lower("TOTAL") != "£0.00") if disable_zero_pound else made
 
 
 def receipt_requests(df: DataFrame, disable_zero_pound: bool = False,
@@ -256,11 +252,11 @@ def audit_events(refined: DataFrame, app_name: str = "passlane",
                  journey_col: str = "journey_data") -> DataFrame:
     """Audit rows: the refined payload as detail plus ``isPrivateTravel`` when the journey
     data carries ``privateCraft``; constant type and transaction tag."""
-    private = jstrict(_v(journey_col), "$.privateCraft", "boolean")
+    private = jstrict(F.col("__j"), "$.privateCraft", "boolean")
     # null when journey data has no flag; ``to_json`` then leaves the field out
     detail = F.col("payload").withField("isPrivateTravel", private)
-    return refined.where(F.col("parse_ok")).select(
-        "*",
+    return with_variant(refined.where(F.col("parse_ok")), journey_col, "__j").select(
+        *refined.columns,
         F.lit(app_name).alias("auditSource"),
         F.lit(S.AUDIT_TYPE).alias("auditType"),
         F.create_map(F.lit("transactionName"), F.lit(S.AUDIT_TRANSACTION_NAME)).alias("tags"),
@@ -271,11 +267,11 @@ def audit_events(refined: DataFrame, app_name: str = "passlane",
 def previous_declaration_view(df: DataFrame) -> DataFrame:
     """The twelve-field view returned by a previous-declaration lookup, and ``view_error``: a
     member that the view cannot do without is missing or of another JSON type."""
-    j = _v("journey_data")
-    d = _v("data")
+    names, j, d = df.columns, F.col("__j"), F.col("__d")
+    df = with_variant(with_variant(df, "journey_data", "__j"), "data", "__d")
     obj = lambda doc, path: jget(doc, path, "map<string,variant>").isNotNull()
     out = df.select(
-        "*",
+        *names,
         jstrict(j, "$.euCountryCheck", "string").alias("euCountryCheck"),
         jstrict(j, "$.arrivingNICheck", "boolean").alias("arrivingNI"),
         jstrict(j, "$.ageOver17", "boolean").alias("isOver17"),
@@ -308,8 +304,8 @@ def stamp_reference(df: DataFrame, raw_col: str, reference_col: str) -> DataFram
 
 def split_journey(df: DataFrame, raw_col: str) -> DataFrame:
     """``journey_data`` (the journeyData member) and ``data`` (the document without it)."""
-    doc = f"try_parse_json(`{raw_col}`)"
-    return (df.withColumn("journey_data", F.expr(f"to_json(try_variant_get({doc}, '$.journeyData', 'variant'))"))
-            .withColumn("data", F.expr(
-                f"to_json(to_variant_object(map_filter(try_variant_get({doc}, '$', "
-                f"'map<string,variant>'), (k, v) -> k != 'journeyData')))")))
+    return (with_variant(df, raw_col, "__v")
+            .withColumn("journey_data", F.expr("to_json(try_variant_get(__v, '$.journeyData', 'variant'))"))
+            .withColumn("data", F.expr("to_json(to_variant_object(map_filter(try_variant_get(__v, '$', "
+                                       "'map<string,variant>'), (k, v) -> k != 'journeyData')))"))
+            .drop("__v"))

@@ -68,14 +68,19 @@ def dispatch_slots(numbered: DataFrame, elements: int = 1, per_seconds: int = 1,
 
 
 def is_json_object(raw: str = "raw"):
-    return F.expr(f"try_variant_get(try_parse_json(`{raw}`), '$', 'map<string,variant>') IS NOT NULL")
+    """Whether a body is JSON, and an object: valid JSON that begins with a brace is one."""
+    return F.expr(rf"coalesce(`{raw}` RLIKE '^[ \t\r\n]*[{{]' AND try_parse_json(`{raw}`) IS NOT NULL, false)")
+
+
+def eligible_submissions(raw_df: DataFrame) -> DataFrame:
+    """Submissions that reach the counter: a JSON object with a correlation id."""
+    return raw_df.where(F.col("correlation_id").isNotNull() & is_json_object())
 
 
 def number_submissions(raw_df: DataFrame, start: int, order_col: str = "seq",
                        partitions: int | None = None) -> DataFrame:
-    """Submissions that reach the counter (a JSON object with a correlation id), numbered."""
-    eligible = raw_df.where(F.col("correlation_id").isNotNull() & is_json_object())
-    numbered = assign_references(eligible, start, [order_col], partitions)
+    """Submissions that reach the counter, numbered."""
+    numbered = assign_references(eligible_submissions(raw_df), start, [order_col], partitions)
     return numbered.withColumn("charge_reference", encode_reference(F.col("ref_value")))
 
 
@@ -180,5 +185,6 @@ def accept_amendments(raw_df: DataFrame, declarations: DataFrame, locks: DataFra
         "data",
         F.col("a.data").alias("amend_data"),
         _ts(as_of).alias("last_updated"),
+        *[c for c in declarations.columns if c not in S.DECLARATION_COLUMNS],
     )
     return after, outcomes

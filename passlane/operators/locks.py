@@ -12,7 +12,7 @@ AQE can switch at run time with real sizes. Nothing is broadcast unconditionally
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passlane import schema as S
@@ -27,16 +27,22 @@ def live_locks(locks: DataFrame, as_of, ttl_seconds: int = S.LOCK_TTL_SECONDS) -
 
 def legacy_locks(locks: DataFrame, as_of, ttl_seconds: int = S.LOCK_TTL_SECONDS) -> DataFrame:
     """Legacy rows (no date) older than the TTL: the ones the legacy sweep removes."""
-    return locks.where(F.col("last_updated_date").isNull()
-                       & (F.col("last_updated") < minus_seconds(as_of, ttl_seconds)))
+    return locks.where(is_swept(as_of, ttl_seconds))
+
+
+def has_expired(as_of, ttl_seconds: int = S.LOCK_TTL_SECONDS) -> Column:
+    """True for a lock whose life has ended (TTL on its date)."""
+    return F.col("last_updated_date").isNotNull() & (F.col("last_updated_date") <= minus_seconds(as_of, ttl_seconds))
+
+
+def is_swept(as_of, ttl_seconds: int = S.LOCK_TTL_SECONDS) -> Column:
+    """True for a legacy lock (no date) that the legacy sweep removes."""
+    return F.col("last_updated_date").isNull() & (F.col("last_updated") < minus_seconds(as_of, ttl_seconds))
 
 
 def expire_locks(locks: DataFrame, as_of, ttl_seconds: int = S.LOCK_TTL_SECONDS) -> DataFrame:
     """The lock table after TTL expiry and the legacy sweep."""
-    threshold = minus_seconds(as_of, ttl_seconds)
-    expired_by_ttl = F.col("last_updated_date").isNotNull() & (F.col("last_updated_date") <= threshold)
-    legacy = F.col("last_updated_date").isNull() & (F.col("last_updated") < threshold)
-    return locks.where(~(expired_by_ttl | legacy))
+    return locks.where(~(has_expired(as_of, ttl_seconds) | is_swept(as_of, ttl_seconds)))
 
 
 def exclude_locked(rows: DataFrame, locks: DataFrame, as_of, key: str = "ref_value",

@@ -22,6 +22,7 @@ objects, and everything else is validated as sent.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,8 +133,8 @@ def _node_sql(path: str, sid: str, v: str) -> str:
 class SchemaCompiler:
     """SQL text for node expansion and for the per-node rule check.
 
-    The schema becomes one literal array of rule structs indexed by node id
-    (constant-folded by the optimizer, so a lookup is an O(1) array access).
+    The schema becomes one literal array of rule structs indexed by node id (``__rules``,
+    constant-folded by the optimizer, so a lookup is an O(1) array access).
     """
 
     def __init__(self, schema: dict):
@@ -179,7 +180,7 @@ class SchemaCompiler:
     def expand_sql(self, level_col: str) -> str:
         """Children of every node of a level: object members known to the schema,
         then array items. Unknown members are not expanded (the parent reports them)."""
-        r = f"element_at({self.rules_sql()}, n.sid + 1)"
+        r = "element_at(__rules, n.sid + 1)"
         members = (
             "transform(filter(map_entries(n.m), e -> array_contains(r.child_keys, e.key)), "
             "e -> " + _node_sql("concat(n.path, '/', e.key)",
@@ -253,12 +254,141 @@ class SchemaCompiler:
                 "minProperties", "concat('object has too few properties (found ', CAST(size(n.keys) AS STRING), "
                                  "', required minimum: ', CAST(r.minp AS STRING), ')')") + " END",
         ]
-        r = f"element_at({self.rules_sql()}, n.sid + 1)"
+        r = "element_at(__rules, n.sid + 1)"
         per_node = (f"element_at(transform(array({r}), r -> "
                     f"filter(array({', '.join(checks)}), e -> e IS NOT NULL)), 1)")
         return f"array_sort(CAST(flatten(transform({nodes_col}, n -> {per_node})) AS {ERROR_TYPE}))"
 
 
+class FastCheck:
+    """One flat predicate that is true only for documents without any violation.
+
+    The text of a Variant's type (``schema_of_variant``) names every member and its JSON type in
+    key order. For a schema whose objects are closed, or open to further scalars, that text is
+    matched by one regular expression, which settles types, required members and unknown members
+    at once. Values are then read by one typed cast for each document and one for each list, and
+    compared path by path. What the predicate cannot settle (a member it does not expect, a limit
+    on the number of members inside the tree) it leaves to the full check: false is no verdict.
+    """
+
+    SCALAR = r"\w+(?:\(\d+,\d+\))?"
+    END = "(?:, |(?=>))"
+
+    def __init__(self, compiler: SchemaCompiler, stamped: tuple[tuple[str, ...], ...] = ()):
+        self.t, self.stamped = compiler.t, set(stamped)
+
+    # -- types: a regular expression over the text of the type
+
+    def shape(self, sch: dict, path: tuple[str, ...]) -> str | None:
+        """Matches the type's text of a value that may be valid; None if no such expression can be given."""
+        sch = self.t.resolve(sch)
+        kind = sch.get("type")
+        if kind == "string":
+            return "STRING"
+        if kind == "boolean":
+            return "BOOLEAN"
+        if kind == "array":
+            return r"ARRAY<(?:VOID|OBJECT<[^<>]*>)>"  # items are looked at one by one
+        if kind != "object" or sch.get("minProperties", 0) > len(sch.get("required", ())):
+            return None
+        props, needed = sch.get("properties", {}), sch.get("required", [])
+        if sch.get("maxProperties", len(props)) < len(props):
+            return None
+        names = sorted(props)
+        if any(not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", k) for k in names):
+            return None
+        extra = "" if sch.get("additionalProperties") is False else \
+            f"(?:(?!(?:{'|'.join(names)}):)\\w+: {self.SCALAR}{self.END})*"
+        parts = [extra]
+        for k in names:
+            if (*path, k) in self.stamped:
+                parts.append(f"(?:{k}: {self.SCALAR}{self.END})?{extra}")
+                continue
+            inner = self.shape(props[k], (*path, k))
+            if inner is None:
+                return None
+            parts.append(f"(?:{k}: {inner}{self.END})" + ("" if k in needed else "?") + extra)
+        return "OBJECT<" + "".join(parts) + ">"
+
+    # -- values: a typed cast, and a comparison for each path
+
+    def ddl(self, sch: dict) -> str:
+        """The type to cast to; items of lists stay Variants."""
+        sch = self.t.resolve(sch)
+        if sch.get("type") == "object":
+            fields = [f"{k}:{self.ddl(v)}" for k, v in sch["properties"].items()]
+            return f"struct<{','.join(fields)}>" if fields else "string"
+        return "array<variant>" if sch["type"] == "array" else sch["type"]
+
+    def value_sql(self, sch: dict, at: str, path: tuple[str, ...]) -> list[str]:
+        """Conditions on the value at SQL ``at`` (known to have the right type, or missing)."""
+        sch = self.t.resolve(sch)
+        if sch.get("type") == "object":
+            return [c for k, v in sch["properties"].items() for c in self.value_sql(v, f"{at}.`{k}`", (*path, k))]
+        if sch.get("type") == "array":
+            return [self.list_sql(sch, at)]
+        if sch.get("type") != "string" or path in self.stamped:
+            return []
+        tests = []
+        if "minLength" in sch:
+            tests.append(f"char_length({at}) >= {int(sch['minLength'])}")
+        if "maxLength" in sch:
+            tests.append(f"char_length({at}) <= {int(sch['maxLength'])}")
+        if "pattern" in sch:
+            tests.append(f"{at} RLIKE {sql_str(sch['pattern'])}")
+        if "enum" in sch:
+            tests.append(f"{at} IN ({', '.join(sql_str(v) for v in sch['enum'] if isinstance(v, str))})")
+        if sch.get("format") == "date-time":
+            tests.append(f"({at} RLIKE {sql_str(DATE_TIME_RE)} AND try_to_timestamp(substring({at}, 1, 19), "
+                         f"\"yyyy-MM-dd'T'HH:mm:ss\") IS NOT NULL)")
+        return [f"({at} IS NULL OR ({' AND '.join(tests)}))"] if tests else []
+
+    def list_sql(self, sch: dict, at: str) -> str:
+        """Every item of the list at ``at`` has the right shape and values (a missing list has none)."""
+        item = self.t.resolve(sch["items"])
+        values = self.value_sql(item, "y", ())
+        each = [f"schema_of_variant(i) RLIKE {sql_str(f'^{self.shape(item, ())}$')}"]
+        if values:
+            each.append(f"exists(array(try_variant_get(i, '$', {sql_str(self.ddl(item))})), y -> {' AND '.join(values)})")
+        return f"({at} IS NULL OR forall({at}, i -> {' AND '.join(each)}))"
+
+    def settled(self, sch: dict) -> bool:
+        """Whether items of all lists below are objects of scalars that ``shape`` can tell."""
+        sch = self.t.resolve(sch)
+        if sch.get("type") == "array":
+            item = self.t.resolve(sch.get("items", {}))
+            return item.get("type") == "object" and self.shape(item, ()) is not None and all(
+                self.t.resolve(v).get("type") in ("string", "boolean") for v in item.get("properties", {}).values())
+        return all(self.settled(v) for v in sch.get("properties", {}).values())
+
+    def columns(self, doc: str) -> tuple[dict[str, str], str] | None:
+        """(helper columns, predicate over them) for the parsed document ``doc``, or None."""
+        root = self.t.resolve(self.t.schema)
+        if root.get("type") != "object":
+            return None
+        number = f"cardinality(map_keys(try_variant_get({doc}, '$', 'map<string,variant>')))"
+        tests = []
+        if "minProperties" in root:
+            tests.append(f"{number} >= {int(root['minProperties'])}")
+        if "maxProperties" in root:
+            tests.append(f"{number} <= {int(root['maxProperties'])}")
+        if root.get("additionalProperties") is False:
+            return None
+        helpers = {}
+        for i, (k, v) in enumerate(root.get("properties", {}).items()):
+            shape = self.shape(v, (k,))
+            if shape is None or self.t.resolve(v).get("type") != "object" or not self.settled(v):
+                return None
+            part = f"__part{i}"
+            helpers[part] = f"try_variant_get({doc}, {sql_str(_key_path([k]))}, 'variant')"
+            needed = k in root.get("required", [])
+            here = [f"schema_of_variant({part}) RLIKE {sql_str(f'^{shape}$')}"]
+            if values := self.value_sql(v, "x", (k,)):
+                here.append(f"exists(array(try_variant_get({part}, '$', {sql_str(self.ddl(v))})), x -> {' AND '.join(values)})")
+            tests.append(f"({'' if needed else f'{part} IS NULL OR '}({' AND '.join(here)}))")
+        return helpers, f"coalesce({' AND '.join(tests)}, false)"
+
+
 def _merge_sql(var: str, tree: dict) -> str:
     """Deep merge of a tree of (key → value SQL | subtree) into the object at ``var``."""
     m = f"coalesce(try_variant_get({var}, '$', 'map<string,variant>'), CAST(map() AS map<string,variant>))"
@@ -293,20 +423,44 @@ def stamp_overrides(reference_col: str) -> dict[tuple[str, ...], str]:
     return {ACK_PATH: f"concat(`{reference_col}`, '0')", REF_PATH: f"`{reference_col}`"}
 
 
+def with_variant(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out``: the JSON text of a column as a Variant, null if it is none; parsed once.
+
+    A generator of one row: what is computed from it reads the parsed value, where a plain
+    column would be parsed anew in every expression that the optimizer moves it into."""
+    return df.select("*", F.explode(F.array(F.expr(f"try_parse_json(`{col}`)"))).alias(out))
+
+
 def with_document(df: DataFrame, raw_col: str = "raw", reference_col: str | None = None,
-                  doc_col: str = "__doc") -> DataFrame:
+                  doc_col: str = "__doc", keep_parsed: bool = False) -> DataFrame:
     """Adds the parsed (and, with a reference, stamped) document as a Variant column.
 
     A body that does not parse, or whose root is not an object, is not stamped.
     """
-    df = df.withColumn("__parsed", F.expr(f"try_parse_json(`{raw_col}`)"))
-    if reference_col:
-        merged = _merge_sql("__parsed", _override_tree(stamp_overrides(reference_col)))
-        doc = (f"CASE WHEN try_variant_get(__parsed, '$', 'map<string,variant>') IS NOT NULL "
-               f"THEN {merged} ELSE __parsed END")
-    else:
-        doc = "__parsed"
-    return df.withColumn(doc_col, F.expr(doc)).drop("__parsed")
+    df = with_variant(df, raw_col, "__parsed").withColumn(doc_col, F.expr(_document_sql(reference_col)))
+    return df if keep_parsed else df.drop("__parsed")
+
+
+def _document_sql(reference_col: str | None) -> str:
+    """The parsed document ``__parsed``, stamped if there is a reference and its root is an object."""
+    if not reference_col:
+        return "__parsed"
+    merged = _merge_sql("__parsed", _override_tree(stamp_overrides(reference_col)))
+    return f"CASE WHEN try_variant_get(__parsed, '$', 'map<string,variant>') IS NOT NULL THEN {merged} ELSE __parsed END"
+
+
+def _with_verdict(df: DataFrame, compiler: SchemaCompiler, stamped: bool) -> tuple[DataFrame, str]:
+    """``df`` with ``__sound`` (true: certainly no violation), and the SQL to read it by.
+
+    It looks at the document as sent: where the parents of the stamped members are objects,
+    stamping changes those members alone, and to valid values."""
+    fast = FastCheck(compiler, (ACK_PATH, REF_PATH) if stamped else ()).columns("__parsed")
+    if fast is None:
+        return df, "false"
+    helpers, predicate = fast
+    for name, sql in helpers.items():
+        df = df.withColumn(name, F.expr(sql))
+    return df.select("*", F.explode(F.array(F.expr(predicate))).alias("__sound")).drop(*helpers), "__sound"
 
 
 def validate_documents(df: DataFrame, raw_col: str = "raw", reference_col: str | None = None,
@@ -314,26 +468,29 @@ def validate_documents(df: DataFrame, raw_col: str = "raw", reference_col: str |
     """Adds ``errors`` (empty array = valid) and the parsed document ``__doc``.
 
     A body that is not JSON gives one ``parse`` error; a root that is not an object
-    is reported by the root ``type`` rule. Expansion runs one projection per schema
-    level. The last step is a one-row ``inline`` generator: filters on ``errors``
-    then stay above it and read the computed value (a Project would let the
+    is reported by the root ``type`` rule. A flat predicate (``FastCheck``) first settles
+    the documents without a violation; only the others are expanded, one projection per
+    schema level, to build their error texts. The last step is a one-row generator: filters on
+    ``errors`` then stay above it and read the computed value (a Project would let the
     optimizer push the filter down with the rule expression substituted in).
     """
     compiler = SchemaCompiler(schema or REQUEST_SCHEMA)
-    df = with_document(df, raw_col, reference_col)
+    before = df.columns
+    df, sound = _with_verdict(with_document(df, raw_col, reference_col, keep_parsed=True), compiler, bool(reference_col))
+    # the stamped document is built here for the rows to be expanded; ``__doc`` only where it is asked for
+    df = df.withColumn("__odd", F.expr(f"CASE WHEN NOT {sound} THEN {_document_sql(reference_col)} END"))
+    df = df.withColumn("__rules", F.expr(compiler.rules_sql()))
     df = df.withColumn("__lvl0", F.expr(
-        f"CASE WHEN __doc IS NOT NULL THEN array({_node_sql(chr(39) * 2, '0', '__doc')}) "
+        f"CASE WHEN __odd IS NOT NULL THEN array({_node_sql(chr(39) * 2, '0', '__odd')}) "
         f"ELSE CAST(array() AS {NODE_ARRAY}) END"))
     levels = ["__lvl0"]
     for k in range(1, compiler.t.depth + 1):
         df = df.withColumn(f"__lvl{k}", F.expr(compiler.expand_sql(levels[-1])))
         levels.append(f"__lvl{k}")
     nodes = f"concat({', '.join(levels)})"
-    errors = (f"CASE WHEN __doc IS NULL THEN array(named_struct('path', '', 'rule', 'parse', "
+    errors = (f"CASE WHEN {sound} THEN {EMPTY} WHEN __odd IS NULL THEN array(named_struct('path', '', 'rule', 'parse', "
               f"'message', 'document is not valid JSON')) ELSE {compiler.check_sql(nodes)} END")
-    keep = [c for c in df.columns if c not in levels]
-    fields = ", ".join(f"`{c}`" for c in keep)
-    return df.selectExpr(f"inline(array(struct({fields}, {errors} AS errors)))")
+    return df.select(*before, "__doc", F.explode(F.array(F.expr(errors))).alias("errors"))
 
 
 def validation_errors(df: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -31,10 +31,6 @@ def minus_seconds(as_of, seconds: int | float) -> Column:
     return (_ts(as_of) - F.make_interval(secs=F.lit(seconds).cast("decimal(18,6)"))).cast("timestamp_ntz")
 
 
-def plus_minutes(ts: Column, minutes: int) -> Column:
-    return (ts + F.make_interval(mins=F.lit(int(minutes)))).cast("timestamp_ntz")
-
-
 # -- predicates (usable inside other jobs) ----------------------------------
 
 def is_unpaid() -> Column:
@@ -123,16 +119,23 @@ def receipt_timestamp(data: Column | None = None) -> Column:
     return F.when(text.rlike(RECEIPT_DATE_SHAPE), F.substring(text, 1, 19).try_cast("timestamp_ntz"))
 
 
+def with_receipt_at(decl: DataFrame) -> DataFrame:
+    """Adds ``receipt_at``, the receipt date as a column: for tables at write, so that the age
+    filter reaches the scan and skips row groups. The original document never changes."""
+    return decl.withColumn("receipt_at", receipt_timestamp())
+
+
 def retention_expired(decl: DataFrame, as_of, hold_seconds: int = S.DELETION_HOLD_SECONDS
                       ) -> DataFrame:
     """Deletable rows whose receipt date plus the hold (whole minutes) is before ``as_of``.
 
-    The state predicate runs first (pushed to the scan), so only deletable rows
-    have their document parsed. A receiptDate that does not parse never expires.
+    A stored table has the date as ``receipt_at``, and both predicates are pushed to the scan;
+    else the state predicate runs first, so only deletable rows have their document parsed.
+    A receiptDate that does not parse never expires.
     """
-    hold_minutes = int(hold_seconds // 60)
-    return decl.where(is_deletable()).where(
-        plus_minutes(receipt_timestamp(), hold_minutes) < _ts(as_of))
+    before = minus_seconds(as_of, 60 * int(hold_seconds // 60))
+    at = F.col("receipt_at") if "receipt_at" in decl.columns else receipt_timestamp()
+    return decl.where(is_deletable()).where(at < before)
 
 
 def is_zero_pound(data: Column | None = None) -> Column:

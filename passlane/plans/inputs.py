@@ -18,13 +18,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from passlane.operators.worklists import with_receipt_at
 from passlane.session import apply_core_conf, ensure_checkpoint_dir
 from passlane.sources import bridge
 from passlane.sources.tables import DriverTables, read_declarations, read_locks
 
 AS_OF = bridge.AS_OF
 # Bump when a bridge formula changes so stored tables are derived again.
-BRIDGE_VERSION = "7"
+BRIDGE_VERSION = "8"
 
 _PARTITION_BY = {"declarations": ["state"]}
 
@@ -85,15 +86,18 @@ class Inputs:
             return build()
         if not (path := self._finished(name)):
             path = f"{self._root}/{name}/copy-{uuid.uuid4().hex[:12]}"
-            # files of bounded size let later scans run in parallel, without a shuffle here
-            build().write.option("maxRecordsPerFile", 20_000).partitionBy(*_PARTITION_BY.get(name, ())).parquet(path)
+            rows, parts = build(), _PARTITION_BY.get(name, ())
+            if not parts:  # a small driver table is one scan task: deal its rows, so that later scans run in parallel
+                rows = rows.repartition(self.spark.sparkContext.defaultParallelism)
+            rows.write.option("maxRecordsPerFile", 20_000).partitionBy(*parts).parquet(path)
             if not _exists(self.spark, f"{path}/_SUCCESS"):
                 return build()
         return read(self.spark, path) if read else self.spark.read.parquet(path)
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return self._stored("declarations", lambda: bridge.declarations(self.tables), read_declarations)
+        """Stored with what the age filter needs as a column of its own (``receipt_at``)."""
+        return self._stored("declarations", lambda: with_receipt_at(bridge.declarations(self.tables)), read_declarations)
 
     @cached_property
     def locks(self) -> DataFrame:

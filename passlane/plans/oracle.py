@@ -551,6 +551,23 @@ def oracle_sql() -> dict[str, str]:
         f"{with_ctes(LINE_CTE, BASE_CTE, DECL_CTE, SUB_CTE)} SELECT {KEY_COLS} FROM decl UNION ALL "
         f"SELECT {sql_encode('ref_value')}, ref_value, 'pending-payment', NULL, false, NULL, {AS_OF_SQL} "
         "FROM num WHERE seq NOT IN (SELECT seq FROM errs) AND seq % 37 <> 0")
+    q["replaced_images"] = q["requeue_failed"]
+    later = f"({AS_OF_SQL} + INTERVAL 120 DAY)"
+    ticks = (
+        f"{lk}, l0 AS (SELECT lock_id, min(last_updated) AS last_updated, min(last_updated_date) AS last_updated_date "
+        f"FROM lck GROUP BY lock_id), "
+        f"l1 AS (SELECT * FROM l0 WHERE last_updated_date IS NULL OR last_updated_date > {AS_OF_SQL} - INTERVAL 300 SECOND), "
+        f"c1 AS (SELECT ref_value FROM decl WHERE {UNPAID} AND {STALE_TS} AND ref_value NOT IN (SELECT lock_id FROM l1)), "
+        f"l2 AS (SELECT * FROM l1 WHERE last_updated_date IS NULL OR last_updated_date > {later} - INTERVAL 300 SECOND), "
+        f"c2 AS (SELECT ref_value FROM decl WHERE {UNPAID} AND last_updated < {later} - INTERVAL 14 DAY "
+        "AND ref_value NOT IN (SELECT ref_value FROM c1) AND ref_value NOT IN (SELECT lock_id FROM l2))")
+    q["lock_table_after_ticks"] = (
+        f"{ticks} SELECT lock_id, last_updated, last_updated_date FROM l2 WHERE NOT (last_updated_date IS NULL "
+        f"AND last_updated < {later} - INTERVAL 300 SECOND) UNION ALL SELECT ref_value, {later}, {later} FROM c2")
+    q["stream_dispatch"] = (
+        f"{lk}, listed AS (SELECT *, row_number() OVER (ORDER BY ref_value) - 1 AS n FROM decl WHERE {PAID_FOR_SUB}) "
+        f"SELECT charge_reference, correlation_id AS correlation, {AS_OF_SQL} + to_seconds(n // 10) AS send_at "
+        f"FROM listed WHERE n // 10 <= 180 AND {unlocked}")
     q["amend_join"] = (
         f"{lk} SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 45 = 0 THEN NULL "
         "WHEN o_orderkey % 35 = 0 THEN CAST(900000000 + o_orderkey AS INTEGER) ELSE ref_value END "

@@ -7,6 +7,7 @@ flat and named exactly like the DuckDB oracle's (``passlane.plans.oracle``).
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from passlane.operators import validate as V
 from passlane.operators import metrics as M
 from passlane.operators import worklists as W
 from passlane.plans.inputs import Inputs
+from passlane.sources.keyed import KeyedTable
 from passlane.streaming import jobs as ST
 
 KEY_COLS = ["charge_reference", "ref_value", "state", "amend_state", "sent_to_hod",
@@ -564,27 +566,48 @@ def q_held_locks(spark, sf_dir):
     return out
 
 
+def _keyed(i: Inputs, name: str) -> KeyedTable:
+    """The declarations as a new table that sinks write to."""
+    table = KeyedTable(i.spark, f"{ST.stream_root(i.spark, name)}/declarations", "ref_value")
+    table.create(i.declarations)
+    return table
+
+
 @query
 def q_delete_rows(spark, sf_dir):
-    """The table after the timeout job deletes its rows (survivors)."""
+    """The stored table after the timeout job deletes its rows by key (survivors)."""
     i = Inputs(spark, sf_dir)
-    survivors, _ = FO.delete_rows(i.declarations, FO.remove_stale(i.declarations, i.locks, i.as_of))
-    return keys(survivors)
+    table = _keyed(i, "delete")
+    table.delete(FO.remove_stale(i.declarations, i.locks, i.as_of))
+    return keys(table.read())
 
 
 @query
 def q_replace_row(spark, sf_dir):
-    """The table after accepted amendments replace their rows."""
+    """The stored table after accepted amendments replace their rows by key."""
     i = Inputs(spark, sf_dir)
+    table = _keyed(i, "replace")
     after, _ = I.accept_amendments(i.raw_amendments, i.declarations, i.locks, i.as_of)
-    return FO.replace_rows(i.declarations, after).select(*KEY_COLS, "amend_correlation_id")
+    table.replace(after)
+    return table.read().select(*KEY_COLS, "amend_correlation_id")
 
 
 @query
 def q_insert_rows(spark, sf_dir):
-    """The table after appending the accepted submissions."""
+    """The stored table after the accepted submissions are inserted."""
     i, v = _validated(spark, sf_dir)
-    return keys(FO.insert_rows(i.declarations, I.accept_submissions(v, i.as_of)))
+    table = _keyed(i, "insert")
+    table.insert(W.with_receipt_at(I.accept_submissions(v, i.as_of)))
+    return keys(table.read())
+
+
+@query
+def q_replaced_images(spark, sf_dir):
+    """What replacing returns: the after-images of the rows that were there."""
+    i = Inputs(spark, sf_dir)
+    requeued = FO.requeue_failed(i.declarations, i.locks, i.as_of)
+    unknown = requeued.withColumn("ref_value", -F.col("ref_value"))
+    return keys(_keyed(i, "images").replace(requeued.unionByName(unknown)))
 
 
 @query
@@ -696,6 +719,30 @@ def q_tap_output(spark, sf_dir):
     return keys(spark.read.parquet(_timeouts(Inputs(spark, sf_dir))[1]))
 
 
+@query
+def q_lock_table_after_ticks(spark, sf_dir):
+    """The live lock table after two timeout ticks, 120 days apart, and the legacy sweep."""
+    i, later = Inputs(spark, sf_dir), _dt.timedelta(days=120)
+    times, root = iter((i.as_of, i.as_of + later)), ST.stream_root(spark, "ticks")
+    tick = ST.timeout_batch(spark, i.path("declarations"), i.locks, lambda: next(times), root)
+    tick(0)
+    tick(1)
+    table = ST.lock_table(spark, root)
+    ST.sweep_in(table, i.as_of + later)
+    return table.read().select(*LOCK_COLS)
+
+
+@query
+def q_stream_dispatch(spark, sf_dir):
+    """Throttled dispatch over four ticks of a minute, ten rows a second: who goes when."""
+    i, root = Inputs(spark, sf_dir), ST.stream_root(spark, "dispatch")
+    times = iter(i.as_of + _dt.timedelta(minutes=n) for n in range(4))
+    tick = ST.dispatch_batch(spark, i.declarations, i.locks, lambda: next(times), root, elements=10, interval_seconds=86_400)
+    for n in range(4):
+        tick(n)
+    return spark.read.parquet(f"{root}/dispatched").select("charge_reference", "correlation", "send_at")
+
+
 # -- flagship ----------------------------------------------------------------------------------
 
 @query

@@ -50,6 +50,7 @@ AUDIT_TRANSACTION_NAME = "passengerdeclarationsubmitted"
 PAYMENT_TIMEOUT_SECONDS = 14 * 24 * 3600
 DELETION_HOLD_SECONDS = 5 * 24 * 3600
 LOCK_TTL_SECONDS = 300
+SUBMISSION_INTERVAL_SECONDS = 30 * 60
 
 # Metric names of the five state gauges.
 GAUGE_NAMES = {
@@ -82,6 +83,8 @@ DECLARATIONS = T.StructType([
     T.StructField("last_updated", T.TimestampNTZType(), False),
 ])
 DECLARATION_COLUMNS = [f.name for f in DECLARATIONS.fields]
+# As stored: with the receipt date of the original document as a column of its own.
+STORED_DECLARATIONS = T.StructType([*DECLARATIONS.fields, T.StructField("receipt_at", T.TimestampNTZType(), True)])
 
 LOCKS = T.StructType([
     T.StructField("lock_id", T.IntegerType(), False),

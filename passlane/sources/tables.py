@@ -34,7 +34,7 @@ class DriverTables:
 
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
     """Scan a stored declarations table with its declared schema (no inference)."""
-    return spark.read.schema(S.DECLARATIONS).parquet(path)
+    return spark.read.schema(S.STORED_DECLARATIONS).parquet(path)
 
 
 def read_locks(spark: SparkSession, path: str) -> DataFrame:
