@@ -87,7 +87,7 @@ def refine_payload(df: DataFrame, doc_col: str) -> DataFrame:
     checked = validate_documents(df.withColumn("__src", F.col(doc_col)), "__src", schema=PAYLOAD_SCHEMA)
     return (checked.withColumn("parse_ok", F.size("errors") == 0)
             .withColumn("payload", F.when(F.col("parse_ok"), F.try_variant_get("__doc", "$", S.PAYLOAD.simpleString())))
-            .drop("errors", "__doc", "__src"))
+            .drop("errors", "__doc", "__parsed", "__src"))
 
 
 def parse_failures(refined: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from passlane import schema as S
 from passlane.functions.refs import decode_reference, encode_reference
 from passlane.operators import locks as L
-from passlane.operators.validate import validate_documents
+from passlane.operators.validate import validate_documents, with_variant
 from passlane.operators.worklists import _ts
 from passlane.session import ensure_checkpoint_dir
 
@@ -53,7 +53,8 @@ def assign_references(df: DataFrame, start: int, order_cols: list[str],
     same = F.lit(True)
     for c in order_cols:
         same = same & df[c].eqNullSafe(numbers[f"__key_{c}"])
-    return df.join(numbers, same).drop(*[f"__key_{c}" for c in order_cols])
+    # by a shuffle: documents must not be broadcast to the few tasks that hold the numbers
+    return df.join(numbers.hint("merge"), same).drop(*[f"__key_{c}" for c in order_cols])
 
 
 def dispatch_slots(numbered: DataFrame, elements: int = 1, per_seconds: int = 1,
@@ -85,11 +86,10 @@ def number_submissions(raw_df: DataFrame, start: int, order_col: str = "seq",
 
 
 def _document_parts(df: DataFrame) -> DataFrame:
-    """Split ``__doc`` into journey data and the document without it (JSON text)."""
+    """Split a document into journey data, which stamping leaves alone, and the rest (JSON text)."""
     m = "try_variant_get(__doc, '$', 'map<string,variant>')"
-    return (df.withColumn("__journey", F.expr("try_variant_get(__doc, '$.journeyData', 'variant')"))
-            .withColumn("__journey_ok", F.expr(
-                "try_variant_get(__journey, '$', 'map<string,variant>') IS NOT NULL"))
+    return (df.withColumn("__journey", F.expr("try_variant_get(__parsed, '$.journeyData', 'variant')"))
+            .withColumn("__journey_ok", F.expr("coalesce(schema_of_variant(__journey) LIKE 'OBJECT<%', false)"))
             .withColumn("journey_data", F.to_json(F.col("__journey")))
             .withColumn("data", F.expr(
                 f"to_json(to_variant_object(map_filter({m}, (k, v) -> k != 'journeyData')))")))
@@ -172,7 +172,7 @@ def accept_amendments(raw_df: DataFrame, declarations: DataFrame, locks: DataFra
     winners = (v.where(F.col("outcome") == "accepted").groupBy("ref_value")
                .agg(F.max(order_col).alias("__last")))
     taken = raw_df.where(has_cid).join(winners, F.col(order_col) == F.col("__last"))
-    latest = _document_parts(taken.withColumn("__doc", F.expr("try_parse_json(raw)"))).select(
+    latest = _document_parts(with_variant(taken, "raw", "__parsed").withColumn("__doc", F.col("__parsed"))).select(
         "ref_value", F.struct("correlation_id", "journey_data", "data").alias("a"))
     after = declarations.join(latest, "ref_value").select(
         "charge_reference", "ref_value", "state",

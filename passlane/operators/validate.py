@@ -266,8 +266,8 @@ class FastCheck:
     The text of a Variant's type (``schema_of_variant``) names every member and its JSON type in
     key order. For a schema whose objects are closed, or open to further scalars, that text is
     matched by one regular expression, which settles types, required members and unknown members
-    at once. Values are then read by one typed cast for each document and one for each list, and
-    compared path by path. What the predicate cannot settle (a member it does not expect, a limit
+    at once; a text without the letters ``null`` has no null that the type of a list could hide.
+    Values are then read by one typed cast of the document and compared path by path. What the predicate cannot settle (a member it does not expect, a limit
     on the number of members inside the tree) it leaves to the full check: false is no verdict.
     """
 
@@ -279,8 +279,10 @@ class FastCheck:
 
     # -- types: a regular expression over the text of the type
 
-    def shape(self, sch: dict, path: tuple[str, ...]) -> str | None:
-        """Matches the type's text of a value that may be valid; None if no such expression can be given."""
+    def shape(self, sch: dict, path: tuple[str, ...], some: bool = False) -> str | None:
+        """Matches the type's text of a value that may be valid; None if no such expression can be given.
+
+        ``some``: of an item of a list, whose required members are looked for by value."""
         sch = self.t.resolve(sch)
         kind = sch.get("type")
         if kind == "string":
@@ -288,7 +290,10 @@ class FastCheck:
         if kind == "boolean":
             return "BOOLEAN"
         if kind == "array":
-            return r"ARRAY<(?:VOID|OBJECT<[^<>]*>)>"  # items are looked at one by one
+            # the type of a list is that of all its items together: a member that only some items
+            # have, or have as null, shows with the type of the others
+            inner = self.shape(sch.get("items", {}), (*path, "*"), some=True)
+            return inner and f"ARRAY<(?:VOID|{inner})>"
         if kind != "object" or sch.get("minProperties", 0) > len(sch.get("required", ())):
             return None
         props, needed = sch.get("properties", {}), sch.get("required", [])
@@ -307,18 +312,18 @@ class FastCheck:
             inner = self.shape(props[k], (*path, k))
             if inner is None:
                 return None
-            parts.append(f"(?:{k}: {inner}{self.END})" + ("" if k in needed else "?") + extra)
+            parts.append(f"(?:{k}: {inner}{self.END})" + ("" if k in needed and not some else "?") + extra)
         return "OBJECT<" + "".join(parts) + ">"
 
     # -- values: a typed cast, and a comparison for each path
 
     def ddl(self, sch: dict) -> str:
-        """The type to cast to; items of lists stay Variants."""
+        """The type to cast to."""
         sch = self.t.resolve(sch)
         if sch.get("type") == "object":
             fields = [f"{k}:{self.ddl(v)}" for k, v in sch["properties"].items()]
             return f"struct<{','.join(fields)}>" if fields else "string"
-        return "array<variant>" if sch["type"] == "array" else sch["type"]
+        return f"array<{self.ddl(sch['items'])}>" if sch["type"] == "array" else sch["type"]
 
     def value_sql(self, sch: dict, at: str, path: tuple[str, ...]) -> list[str]:
         """Conditions on the value at SQL ``at`` (known to have the right type, or missing)."""
@@ -344,30 +349,27 @@ class FastCheck:
         return [f"({at} IS NULL OR ({' AND '.join(tests)}))"] if tests else []
 
     def list_sql(self, sch: dict, at: str) -> str:
-        """Every item of the list at ``at`` has the right shape and values (a missing list has none)."""
+        """Every item of the list at ``at`` has its required members and valid values."""
         item = self.t.resolve(sch["items"])
-        values = self.value_sql(item, "y", ())
-        each = [f"schema_of_variant(i) RLIKE {sql_str(f'^{self.shape(item, ())}$')}"]
-        if values:
-            each.append(f"exists(array(try_variant_get(i, '$', {sql_str(self.ddl(item))})), y -> {' AND '.join(values)})")
-        return f"({at} IS NULL OR forall({at}, i -> {' AND '.join(each)}))"
+        each = [f"y.`{k}` IS NOT NULL" for k in item.get("required", [])] + self.value_sql(item, "y", ())
+        return f"({at} IS NULL OR forall({at}, y -> y IS NOT NULL AND {' AND '.join(each) or 'true'}))"
 
     def settled(self, sch: dict) -> bool:
         """Whether items of all lists below are objects of scalars that ``shape`` can tell."""
         sch = self.t.resolve(sch)
         if sch.get("type") == "array":
             item = self.t.resolve(sch.get("items", {}))
-            return item.get("type") == "object" and self.shape(item, ()) is not None and all(
+            return item.get("type") == "object" and all(
                 self.t.resolve(v).get("type") in ("string", "boolean") for v in item.get("properties", {}).values())
         return all(self.settled(v) for v in sch.get("properties", {}).values())
 
-    def columns(self, doc: str) -> tuple[dict[str, str], str] | None:
-        """(helper columns, predicate over them) for the parsed document ``doc``, or None."""
+    def columns(self, doc: str, text: str) -> tuple[dict[str, str], str] | None:
+        """(helper columns, predicate over them) for the parsed document ``doc`` with its ``text``, or None."""
         root = self.t.resolve(self.t.schema)
         if root.get("type") != "object":
             return None
         number = f"cardinality(map_keys(try_variant_get({doc}, '$', 'map<string,variant>')))"
-        tests = []
+        tests = [f"NOT contains({text}, 'null')"]
         if "minProperties" in root:
             tests.append(f"{number} >= {int(root['minProperties'])}")
         if "maxProperties" in root:
@@ -449,12 +451,12 @@ def _document_sql(reference_col: str | None) -> str:
     return f"CASE WHEN try_variant_get(__parsed, '$', 'map<string,variant>') IS NOT NULL THEN {merged} ELSE __parsed END"
 
 
-def _with_verdict(df: DataFrame, compiler: SchemaCompiler, stamped: bool) -> tuple[DataFrame, str]:
+def _with_verdict(df: DataFrame, compiler: SchemaCompiler, raw_col: str, stamped: bool) -> tuple[DataFrame, str]:
     """``df`` with ``__sound`` (true: certainly no violation), and the SQL to read it by.
 
     It looks at the document as sent: where the parents of the stamped members are objects,
     stamping changes those members alone, and to valid values."""
-    fast = FastCheck(compiler, (ACK_PATH, REF_PATH) if stamped else ()).columns("__parsed")
+    fast = FastCheck(compiler, (ACK_PATH, REF_PATH) if stamped else ()).columns("__parsed", f"`{raw_col}`")
     if fast is None:
         return df, "false"
     helpers, predicate = fast
@@ -465,7 +467,7 @@ def _with_verdict(df: DataFrame, compiler: SchemaCompiler, stamped: bool) -> tup
 
 def validate_documents(df: DataFrame, raw_col: str = "raw", reference_col: str | None = None,
                        schema: dict | None = None) -> DataFrame:
-    """Adds ``errors`` (empty array = valid) and the parsed document ``__doc``.
+    """Adds ``errors`` (empty array = valid), the document ``__doc`` and what was sent, ``__parsed``.
 
     A body that is not JSON gives one ``parse`` error; a root that is not an object
     is reported by the root ``type`` rule. A flat predicate (``FastCheck``) first settles
@@ -476,7 +478,7 @@ def validate_documents(df: DataFrame, raw_col: str = "raw", reference_col: str |
     """
     compiler = SchemaCompiler(schema or REQUEST_SCHEMA)
     before = df.columns
-    df, sound = _with_verdict(with_document(df, raw_col, reference_col, keep_parsed=True), compiler, bool(reference_col))
+    df, sound = _with_verdict(with_document(df, raw_col, reference_col, keep_parsed=True), compiler, raw_col, bool(reference_col))
     # the stamped document is built here for the rows to be expanded; ``__doc`` only where it is asked for
     df = df.withColumn("__odd", F.expr(f"CASE WHEN NOT {sound} THEN {_document_sql(reference_col)} END"))
     df = df.withColumn("__rules", F.expr(compiler.rules_sql()))
@@ -490,7 +492,7 @@ def validate_documents(df: DataFrame, raw_col: str = "raw", reference_col: str |
     nodes = f"concat({', '.join(levels)})"
     errors = (f"CASE WHEN {sound} THEN {EMPTY} WHEN __odd IS NULL THEN array(named_struct('path', '', 'rule', 'parse', "
               f"'message', 'document is not valid JSON')) ELSE {compiler.check_sql(nodes)} END")
-    return df.select(*before, "__doc", F.explode(F.array(F.expr(errors))).alias("errors"))
+    return df.select(*before, "__doc", "__parsed", F.explode(F.array(F.expr(errors))).alias("errors"))
 
 
 def validation_errors(df: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -430,11 +430,12 @@ def dispatch_batch(spark: SparkSession, table, locks, as_of, root: str, elements
         dealt = dealt.withColumn("send_at", (W._ts(free) + F.make_interval(secs=F.col("offset_seconds"))).cast("timestamp_ntz")).persist()
         taken, last = dealt.agg(F.count("*"), F.max("ref_value")).first()
         ready = D.refine_payload(L.exclude_locked(dealt, _now(locks), now), document).withColumn("is_amendment", F.lit(amendment))
-        ready = ready.withColumn("correlation", D.pick_correlation(ready, F.lit(amendment)))
+        ready = ready.withColumn("correlation", D.pick_correlation(ready, F.lit(amendment))).persist()
         broken = FO.quarantined(ready)
         _write(broken.select("charge_reference", "ref_value", "is_amendment", "quarantine_reason"), root, "quarantine", batch_id)
         _write(ready.join(broken.select("ref_value"), "ref_value", "left_anti").select(
             "charge_reference", "ref_value", "correlation", "send_at", D.payload_json().alias("payload")), root, "dispatched", batch_id)
+        ready.unpersist()
         dealt.unpersist()
         _keep(spark, root, "cursor", batch_id, {
             "open": kept["open"] and taken == slots, "listed": kept["listed"], "cursor": kept["cursor"] if last is None else last,

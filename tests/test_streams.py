@@ -40,7 +40,7 @@ def retried(spark, batch, parts, root, names):
 def test_payment_batches_are_idempotent(spark):
     i, root = Inputs(spark, SF), ST.stream_root(spark, "t")
     clock = iter(dt.datetime(1998, 1, 1) + dt.timedelta(seconds=k) for k in range(100))
-    batch = ST.payments_batch(spark, i.path("declarations"), i.locks, lambda: next(clock), root)
+    batch = ST.payments_batch(spark, i.path("declarations"), i.locks, lambda: next(clock), root, buckets=8)
     retried(spark, batch, thirds(i.raw_notifications, "event_id"), root, ["outcomes", "rejected"])
     table = ST.current_declarations(spark, i.path("declarations"), root)
     assert table.count() == i.declarations.count() and set(table.columns) == set(i.declarations.columns)
@@ -64,8 +64,8 @@ def encode(ref):
 
 def test_payment_batches_read_only_touched_buckets_and_are_folded(spark):
     i, root = Inputs(spark, SF), ST.stream_root(spark, "t")
-    unpaid = [r.ref_value for r in i.declarations.where(F.col("state") == S.PENDING_PAYMENT).orderBy("ref_value").limit(21).collect()]
-    batch = ST.payments_batch(spark, i.path("declarations"), i.locks.limit(0), i.as_of, root, buckets=8, compact_after=3)
+    unpaid = [r.ref_value for r in i.declarations.where(F.col("state") == S.PENDING_PAYMENT).orderBy("ref_value").limit(13).collect()]
+    batch = ST.payments_batch(spark, i.path("declarations"), i.locks.limit(0), i.as_of, root, buckets=4, compact_after=2)
     state = ST.payment_state(spark, root)
     read, real = [], ST.KeyedTable._files
 
@@ -75,7 +75,7 @@ def test_payment_batches_read_only_touched_buckets_and_are_folded(spark):
         return found
 
     most = []
-    for n in range(20):
+    for n in range(12):
         read.clear()
         ST.KeyedTable._files = spied
         try:
@@ -84,11 +84,11 @@ def test_payment_batches_read_only_touched_buckets_and_are_folded(spark):
             ST.KeyedTable._files = real
         most.append(max(read))
         held = state.held(2 * n + 2)
-        assert max(map(len, held.values())) <= 3 + 1  # a bucket is folded before it holds more
+        assert max(map(len, held.values())) <= 2 + 1  # a bucket is folded before it holds more
         assert len(state.touched(message(spark, n, unpaid[n]).select(F.lit(unpaid[n]).alias("ref_value")))) == 1
-    assert max(most[10:]) <= max(most[:10]) <= 8  # the twentieth batch reads no more than an early one
+    assert max(most[6:]) <= max(most[:6]) <= 8  # the twelfth batch reads no more than an early one
     now = {r.ref_value: r.state for r in ST.current_declarations(spark, i.path("declarations"), root).collect()}
-    assert all(now[k] == S.PAID for k in unpaid[:20]) and now[unpaid[20]] == S.PENDING_PAYMENT
+    assert all(now[k] == S.PAID for k in unpaid[:12]) and now[unpaid[12]] == S.PENDING_PAYMENT
 
 
 def test_a_later_batch_sees_what_earlier_ones_changed(spark):
@@ -253,9 +253,10 @@ def test_dispatch_is_throttled_and_unused_slots_are_lost(spark):
     batch = ST.dispatch_batch(spark, lambda: rows, held, lambda: next(times), root, elements=2, interval_seconds=60)
     for n in range(len(ticks)):
         batch(n)
-        first = outputs(spark, root, ["dispatched"])
-        batch(n)
-        assert outputs(spark, root, ["dispatched"]) == first
+        if n in (1, 6):
+            first = outputs(spark, root, ["dispatched"])
+            batch(n)
+            assert outputs(spark, root, ["dispatched"]) == first
     sent = sorted((r.batch, (r.send_at - start).total_seconds(), r.ref_value) for r in spark.read.parquet(f"{root}/dispatched").collect())
     # two a second; the locked third row has used its slot up
     assert sent[:7] == [(0, 0, keys[0]), (0, 0, keys[1]), (1, 1, keys[3]), (2, 2, keys[4]), (2, 2, keys[5]), (2, 3, keys[6]), (2, 3, keys[7])]
