@@ -178,9 +178,10 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = 0.005, error: floa
     """One row per stratum: c_stratum, c_<rule> (null: off), from measured rows and labels (doc_id, quality)."""
     marks = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").alias("l_doc")).agg((F.max("quality") > 0).alias("clean")))
-    held = rows.where(~F.col("base_failed")).select("doc_id", "stratum", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("rule"), level(r).alias("level")) for i, r in enumerate(RULES)])).alias("x"))
-    counts = cut(held.join(marks, F.col("doc_id") == F.col("l_doc")).groupBy("stratum", "x.rule", "x.level", "clean").count())
+    held = (rows.where(~F.col("base_failed")).join(marks, F.col("doc_id") == F.col("l_doc"))
+            .select("stratum", "clean", F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), level(r).alias("level"))
+                                                            for i, r in enumerate(RULES)])).alias("x")))
+    counts = cut(held.groupBy("stratum", "x.rule", "x.level", "clean").count())
     strata = counts.select("stratum").distinct().count()
     each = error / max(1, strata * len(RULES))
 
