@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passlane.llm.common import ship
-from passlane.llm.vector import blocks, code_points, code_units, span_hashes
+from passlane.llm.vector import blocks, code_points, code_units, distinct_spans, span_hashes
 
 HASH_BITS = 17
 CHAIN = 64
@@ -205,23 +205,22 @@ class Labeller:
         self.forget()
 
     def forget(self) -> None:
-        self.where: dict[int, int] = {}
+        self.where: dict[str, int] = {}
         self.rows = np.empty((1 << 12, len(self.languages)), np.float32)
 
-    def _rows(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.where) + len(found) > MEMORY:
+    def _rows(self, units: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        at, which = distinct_spans(span_hashes(code_units(units), starts, ends), units, starts, ends)
+        if len(self.where) + len(at) > MEMORY:
             self.forget()
-        keys = found.tolist()
-        if new := [k for k, h in enumerate(keys) if h not in self.where]:
-            scores = self.scores.of([text[s:e].lower() for s, e in zip(
-                starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])[0]
+        keys = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if new := [k for k in keys if k not in self.where]:
+            scores = self.scores.of([k.lower() for k in new])[0]
             n = len(self.where)
             while n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
             self.rows[n:n + len(new)] = scores
-            self.where.update((keys[k], n + i) for i, k in enumerate(new))
-        return np.array([self.where[h] for h in keys], np.int64)[which]
+            self.where.update((k, n + i) for i, k in enumerate(new))
+        return np.array([self.where[k] for k in keys], np.int64)[which]
 
     def label(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: starts and ends of its words, and the marginals (words, languages)."""
@@ -231,7 +230,7 @@ class Labeller:
             stops = np.cumsum([len(t) + 1 for t in held])
             bounds = np.searchsorted(starts, np.concatenate([[0], stops]))
             if len(starts):
-                rows = self._rows(span_hashes(code_units(units), starts, ends), joined, starts, ends)
+                rows = self._rows(units, joined, starts, ends)
                 per = np.diff(bounds)
                 n = -(-per // CHAIN)
                 first = np.repeat(bounds[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * CHAIN

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passlane.llm.common import md5_of, ship
-from passlane.llm.vector import SpanIds, blocks, code_points, code_units, span_hashes
+from passlane.llm.vector import SpanIds, blocks, code_points
 
 LEAF_CHARS = 1024
 SPREAD_CHARS = 65_536
@@ -113,7 +113,7 @@ class Codec:
         safe[stops[:-1]] = True
         starts = np.flatnonzero(safe)
         ends = np.append(starts[1:], len(units))
-        ids, stop = self.seen.ids(span_hashes(code_units(units), starts, ends), starts, ends, joined, self._new)
+        ids, stop = self.seen.ids(units, starts, ends, joined, self._new)
         return np.split(ids.astype("<u4"), np.concatenate([[0], stop])[np.searchsorted(starts, stops[:-1])])
 
     def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

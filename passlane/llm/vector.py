@@ -1,8 +1,12 @@
 """Words of many texts at once, as numpy arrays: spans and 64-bit hashes.
 
-A span's hash is a polynomial in the hashed units of the span, taken from prefix sums, so
-that all spans of a block of texts cost a few array operations. Blocks hold a bounded number
-of characters, or one text if that is longer.
+A span's hash is the sum of well-mixed values of its characters *and their places in the span*,
+taken from prefix sums, so that all spans of a block of texts cost a few array operations. It is
+not linear in the characters, so no pattern of characters cancels out; and where a result hangs on
+a span being the same (``distinct_spans``, ``SpanIds``), the characters themselves are compared.
+Blocks hold a bounded number of characters, or one text if that is longer.
+
+Defined results: no spans give no hashes; equal spans have equal hashes wherever they stand.
 """
 
 from __future__ import annotations
@@ -12,11 +16,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BLOCK = 1_000_000
-#: An odd multiplier and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
-_powers: dict[str, np.ndarray] = {}
+#: Fixed value: an odd multiplier.
+STEP = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,26 +27,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of BASE and of its inverse; long ones are not kept."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 65_536)
-        up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        got = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if n > 4 * BLOCK:
-            return got
-        _powers["up"], _powers["down"] = got
-    return _powers["up"], _powers["down"]
-
-
 def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of units[start:end] for each span; ``units`` are well-mixed unsigned 64-bit values."""
-    up, down = powers(len(units) + 1)
-    sums = np.empty(len(units) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(units * up[:len(units)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hash of units[start:end] for each span; ``units`` are well-mixed unsigned 64-bit values, spans
+    are in order and do not overlap."""
+    begin = np.zeros(len(units), np.int64)
+    begin[starts] = starts
+    place = np.arange(len(units)) - np.maximum.accumulate(begin)
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(mix(units + place.astype(np.uint64) * np.uint64(STEP)), dtype=np.uint64, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
+
+
+def distinct_spans(hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """(at, which): a span for each distinct content, and for each span which content it has.
+
+    Spans are brought together by hash and then compared character by character (``units`` are
+    the characters); only if two with one hash differ are they told apart by their content."""
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size, first = ends - starts, at[which]
+    if (size == size[first]).all():
+        here = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        if (units[here] == units[here + np.repeat(starts[first] - starts, size)]).all():
+            return at, which
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(units[s:e].tobytes(), len(seen)) for s, e in zip(starts, ends, strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
 
 
 def blocks(texts: Iterable[str], size: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
@@ -87,19 +94,19 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 class SpanIds:
-    """Token ids of the distinct spans seen so far, found by hash; starts anew when full."""
+    """Token ids of the distinct spans seen so far, found by their text; starts anew when full."""
 
     def __init__(self, most: int):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.where: dict[int, int] = {}
+        self.where: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def add(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, m = len(self.where), len(hashes)
+    def add(self, spans: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = len(self.where), len(spans)
         assert len(counts) == m
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -108,22 +115,21 @@ class SpanIds:
         self.flat[self.used:self.used + len(ids)] = ids
         self.start[n:n + m], self.count[n:n + m] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        self.where.update(zip(hashes, range(n, n + m), strict=True))
+        self.where.update(zip(spans, range(n, n + m), strict=True))
 
-    def ids(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str,
+    def ids(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str,
             encode) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all spans of ``text`` in order, and where each span's ids stop.
+        """Ids of all spans of ``text`` (with code points ``units``) in order, and where each span's ids stop.
 
         ``encode`` takes the strings of new spans, gives all their ids and the number of each.
         """
-        found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.where) + len(found) > self.most:
+        at, which = distinct_spans(span_hashes(code_units(units), starts, ends), units, starts, ends)
+        if len(self.where) + len(at) > self.most:
             self.forget()
-        keys = found.tolist()
-        got = [self.where.get(h, -1) for h in keys]
+        keys = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        got = [self.where.get(k, -1) for k in keys]
         if new := [k for k, g in enumerate(got) if g < 0]:
-            self.add([keys[k] for k in new], *encode([text[s:e] for s, e in zip(
-                starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]))
+            self.add([keys[k] for k in new], *encode([keys[k] for k in new]))
             for k in new:
                 got[k] = self.where[keys[k]]
         row = np.array(got, np.int64)[which]

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 from passlane.llm.tokenizing import byte_alphabet
-from passlane.llm.vector import SpanIds, blocks, code_points, code_units, span_hashes
+from passlane.llm.vector import SpanIds, blocks, code_points
 
 #: Words remembered by a worker; when full it starts anew.
 MEMORY = 600_000
@@ -101,7 +101,7 @@ class WordBpe:
         joined = "\n".join([*texts, ""])
         units = code_points(joined)
         starts, ends = self._spans(units, classes()[units])
-        ids, stop = self.seen.ids(span_hashes(code_units(units), starts, ends), starts, ends, joined, self._merge)
+        ids, stop = self.seen.ids(units, starts, ends, joined, self._merge)
         words_before = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])[:-1])
         return np.split(ids, np.concatenate([[0], stop])[words_before])
 
