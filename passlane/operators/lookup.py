@@ -13,9 +13,13 @@ Equal requests are looked up once. Lanes, so only true regexes pay for a nested-
 2. *gram*: tokens with a literal run of at least ``GRAM`` characters → equi join on the
    ``GRAM``-gram of its runs that fewest references hold (counted first; a gram that none
    holds ends the request), then the full pattern is checked on the candidates;
-3. *scan*: everything else → nested-loop join against a broadcast of the lane's
-   requests, in chunks of at most ``max_broadcast`` requests, so the broadcast
-   side has a checked bound and no request is dropped.
+3. *index*: any other pattern from which short grams can be derived that a match must hold, in
+   the reference or in the last name (``must_hold``: an AND of the runs of each alternative, an OR
+   over alternatives) → for each request the column whose grams fewest rows hold in all, an
+   equi join on the rarest gram of each alternative, then the check of both patterns;
+4. *scan*: patterns without such grams, or whose grams more than one row in ``COMMON`` holds →
+   nested-loop join against a broadcast of the lane's requests, in chunks of at most
+   ``max_broadcast`` requests, so the broadcast side has a checked bound and none is dropped.
 
 A row without a last name matches no pattern, the empty one included.
 
@@ -30,8 +34,13 @@ from pyspark.sql import functions as F
 
 from passlane import schema as S
 from passlane.operators.documents import jstrict
+from passlane.operators.validate import with_variant
+from passlane.session import ensure_checkpoint_dir
 
 GRAM = 5
+SHORT = 3
+#: A gram held by more than one row in so many does not narrow a search.
+COMMON = 8
 CLASS = r"\[[A-Za-z0-9-]+\]"
 TOKEN = rf"(?:[A-Za-z0-9.]|{CLASS})"
 NUMBER_RE = rf"^{TOKEN}{{4}}[0-9]{{10}}$"
@@ -53,8 +62,8 @@ def intake_lookup_requests(requests: DataFrame) -> DataFrame:
     """Requests with ``reject_reason``: missing or non-string field (bad shape), or a pattern
     that does not compile. Takes JSON bodies (``request_id, raw``) or parsed columns."""
     if "raw" in requests.columns:
-        body = F.expr("try_parse_json(raw)")
-        requests = requests.select("request_id", jstrict(body, "$.lastName", "string").alias("lastName"),
+        body = F.col("__body")
+        requests = with_variant(requests, "raw", "__body").select("request_id", jstrict(body, "$.lastName", "string").alias("lastName"),
                                    jstrict(body, "$.referenceNumber", "string").alias("referenceNumber"))
     missing = F.col("lastName").isNull() | F.col("referenceNumber").isNull()
     bad = ~_compiles(F.col("lastName")) | ~_compiles(F.col("referenceNumber"))
@@ -72,11 +81,26 @@ def eligible_declarations(declarations: DataFrame) -> DataFrame:
         F.col("last_name").isNotNull())
 
 
-def _grams(text: Column) -> Column:
-    """Distinct ``GRAM``-grams of a text, upper-cased."""
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - GRAM + 1),
-        lambda i: F.upper(F.substring(text, i, F.lit(GRAM)))))).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct grams of a text, upper-cased."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - size + 1),
+        lambda i: F.upper(F.substring(text, i, F.lit(size)))))).otherwise(F.array().cast("array<string>"))
+
+
+def must_hold(pattern: Column, size: int = SHORT) -> Column:
+    """For each alternative of a pattern the grams that whatever matches it must hold; null if it is unknown.
+
+    Groups and escapes are not looked into. What may be absent (``?``, ``*``, ``{...}``) and what
+    may be several things (``.``, classes) part the runs of letters and digits; of ``x+`` the first
+    and the last ``x`` belong to the runs before and after it."""
+    plain = F.regexp_replace(pattern, r"\[\^?\]?[^\]]*\]", ".")
+    plain = F.regexp_replace(plain, r".(?:[?*]|\{[^}]*\})[?+]?", ".")
+    plain = F.regexp_replace(plain, r"([A-Za-z0-9])\+[?+]?", "$1.$1")
+    runs = lambda alt: F.regexp_extract_all(alt, F.lit(f"[A-Za-z0-9]{{{size},}}"), 0)
+    found = F.transform(F.split(plain, r"\|"), lambda alt: F.array_distinct(F.flatten(F.transform(
+        runs(alt), lambda run: _grams(run, size)))))
+    return F.when(~pattern.rlike(r"[()\\]|\[[^\]]*[\[&]") & F.forall(found, lambda g: F.size(g) > 0), found)
 
 
 def _lane(requests: DataFrame) -> DataFrame:
@@ -87,7 +111,7 @@ def _lane(requests: DataFrame) -> DataFrame:
             .when(ref.rlike(SIMPLE_RE) & (F.size(runs) > 0), F.lit("gram"))
             .otherwise(F.lit("scan")))
     return (requests.withColumn("lane", lane)
-            .withColumn("grams", F.array_distinct(F.flatten(F.transform(runs, _grams)))))
+            .withColumn("grams", F.array_distinct(F.flatten(F.transform(runs, lambda run: _grams(run))))))
 
 
 def _verify(df: DataFrame) -> DataFrame:
@@ -96,9 +120,33 @@ def _verify(df: DataFrame) -> DataFrame:
         "lastName", "referenceNumber", "charge_reference")
 
 
+def _index_lane(pairs: DataFrame, decl: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matches, requests searched by the index) of requests with any pattern."""
+    columns = (("referenceNumber", "charge_reference"), ("lastName", "last_name"))
+    alternatives = [pairs.select("lastName", "referenceNumber", F.lit(held).alias("held_in"),
+                                 F.posexplode(must_hold(F.col(asked))).alias("alt", "grams")) for asked, held in columns]
+    asked = alternatives[0].unionByName(alternatives[1]).withColumn("gram", F.explode("grams")).drop("grams")
+    postings = [decl.select(F.lit(held).alias("held_in"), F.explode(_grams(F.col(held), SHORT)).alias("gram"),
+                            "charge_reference", "last_name") for _, held in columns]
+    wanted = asked.select("held_in", "gram").distinct()
+    # kept in the shared folder: the counts and the search read them
+    postings = postings[0].unionByName(postings[1]).join(wanted, ["held_in", "gram"], "left_semi").checkpoint()
+    counts = postings.groupBy("held_in", "gram").agg(F.count(F.lit(1)).alias("n"))
+    key = ["lastName", "referenceNumber"]
+    counted = asked.join(counts, ["held_in", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy(*key, "held_in", "alt").agg(F.min(F.struct("n", "gram")).alias("r"))
+    cost = rarest.groupBy(*key, "held_in").agg(F.sum("r.n").alias("cost"))
+    most = decl.count() / COMMON
+    chosen = (cost.groupBy(*key).agg(F.min(F.struct("cost", "held_in")).alias("best"))
+              .where(F.col("best.cost") <= F.lit(most)).select(*key, F.col("best.held_in").alias("held_in")).checkpoint())
+    searched = rarest.join(chosen, [*key, "held_in"]).select(*key, "held_in", "r.gram")
+    return _verify(searched.join(postings, ["held_in", "gram"])).distinct(), chosen.select(*key)
+
+
 def lookup_matches(requests: DataFrame, declarations: DataFrame, max_broadcast: int = 10_000
                    ) -> DataFrame:
     """All (request_id, charge_reference) pairs that match (before first-match)."""
+    ensure_checkpoint_dir(declarations.sparkSession)
     good = intake_lookup_requests(requests).where(F.col("reject_reason").isNull())
     pairs = _lane(good.select("lastName", "referenceNumber").distinct())
     decl = eligible_declarations(declarations)
@@ -116,7 +164,10 @@ def lookup_matches(requests: DataFrame, declarations: DataFrame, max_broadcast:
         .where(F.col("found") == F.col("asked")).select("lastName", "referenceNumber", "gram"))
     parts.append(_verify(rarest.join(held, "gram")))
 
-    scan = pairs.where(F.col("lane") == "scan").select("lastName", "referenceNumber")
+    rest = pairs.where(F.col("lane") == "scan").select("lastName", "referenceNumber")
+    indexed, chosen = _index_lane(rest, decl)
+    parts.append(indexed)
+    scan = rest.join(chosen, ["lastName", "referenceNumber"], "left_anti")
     n_scan = scan.count()
     if n_scan:
         chunks = max(1, -(-n_scan // max_broadcast))

@@ -25,7 +25,7 @@ from passlane.sources.tables import DriverTables, read_declarations, read_locks
 
 AS_OF = bridge.AS_OF
 # Bump when a bridge formula changes so stored tables are derived again.
-BRIDGE_VERSION = "8"
+BRIDGE_VERSION = "9"
 
 _PARTITION_BY = {"declarations": ["state"]}
 

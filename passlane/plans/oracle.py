@@ -574,13 +574,16 @@ def oracle_sql() -> dict[str, str]:
         "AS ref_value, NOT (o_orderkey % 35 = 0 AND o_orderkey % 45 <> 0 AND o_orderkey % 53 <> 0) AS matched "
         "FROM decl")
     look = (f"{DECL_WITH}, req AS (SELECT o_orderkey AS request_id, last_name, ref_value AS asked, "
-            "substr(charge_reference, 10, 5) AS tail, (o_orderkey // 7) % 5 AS kind FROM base "
+            "substr(charge_reference, 10, 5) AS tail, CASE WHEN (o_orderkey // 7) % 10 = 9 THEN 9 "
+            "ELSE (o_orderkey // 7) % 5 END AS kind FROM base "
             "WHERE o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0 AND o_orderkey % 47 <> 0), "
             "el AS (SELECT * FROM decl WHERE state = 'paid' AND (amend_state IS NULL OR amend_state "
             "IN ('paid', 'pending-payment'))), "
             # a pattern with all ten digits matches its own reference alone
             "m AS (SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON e.ref_value = r.asked "
-            "WHERE kind <> 2 UNION ALL SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON "
+            "WHERE kind NOT IN (2, 9) UNION ALL SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON "
+            "starts_with(CAST(e.ref_value AS VARCHAR), CAST(r.asked AS VARCHAR)) "
+            "AND contains(lower(e.last_name), lower(r.last_name)) WHERE kind = 9 UNION ALL SELECT r.request_id, e.charge_reference FROM req r JOIN el e ON "
             "contains(e.charge_reference, r.tail) AND contains(lower(e.last_name), lower(r.last_name)) "
             "WHERE kind = 2), "
             "fm AS (SELECT request_id, min(charge_reference) AS charge_reference, "

@@ -437,7 +437,8 @@ def lookup_requests(t: DriverTables) -> DataFrame:
     """Previous-declaration request bodies, one for every order, as JSON text.
 
     With j = ``key // 7``: lastName upper- or lower-cased by ``j % 2``; reference by ``j % 5``:
-    full, lower-cased, last five digits, the check character replaced by ``.``, or by ``[A-Z]``.
+    full, lower-cased, last five digits, the check character replaced by ``.``, or by ``[A-Z]``; of
+    the last kind every other one with ``0+`` for the zeros, which other references match too.
     Broken on purpose: ``% 41`` sends the reference as a number, ``% 43`` no lastName, ``% 47`` a
     pattern that does not compile.
     """
@@ -451,7 +452,8 @@ def lookup_requests(t: DriverTables) -> DataFrame:
         .when(j % 5 == 1, F.lower(ref))
         .when(j % 5 == 2, F.substring(ref, 10, 5))
         .when(j % 5 == 3, F.concat(F.lit("X.PR"), F.substring(ref, 5, 10)))
-        .otherwise(F.concat(F.lit("X[A-Z]PR"), F.substring(ref, 5, 10)))
+        .when(j % 10 == 4, F.concat(F.lit("X[A-Z]PR"), F.substring(ref, 5, 10)))
+        .otherwise(F.concat(F.lit("X[A-Z]PR0+"), F.col("ref_value").cast("string")))
     )
     name = F.when(j % 2 == 0, F.upper("last_name")).otherwise(F.lower("last_name"))
     body = F.to_json(F.struct(F.when(k % 43 != 0, name).alias("lastName"), pattern.alias("referenceNumber")))

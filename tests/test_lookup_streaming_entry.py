@@ -24,7 +24,7 @@ def test_lookup_lanes(spark):
     reqs = spark.createDataFrame([
         (1, "POTTER", "xypr0000000001"),       # exact lane, case-insensitive
         (2, "potter", "0000000002"),           # gram lane: failed amendment hides the row
-        (3, "WEASLEY", "X[A-Z]PR0+3"),         # scan lane (a real regex)
+        (3, "WEASLEY", "X[A-Z]PR0+3"),         # index lane (a real regex; the last name is rare)
         (4, "Potter", "X(YPR"),                # does not compile: refused
     ], "request_id long, lastName string, referenceNumber string")
     got = {r.request_id: r.charge_reference
@@ -34,6 +34,34 @@ def test_lookup_lanes(spark):
     assert [r.request_id for r in bad.collect()] == [4]
 
 
+def test_any_pattern_gives_what_a_scan_gives(spark):
+    names = ["Potter", "Weasley", "O'Brien", "Müller-Lüdenscheidt", "Lee", None, "Granger"]
+    rows = [(f"X{'ABCDEFGH'[k % 8]}PR{k * 37:010d}", names[k % 7], S.PAID, None) for k in range(160)]
+    d = _decl(spark, rows)
+    asked = [("POTTER", "X[A-Z]PR0+1"), ("potter|granger", "37|74"), ("(Pot|Wea)s?", "0000"), ("Gr.nger", "X.PR0*3[0-9]+"),
+             ("Gran?ger", "PR"), ("Grang{1}er", ""), ("L[e]e", "X"), ("müller", "pr0"), ("O'Brien", "^XA"), ("nobody", "."),
+             ("a|", "X[B-D]PR"), ("Weas+ley", "0+7$"), ("\\\\QLee\\\\E", "X"), ("Pot+e?r", "X[^A]PR"), ("[[a-c]x]", "."), ("ley", "X"), ("potter", "00037"), ("lee", "0148")]
+    asked = [(a.replace("\\\\", "\\"), b) for a, b in asked]
+    reqs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(asked)], "request_id long, lastName string, referenceNumber string")
+    got = {(r.request_id, r.charge_reference) for r in LK.lookup_matches(reqs, d).collect()}
+    rx = F.expr("regexp_like(charge_reference, concat('(?i)', referenceNumber)) AND regexp_like(last_name, concat('(?i)', lastName))")
+    want = {(r.request_id, r.charge_reference) for r in LK.eligible_declarations(d).crossJoin(reqs).where(rx).collect()}
+    assert got == want and len({k for k, _ in want}) > 9
+
+
+def test_patterns_with_rare_grams_need_no_nested_loop(spark):
+    rows = [(f"XAPR{k:010d}", f"Name{chr(97 + k % 26)}{chr(97 + k // 26)}x", S.PAID, None) for k in range(200)]
+    reqs = spark.createDataFrame([(1, "NAMEBBX", "X[A-Z]PR0+2"), (2, "namec[ab]x|namedax", "X[A-Z]PR0+"), (3, "e", "XAPR0+19+")],
+                                 "request_id long, lastName string, referenceNumber string")
+    d = _decl(spark, rows)
+    plan = lambda r: LK.lookup_matches(r, d)._jdf.queryExecution().optimizedPlan().toString()
+    few = reqs.where("request_id = 1")
+    assert "regexp" in plan(few).lower() and "BroadcastNestedLoopJoin" not in LK.lookup_matches(few, d)._jdf.queryExecution().executedPlan().toString()
+    rare = F.array_sort(F.flatten(LK.must_hold(F.col("referenceNumber"))))
+    assert reqs.select(rare).collect()[0][0] == ["PR0"]
+    assert reqs.select(LK.must_hold(F.col("lastName"))).collect()[1][0] == [["NAM", "AME", "MEC"], ["NAM", "AME", "MED", "EDA", "DAX"]]
+
+
 def test_stream_payments_equals_batch(spark):
     import __spark_entry__ as E
     q = E.queries()
