@@ -484,6 +484,32 @@ def oracle_sql() -> dict[str, str]:
                             "FROM batch WHERE is_amendment")
     q["quarantined"] = (f"{DECL_WITH} SELECT charge_reference, true AS is_amendment, "
                         "'missing document' AS quarantine_reason FROM decl WHERE amend_state IS NULL")
+    q["quarantine_reasons"] = (
+        f"{DECL_WITH}, w AS (SELECT charge_reference, ref_value % 6 AS k, false AS is_amendment FROM decl WHERE {PAID_FOR_SUB} "
+        f"UNION ALL SELECT charge_reference, ref_value % 6, true FROM decl WHERE {AMEND_FOR_SUB}) "
+        "SELECT charge_reference, is_amendment, k IN (0, 3) AS parse_ok, CASE k WHEN 4 THEN 'missing document' "
+        "WHEN 3 THEN 'missing correlation id' WHEN 0 THEN NULL ELSE 'payload does not parse' END AS quarantine_reason FROM w")
+    q["refused_receipts"] = (
+        f"{DECL_WITH}, w AS (SELECT charge_reference, CASE ref_value % 7 "
+        "WHEN 1 THEN 'receipt date' WHEN 2 THEN CASE WHEN arrival_date IS NOT NULL THEN 'arrival date' END "
+        "WHEN 3 THEN CASE WHEN arrival_time IS NOT NULL THEN 'arrival time' END "
+        "WHEN 4 THEN CASE WHEN amend_state IS NOT NULL THEN 'amendment document' END "
+        "WHEN 5 THEN CASE WHEN n_0 > 0 THEN 'items' END END AS receipt_error FROM decl) "
+        "SELECT charge_reference, receipt_error FROM w WHERE receipt_error IS NOT NULL")
+    detail = "/simpleDeclarationRequest/requestDetail"
+    keywords = [(0, f"{detail}/declarationHeader/timeOfEntry", "pattern", "o_orderkey % 13 <> 0"),
+                (1, f"{detail}/declarationHeader/messageTypes/messageType", "enum", "true"),
+                (2, f"{detail}/customerReference/idValue", "minLength", "true"),
+                (3, f"{detail}/customerReference/idValue", "maxLength", "true"),
+                (4, "/simpleDeclarationRequest/requestCommon/receiptDate", "format", "true"),
+                (5, "/simpleDeclarationRequest/requestCommon/requestParameters/0", "required", "true"),
+                (6, "", "maxProperties", "true"), (7, f"{detail}/liabilityDetails", "required", "true"),
+                (7, f"{detail}/liabilityDetails", "minProperties", "true"),
+                (8, f"{detail}/contactDetails/emailAddress", "type", "o_custkey % 7 <> 0"),
+                (9, f"{detail}/declarationHeader", "additionalProperties", "true")]
+    q["validation_keywords"] = " UNION ALL ".join(
+        f"SELECT {_q(path)} AS path, {_q(rule)} AS rule, CAST(COUNT(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 10 = {k} "
+        f"AND {when} AND " + " AND ".join(f"o_orderkey % {m} <> 0" for m in (17, 19, 23, 29, 31, 37)) for k, path, rule, when in keywords)
     q["dispatch_slots"] = (f"{bat} SELECT charge_reference, seq, slot FROM batch "
                            "WHERE NOT is_amendment")
     q["classify_responses"] = (

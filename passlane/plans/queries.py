@@ -23,6 +23,7 @@ from passlane.operators import validate as V
 from passlane.operators import metrics as M
 from passlane.operators import worklists as W
 from passlane.plans.inputs import Inputs
+from passlane.sources import bridge
 from passlane.sources.keyed import KeyedTable
 from passlane.streaming import jobs as ST
 
@@ -209,6 +210,14 @@ def q_validation_summary(spark, sf_dir):
     return V.validation_summary(V.validation_errors(v, ["seq"]))
 
 
+@query
+def q_validation_keywords(spark, sf_dir):
+    """Submissions that break one keyword of the schema each: documents per (path, rule)."""
+    raw = bridge.broken_submissions(Inputs(spark, sf_dir).raw_submissions)
+    v = V.validate_documents(raw.withColumn("charge_reference", encode_reference((F.col("seq") + 1).cast("int"))), "raw", "charge_reference")
+    return V.validation_summary(V.validation_errors(v, ["seq"]))
+
+
 @query
 def q_accept_submissions(spark, sf_dir):
     i, v = _validated(spark, sf_dir)
@@ -319,6 +328,12 @@ def q_receipt_requests(spark, sf_dir):
     return r.select("charge_reference", "recipient", "subject")
 
 
+@query
+def q_refused_receipts(spark, sf_dir):
+    """Rows with documents broken by key for which no receipt can be made, and why."""
+    return D.refused_receipts(bridge.broken_receipts(Inputs(spark, sf_dir).declarations)).select("charge_reference", "receipt_error")
+
+
 @query
 def q_goods_items(spark, sf_dir):
     d = D.goods_items(Inputs(spark, sf_dir).declarations, "data")
@@ -480,6 +495,20 @@ def q_quarantined(spark, sf_dir):
     return FO.quarantined(both).select("charge_reference", "is_amendment", "quarantine_reason")
 
 
+@query
+def q_quarantine_reasons(spark, sf_dir):
+    """Both work lists with documents and ids broken by key: what is sent, and why the rest is not."""
+    d = bridge.broken_batches(Inputs(spark, sf_dir).declarations)
+    both = None
+    for amendment, doc in ((False, "data"), (True, "amend_data")):
+        work = (W.amendments_for_submission if amendment else W.paid_for_submission)(d)
+        rows = D.refine_payload(work, doc).withColumn("is_amendment", F.lit(amendment))
+        both = rows if both is None else both.unionByName(rows)
+    why = FO.quarantined(both).select("charge_reference", "is_amendment", "quarantine_reason")
+    return both.join(why, ["charge_reference", "is_amendment"], "left").select(
+        "charge_reference", "is_amendment", "parse_ok", "quarantine_reason")
+
+
 @query
 def q_dispatch_slots(spark, sf_dir):
     """One row per second (1 element per 1 s): slot of every row in the batch."""

@@ -459,3 +459,47 @@ def lookup_requests(t: DriverTables) -> DataFrame:
     body = F.to_json(F.struct(F.when(k % 43 != 0, name).alias("lastName"), pattern.alias("referenceNumber")))
     odd = F.to_json(F.struct(name.alias("lastName"), k.alias("referenceNumber")))
     return rows.select(k.alias("request_id"), F.when(k % 41 == 0, odd).otherwise(body).alias("raw"))
+
+
+# -- broken documents: what the error branches of the jobs are made for ----------------------
+
+def edited(df: DataFrame, key: Column, columns: list[str], edits: dict[int, tuple[str, str]]) -> DataFrame:
+    """Replace a pattern in document texts, by the value of ``key``; one projection per edit."""
+    for value, (pattern, text) in edits.items():
+        df = df.withColumns({c: F.when(key == value, F.regexp_replace(c, pattern, text)).otherwise(F.col(c)) for c in columns})
+    return df
+
+
+def broken_batches(declarations_df: DataFrame) -> DataFrame:
+    """Declarations that cannot all be sent, by ``ref_value % 6``: 1 without a total, 2 a boolean as
+    text, 3 without correlation ids, 4 without documents, 5 no JSON, 0 whole."""
+    k = F.col("ref_value") % 6
+    docs = ["data", "amend_data"]
+    df = edited(declarations_df, k, docs, {1: (',"grandTotalGBP":"[^"]*"', ""), 2: ('"ukResident":(true|false)', '"ukResident":"$1"'),
+                                           5: (r"^\{", "[{")})
+    gone = lambda value, c: F.when(k != value, F.col(c)).alias(c)
+    return df.select(*[gone(3, c) if "correlation" in c else gone(4, c) if c in docs else c for c in df.columns])
+
+
+def broken_receipts(declarations_df: DataFrame) -> DataFrame:
+    """Declarations some of which can have no receipt, by ``ref_value % 7``: 1 no receipt date, 2 no arrival
+    date, 3 no arrival time, 4 the amendment's document missing, 5 an alcohol section without its list."""
+    k = F.col("ref_value") % 7
+    df = edited(declarations_df, k, ["data", "amend_data"], {
+        1: ('"receiptDate":"[^"]*"', '"receiptDate":"soon"'), 2: ('"expectedDateOfArrival":"[^"]*"', '"expectedDateOfArrival":"2020-13-45"'),
+        3: ('"timeOfEntry":"[^"]*"', '"timeOfEntry":"25:99"'), 5: ('"declarationItemAlcohol"', '"elsewhere"')})
+    return df.withColumn("amend_data", F.when(k != 4, F.col("amend_data")))
+
+
+def broken_submissions(raw: DataFrame) -> DataFrame:
+    """Submissions that are whole but for one keyword of the schema each, by ``seq % 10``."""
+    whole = F.lit(True)
+    for m in (17, 19, 23, 29, 31, 37):
+        whole &= F.col("seq") % m != 0
+    return edited(raw.where(whole), F.col("seq") % 10, ["raw"], {
+        0: ('"timeOfEntry":"[^"]*"', '"timeOfEntry":"ab:cd"'), 1: ('"messageType":"DeclarationCreate"', '"messageType":"Else"'),
+        2: ('"idValue":"[^"]*"', '"idValue":""'), 3: ('"idValue":"[^"]*"', f'"idValue":"{"x" * 41}"'),
+        4: ('"receiptDate":"[^"]*"', '"receiptDate":"2020-13-01T00:00:00Z"'),
+        5: (r'"requestParameters":\[[^\]]*\]', '"requestParameters":[{"paramName":"a"}]'), 6: (r"^\{", '{"a":1,"b":2,'),
+        7: (r'"liabilityDetails":\{[^}]*\}', '"liabilityDetails":{}'), 8: ('"emailAddress":"[^"]*"', '"emailAddress":7'),
+        9: ('"portOfEntry":', '"portOfEntri":')})
