@@ -55,7 +55,7 @@ def test_given_table_matches_brute_force(spark):
     assert got(T.trie(rows, most=16)) == want  # with rounds of the list ranking
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_tries(spark, seed):
     rng = random.Random(seed)
     rows = []
