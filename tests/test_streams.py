@@ -21,10 +21,9 @@ def outputs(spark, root, names):
     return {n: rows_of(spark, f"{root}/{n}") for n in names}
 
 
-def thirds(df, col):
-    edge = df.approxQuantile(col, [1 / 3, 2 / 3], 0.0)
-    return [df.where(F.col(col) <= edge[0]), df.where((F.col(col) > edge[0]) & (F.col(col) <= edge[1])),
-            df.where(F.col(col) > edge[1])]
+def halves(df, col):
+    edge = df.approxQuantile(col, [1 / 2], 0.0)[0]
+    return [df.where(F.col(col) <= edge), df.where(F.col(col) > edge)]
 
 
 def retried(spark, batch, parts, root, names):
@@ -40,8 +39,8 @@ def retried(spark, batch, parts, root, names):
 def test_payment_batches_are_idempotent(spark):
     i, root = Inputs(spark, SF), ST.stream_root(spark, "t")
     clock = iter(dt.datetime(1998, 1, 1) + dt.timedelta(seconds=k) for k in range(100))
-    batch = ST.payments_batch(spark, i.path("declarations"), i.locks, lambda: next(clock), root, buckets=8)
-    retried(spark, batch, thirds(i.raw_notifications, "event_id"), root, ["outcomes", "rejected"])
+    batch = ST.payments_batch(spark, i.path("declarations"), i.locks, lambda: next(clock), root, buckets=4)
+    retried(spark, batch, halves(i.raw_notifications, "event_id"), root, ["outcomes", "rejected"])
     table = ST.current_declarations(spark, i.path("declarations"), root)
     assert table.count() == i.declarations.count() and set(table.columns) == set(i.declarations.columns)
     changed = {r.ref_value: r.new_state for r in spark.read.parquet(f"{root}/outcomes").where("applied").collect()}
@@ -64,7 +63,7 @@ def encode(ref):
 
 def test_payment_batches_read_only_touched_buckets_and_are_folded(spark):
     i, root = Inputs(spark, SF), ST.stream_root(spark, "t")
-    unpaid = [r.ref_value for r in i.declarations.where(F.col("state") == S.PENDING_PAYMENT).orderBy("ref_value").limit(13).collect()]
+    unpaid = [r.ref_value for r in i.declarations.where(F.col("state") == S.PENDING_PAYMENT).orderBy("ref_value").limit(9).collect()]
     batch = ST.payments_batch(spark, i.path("declarations"), i.locks.limit(0), i.as_of, root, buckets=4, compact_after=2)
     state = ST.payment_state(spark, root)
     read, real = [], ST.KeyedTable._files
@@ -75,7 +74,7 @@ def test_payment_batches_read_only_touched_buckets_and_are_folded(spark):
         return found
 
     most = []
-    for n in range(12):
+    for n in range(8):
         read.clear()
         ST.KeyedTable._files = spied
         try:
@@ -86,9 +85,9 @@ def test_payment_batches_read_only_touched_buckets_and_are_folded(spark):
         held = state.held(2 * n + 2)
         assert max(map(len, held.values())) <= 2 + 1  # a bucket is folded before it holds more
         assert len(state.touched(message(spark, n, unpaid[n]).select(F.lit(unpaid[n]).alias("ref_value")))) == 1
-    assert max(most[6:]) <= max(most[:6]) <= 8  # the twelfth batch reads no more than an early one
+    assert max(most[4:]) <= max(most[:4]) <= 8  # the eighth batch reads no more than an early one
     now = {r.ref_value: r.state for r in ST.current_declarations(spark, i.path("declarations"), root).collect()}
-    assert all(now[k] == S.PAID for k in unpaid[:12]) and now[unpaid[12]] == S.PENDING_PAYMENT
+    assert all(now[k] == S.PAID for k in unpaid[:8]) and now[unpaid[8]] == S.PENDING_PAYMENT
 
 
 def test_a_later_batch_sees_what_earlier_ones_changed(spark):
@@ -117,7 +116,7 @@ def test_intake_batches_are_idempotent(spark):
     start = counter_start(i)
     some = i.raw_submissions.where("seq % 10 = 0")
     batch = ST.intake_batch(spark, start, i.as_of, root)
-    retried(spark, batch, thirds(some, "seq"), root, ["accepted", "rejected"])
+    retried(spark, batch, halves(some, "seq"), root, ["accepted", "rejected"])
     numbers = [r.ref_value for n in ("accepted", "rejected") for r in spark.read.parquet(f"{root}/{n}").collect()
                if r.ref_value is not None]
     assert sorted(numbers) == list(range(start + 1, start + 1 + len(numbers)))
@@ -141,7 +140,7 @@ def test_a_body_sent_again_takes_one_number(spark):
 def test_timeout_batches_are_idempotent_and_follow_the_clock(spark):
     i, root = Inputs(spark, SF), ST.stream_root(spark, "t")
     times = iter([dt.datetime(1996, 1, 1), dt.datetime(1998, 1, 1), dt.datetime(2000, 1, 1)])
-    batch = ST.timeout_batch(spark, i.path("declarations"), i.locks, lambda: next(times), root)
+    batch = ST.timeout_batch(spark, i.path("declarations"), i.locks, lambda: next(times), root, buckets=4)
     names, sizes = ["removed", "tap"], []
     for n in range(3):
         batch(n)
