@@ -5,13 +5,16 @@ graph comes from exact search inside the cells of a few random projection trees
 levels from a sample, the lower ones inside the task that has the cell); then rounds join every
 node's neighbours (and a bounded number of nodes that name it) with their vectors, compare them
 with each other and offer each what it lacks, neighbours of neighbours, until a round changes
-hardly any edge. Vectors travel as bytes there, whose products are exact sums, so that lists
-only ever get better; scores of the search are in double precision.
+hardly any edge. Edges are new in the round after they were found and old from then on; two old
+ones were compared before, so only pairs with a new one are compared, and nodes without a new
+edge send nothing: a round costs what the one before it changed. Vectors travel as bytes there,
+whose products are exact sums, so that lists only ever get better; scores of the search are in
+double precision.
 
 Search. A query starts at its own node and keeps a beam of the best nodes found. Each hop
 expands what the beam has not expanded yet, scores the neighbours where their vectors are
-(nodes lie in blocks of bounded size), until nothing is left to expand for any query. Queries
-run in batches of bounded number, whose vectors are broadcast.
+(nodes lie in blocks of bounded size; a request carries the query's vector and the score to
+reach), until nothing is left to expand for any query. Queries run together.
 
 Every row is in the index. The degree, the beam and the reverse neighbours are bounds of the
 approximate method; the numbers of levels, rounds and hops follow from the data. Recall against
@@ -92,7 +95,8 @@ def _matrix(column: pd.Series, dtype: str) -> np.ndarray:
 
 
 def _block(node: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
+    """Nodes are numbered in no order of theirs, so that blocks are of one size."""
+    return F.pmod(node, F.lit(blocks)).cast("int")
 
 
 # -- nodes
@@ -126,8 +130,11 @@ def _codes(vec: pd.Series) -> tuple[list[bytes], np.ndarray]:
     return [c.tobytes() for c in np.rint(x / scale[:, None]).astype(np.int8)], scale
 
 
-def nodes_of(found: DataFrame, answers: int, block_size: int) -> tuple[DataFrame, int, int]:
-    """Distinct vectors as nodes: node, block, vec, code, scale, members (smallest ids); their number, the blocks."""
+def nodes_of(found: DataFrame, answers: int, block_size: int, least_blocks: int) -> tuple[DataFrame, int, int]:
+    """Distinct vectors as nodes: node, block, vec, code, scale, members (smallest ids); their number, the blocks.
+
+    ``least_blocks`` keeps small tables in as many tasks as a node has edges: with fewer blocks
+    every block would offer something to every node."""
     by_vector = Window.partitionBy("vec").orderBy("vec_id")
     least = found.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= answers + 1)
 
@@ -138,7 +145,7 @@ def nodes_of(found: DataFrame, answers: int, block_size: int) -> tuple[DataFrame
 
     distinct = cut(least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members")))
     n = distinct.count()
-    blocks = max(1, -(-n // block_size))
+    blocks = max(least_blocks, -(-n // block_size))
     nodes = (distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("c", code("vec"))
              .select("node", _block(F.col("node"), blocks).alias("block"), "vec", "c.code", "c.scale", "members"))
     return cut(nodes), n, blocks
@@ -217,61 +224,70 @@ def _joined(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFr
     return _lists(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
+GRAPH = f"{LISTS}, new binary, fresh long"
+
+
 def _merged(graph: DataFrame | None, offers: DataFrame, blocks: int, degree: int) -> DataFrame:
-    """Lists of one node to its best ``degree`` neighbours, and how many of them ``graph`` lacks;
+    """Lists of one node to its best ``degree`` neighbours, which of them ``graph`` lacks, and how many;
     blocks are merged as arrays."""
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         node, other, score = best_of(*_triples(g), degree)
         out = _lists(node, other, score)
         before = {n: np.frombuffer(x, "<i8") for n, x in zip(g["node"][g["held"]], g["ids"][g["held"]], strict=True)}
         none = np.empty(0, np.int64)
-        return out.assign(fresh=[int((~np.isin(np.frombuffer(x, "<i8"), before.get(n, none))).sum())
-                                 for n, x in zip(out["node"], out["ids"], strict=True)])
+        new = [~np.isin(np.frombuffer(x, "<i8"), before.get(n, none)) for n, x in zip(out["node"], out["ids"], strict=True)]
+        return out.assign(new=[x.astype("i1").tobytes() for x in new], fresh=[int(x.sum()) for x in new])
 
     rows = offers.withColumn("held", F.lit(False))
     if graph is not None:
         rows = graph.select("node", "ids", "scores", F.lit(True).alias("held")).unionByName(rows)
-    return cut(rows.withColumn("block", _block(F.col("node"), blocks)).groupBy("block").applyInPandas(
-        merge, f"{LISTS}, fresh long"))
+    return cut(rows.withColumn("block", _block(F.col("node"), blocks)).groupBy("block").applyInPandas(merge, GRAPH))
 
 
-def _edges(graph: DataFrame, degree: int) -> DataFrame:
-    """(at, node): each node's neighbours, and at most ``degree`` nodes that name it, the nearest."""
+def _around(graph: DataFrame, degree: int) -> DataFrame:
+    """(at, near): each node's neighbours, and at most ``degree`` nodes that name it, the nearest, as
+    structs (node, new); a neighbour that was there before is not new."""
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             node, other, score = _triples(b)
-            yield pd.DataFrame({"at": node, "node": other, "score": score})
+            new = np.concatenate([np.frombuffer(x, "i1") for x in b["new"]] + [np.empty(0, np.int8)])
+            yield pd.DataFrame({"at": node, "node": other, "score": score, "new": new == 1})
 
-    named = graph.mapInPandas(flat, "at long, node long, score float")
+    named = graph.select("node", "ids", "scores", "new").mapInPandas(flat, "at long, node long, score float, new boolean")
     nearest = Window.partitionBy("node").orderBy(F.desc("score"), "at")
     back = named.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= degree)
-    return named.select("at", "node").unionByName(back.select(F.col("node").alias("at"), F.col("at").alias("node"))).distinct()
+    both = named.select("at", "node", "new").unionByName(
+        back.select(F.col("node").alias("at"), F.col("at").alias("node"), "new"))
+    # at most 2 * degree of a node
+    return (both.groupBy("at", "node").agg(F.min("new").alias("new"))
+            .groupBy("at").agg(F.collect_list(F.struct("node", "new")).alias("near")))
 
 
 def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, held: int = 1 << 20) -> DataFrame:
-    """One round: neighbours of a node are compared with each other; each is offered all that is
-    better than its last. A task reduces its offers when it holds ``held``."""
+    """One round: neighbours of a node are compared with each other, where one of the two is new;
+    each is offered all that is better than its last. A task reduces its offers when it holds ``held``."""
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"l_node": b["node"], "least": [
                 float(np.frombuffer(s, "<f4")[-1]) if len(s) >= 4 * degree else -np.inf for s in b["scores"]]})
 
-    least = graph.mapInPandas(last, "l_node long, least float")
+    least = graph.select("node", "scores").mapInPandas(last, "l_node long, least float")
     facts = nodes.select("node", "code", "scale").join(least, F.col("node") == F.col("l_node"), "left").select(
         "node", "code", "scale", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
-    around = (_edges(graph, degree).join(facts, "node").withColumn("block", _block(F.col("at"), blocks)))
+    todo = _around(graph, degree).where(F.exists("near", lambda e: e["new"])).select("at", F.inline("near"))
+    around = todo.join(facts, "node").withColumn("block", _block(F.col("at"), blocks))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("at", kind="stable")
         at, node = g["at"].to_numpy(np.int64), g["node"].to_numpy(np.int64)
         x, scale = _codes_of(g)
-        least = g["least"].to_numpy(np.float32)
+        least, new = g["least"].to_numpy(np.float32), g["new"].to_numpy(bool)
         cuts = np.append(np.flatnonzero(np.diff(at, prepend=at[0] - 1)), len(at))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             s = _products(x[a:b], scale[a:b])
-            row, col = np.nonzero(s > least[a:b, None])
+            row, col = np.nonzero((s > least[a:b, None]) & (new[a:b, None] | new[a:b]))
             found.append((node[a:b][row], node[a:b][col], s[row, col]))
             size += len(row)
             if size > held:
@@ -284,126 +300,134 @@ def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, held:
 
 # -- search
 
-STATE = "query long, ids binary, scores binary, opened binary"
+STATE = "query long, vec binary, ids binary, scores binary, opened binary, open int"
+
+
+def _by_block(ids: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """``ids`` packed by their block, as ``_block`` has it."""
+    block = ids % blocks
+    order = np.argsort(block, kind="stable")
+    ids, block = ids[order], block[order]
+    cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(ids))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(block[a]), ids[a:b].astype("<i8").tobytes()
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, beam: int,
            batch: int) -> DataFrame:
-    """``queries`` (query: a node) to (query, ids, scores): the best ``beam`` nodes found, best first."""
-    spark = queries.sparkSession
-
-    def gather(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "node"])
-        at, node = g["at"].to_numpy(np.int64), g["node"].to_numpy(np.int64)
-        cuts = np.append(np.flatnonzero(np.diff(at, prepend=at[0] - 1)), len(at))
-        return pd.DataFrame({"node": at[cuts[:-1]], "near": [
-            node[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
-
-    near = _edges(graph, degree).withColumn("block", _block(F.col("at"), blocks)).groupBy("block").applyInPandas(
-        gather, "node long, near binary")
-    placed = cut(nodes.select("node", "block", "vec").join(near, "node", "left").repartition("block"))
-    count = queries.count()
-    batches = max(1, -(-count // batch))
+    """``queries`` (query: a node) to (query, ids, scores): the best ``beam`` nodes found, best first.
+
+    Queries run together, or in waves of at least ``batch`` and a 64th of the nodes: what one
+    block is asked is bounded so, and the number of waves does not grow with the table."""
+    none_new = F.unhex(F.repeat(F.lit("00"), (F.octet_length("ids") / 8).cast("int")))
+    around = _around(graph.select("node", "ids", "scores", none_new.alias("new")), degree)
+    near = cut(around.select(_block(F.col("at"), blocks).alias("block"), F.col("at").alias("node"), F.col("near")["node"].alias("near")))
+    place = nodes.select("block", "node", "vec")
+    waves = max(1, -(-queries.count() // max(batch, nodes.count() // 64)))
+    asking = queries.join(nodes.select("node", "vec"), F.col("query") == F.col("node")).select("query", "vec")
     out = None
-    for k in range(batches):
-        mine = cut(queries.where(F.pmod(F.xxhash64("query"), F.lit(batches)) == k).join(
-            nodes.select("node", "vec"), F.col("query") == F.col("node")).select("query", "vec"))
-        got = mine.toPandas()  # about `batch` rows
-        order = got["query"].to_numpy(np.int64).argsort()
-        shared = spark.sparkContext.broadcast((got["query"].to_numpy(np.int64)[order], _matrix(got["vec"], "<f8")[order]))
-        done = _search_batch(mine.select("query"), placed, blocks, beam, shared)
+    for k in range(waves):
+        done = _wave(asking.where(F.pmod(F.xxhash64("query"), F.lit(waves)) == k), near, place, blocks, beam)
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def _search_batch(queries: DataFrame, placed: DataFrame, blocks: int, beam: int, shared) -> DataFrame:
+def _wave(asking: DataFrame, near: DataFrame, place: DataFrame, blocks: int, beam: int) -> DataFrame:
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A query's beam is its own node."""
+        for b in batches:
+            x = _matrix(b["vec"], "<f8")
+            yield b.assign(ids=[int(q).to_bytes(8, "little") for q in b["query"]],
+                           scores=[s.astype("<f8").tobytes() for s in np.einsum("ij,ij->i", x, x)], opened=b"\0", open=1)
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """What each query's beam has not opened yet, by block."""
         for b in batches:
-            rows = [(q, node) for q, ids, opened in zip(b["query"], b["ids"], b["opened"], strict=True)
-                    for node in np.frombuffer(ids, "<i8")[np.frombuffer(opened, "i1") == 0].tolist()]
-            yield pd.DataFrame(rows, columns=["query", "node"], dtype="int64")
+            rows = [(block, q, ids) for q, all_ids, opened in zip(b["query"], b["ids"], b["opened"], strict=True)
+                    for block, ids in _by_block(np.frombuffer(all_ids, "<i8")[np.frombuffer(opened, "i1") == 0], blocks)]
+            yield pd.DataFrame(rows, columns=["block", "query", "ids"])
 
     def open_nodes(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         """Neighbours of the asked nodes, distinct for each query."""
-        if not len(asked) or not len(block):
-            return pd.DataFrame({"query": [], "node": []}, dtype="int64")
-        near = {n: np.frombuffer(x or b"", "<i8") for n, x in zip(block["node"], block["near"], strict=True)}
-        found = [near.get(n, np.empty(0, np.int64)) for n in asked["node"]]
-        query = np.repeat(asked["query"].to_numpy(np.int64), [len(x) for x in found])
-        return pd.DataFrame({"query": query, "node": np.concatenate(found)}).drop_duplicates()
+        names, rows = dict(zip(block["node"], block["near"], strict=True)), []
+        for q, ids in zip(asked["query"], asked["ids"], strict=True):
+            found = [names[n] for n in np.frombuffer(ids, "<i8").tolist() if n in names]
+            if found:
+                rows.append((q, np.unique(np.concatenate(found)).astype("<i8").tobytes()))
+        return pd.DataFrame(rows, columns=["query", "ids"])
+
+    def want(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Neighbours that are not in the beam, by block, with the score that they have to reach."""
+        for b in batches:
+            rows = []
+            for q, vec, ids, scores, found in zip(b["query"], b["vec"], b["ids"], b["scores"], b["found"], strict=True):
+                fresh = np.setdiff1d(np.concatenate([np.frombuffer(f, "<i8") for f in found]), np.frombuffer(ids, "<i8"))
+                least = float(np.frombuffer(scores, "<f8")[-1]) if len(scores) >= 8 * beam else -np.inf
+                rows += [(block, q, vec, least, part) for block, part in _by_block(fresh, blocks)]
+            yield pd.DataFrame(rows, columns=["block", "query", "vec", "least", "ids"])
 
     def score(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         """Best nodes of this block for each query that asks for some."""
-        if not len(asked) or not len(block):
-            return _lists(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)).assign(
-                scores=pd.Series(dtype=object)).rename(columns={"node": "query"})
-        names, vecs = shared.value
-        node = block["node"].to_numpy(np.int64)
-        order = node.argsort()
-        x = _matrix(block["vec"], "<f8")[order]
-        asked = asked.drop_duplicates().sort_values("query", kind="stable")
-        q, n = asked["query"].to_numpy(np.int64), asked["node"].to_numpy(np.int64)
-        row, col = np.searchsorted(names, q), np.searchsorted(node[order], n)
-        got = np.empty(len(q))
-        for k in range(0, len(q), 65_536):
-            got[k:k + 65_536] = np.einsum("ij,ij->i", vecs[row[k:k + 65_536]], x[col[k:k + 65_536]])
-        by = np.lexsort((n, -got, q))
-        q, n, got = q[by], n[by], got[by]
-        cuts = np.append(np.flatnonzero(np.diff(q, prepend=q[0] - 1)), len(q))
-        spans = [(a, min(b, a + beam)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pd.DataFrame({"query": q[cuts[:-1]], "ids": [n[a:b].astype("<i8").tobytes() for a, b in spans],
-                             "scores": [got[a:b].astype("<f8").tobytes() for a, b in spans]})
+        rows = []
+        if len(asked) and len(block):
+            order = block["node"].to_numpy(np.int64).argsort()
+            names, x = block["node"].to_numpy(np.int64)[order], _matrix(block["vec"], "<f8")[order]
+            vecs, least = _matrix(asked["vec"], "<f8"), asked["least"].to_numpy(np.float64)
+            row = np.repeat(np.arange(len(asked)), [len(i) // 8 for i in asked["ids"]])
+            node = np.frombuffer(b"".join(asked["ids"]), "<i8")
+            col, got = np.searchsorted(names, node), np.empty(len(node))
+            for k in range(0, len(node), 65_536):
+                got[k:k + 65_536] = np.einsum("ij,ij->i", vecs[row[k:k + 65_536]], x[col[k:k + 65_536]])
+            good = got >= least[row]
+            row, node, got = row[good], node[good], got[good]
+            by = np.lexsort((node, -got, row))
+            row, node, got = row[by], node[by], got[by]
+            cuts, query = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row)), asked["query"].to_numpy(np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                rows.append((query[row[a]], node[a:min(b, a + beam)].astype("<i8").tobytes(),
+                             got[a:min(b, a + beam)].astype("<f8").tobytes()))
+        return pd.DataFrame(rows, columns=["query", "ids", "scores"])
 
     def keep_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A query's old beam and its new nodes to its new beam."""
+        """A query's old beam, opened now, and its new nodes to its new beam."""
         for b in batches:
             rows = []
-            for q, parts in zip(b["query"], b["parts"], strict=True):
-                ids = np.concatenate([np.frombuffer(p["ids"], "<i8") for p in parts])
-                scores = np.concatenate([np.frombuffer(p["scores"], "<f8") for p in parts])
-                opened = np.concatenate([np.frombuffer(p["opened"], "i1") if p["opened"] is not None
-                                         else np.zeros(len(p["ids"]) // 8, np.int8) for p in parts])
-                order = np.lexsort((-opened, ids))
-                ids, scores, opened = ids[order], scores[order], opened[order]
-                first = np.diff(ids, prepend=ids[0] - 1) != 0
-                ids, scores, opened = ids[first], scores[first], opened[first]
+            for q, vec, ids, scores, parts in zip(b["query"], b["vec"], b["ids"], b["scores"], b["parts"], strict=True):
+                parts, old = [] if parts is None else list(parts), len(ids) // 8
+                ids = np.concatenate([np.frombuffer(i, "<i8") for i in [ids, *[p["ids"] for p in parts]]])
+                scores = np.concatenate([np.frombuffer(s, "<f8") for s in [scores, *[p["scores"] for p in parts]]])
                 order = np.lexsort((ids, -scores))[:beam]
-                rows.append((q, ids[order].astype("<i8").tobytes(), scores[order].astype("<f8").tobytes(),
-                             opened[order].astype("i1").tobytes()))
-            yield pd.DataFrame(rows, columns=["query", "ids", "scores", "opened"])
-
-    def merged(parts: DataFrame) -> DataFrame:
-        # at most one row a query and block, and its beam
-        return cut(parts.groupBy("query").agg(F.collect_list(F.struct("ids", "scores", "opened")).alias("parts"))
-                   .mapInPandas(keep_best, STATE))
-
-    def scored(asked: DataFrame) -> DataFrame:
-        return (asked.withColumn("block", _block(F.col("node"), blocks)).groupBy("block")
-                .cogroup(placed.groupBy("block")).applyInPandas(score, "query long, ids binary, scores binary")
-                .withColumn("opened", F.lit(None).cast("binary")))
-
-    state = merged(scored(queries.select("query", F.col("query").alias("node"))))
-    while True:  # a beam only gets better, so this ends
-        asked = state.mapInPandas(expand, "query long, node long").withColumn("block", _block(F.col("node"), blocks))
-        found = (asked.groupBy("block").cogroup(placed.groupBy("block"))
-                 .applyInPandas(open_nodes, "query long, node long"))
-        shut = state.select("query", "ids", "scores", F.expr(
-            "unhex(repeat('01', cast(octet_length(opened) as int)))").alias("opened"))
-        state = merged(shut.unionByName(scored(found)))
-        if state.where(F.hex("opened").contains("00")).where("hex(opened) rlike '^(..)*00'").isEmpty():
-            break
+                opened = (order < old).astype("i1")
+                rows.append((q, vec, ids[order].astype("<i8").tobytes(), scores[order].astype("<f8").tobytes(),
+                             opened.tobytes(), int((opened == 0).sum())))
+            yield pd.DataFrame(rows, columns=["query", "vec", "ids", "scores", "opened", "open"])
+
+    def by_block(asked: DataFrame, held: DataFrame, ask, schema: str) -> DataFrame:
+        return asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(ask, schema)
+
+    state = cut(asking.mapInPandas(begin, STATE))
+    while not state.where(F.col("open") > 0).isEmpty():  # a beam only gets better, so this ends
+        asked = state.where(F.col("open") > 0).select("query", "ids", "opened").mapInPandas(
+            expand, "block int, query long, ids binary")
+        # at most one row of a query and block in either list
+        found = by_block(asked, near, open_nodes, "query long, ids binary").groupBy("query").agg(
+            F.collect_list("ids").alias("found"))
+        wanted = state.select("query", "vec", "ids", "scores").join(found, "query").mapInPandas(
+            want, "block int, query long, vec binary, least double, ids binary")
+        parts = by_block(wanted, place, score, "query long, ids binary, scores binary").groupBy("query").agg(
+            F.collect_list(F.struct("ids", "scores")).alias("parts"))
+        state = cut(state.select("query", "vec", "ids", "scores").join(parts, "query", "left").mapInPandas(keep_best, STATE))
     return state.select("query", "ids", "scores")
 
 
 def nearest(rows: DataFrame, is_query: Column, answers: int = 20, degree: int = 32, trees: int = 8, cell: int = 400,
-            settled: float = 0.001, beam: int = 256, block_size: int = 4096, sample: int = 20_000,
+            settled: float = 0.001, beam: int = 256, block_size: int = 4096, least_blocks: int = 64, sample: int = 20_000,
             batch: int = 20_000) -> DataFrame:
     """For each row of (vec_id, embedding) that ``is_query`` picks, its ``answers`` nearest others:
     query_id, rank, vec_id, score. The graph is done when a round changes at most the share
     ``settled`` of its edges."""
     found = vectors(rows)
-    nodes, n, blocks = nodes_of(found, answers, block_size)
+    nodes, n, blocks = nodes_of(found, answers, block_size, least_blocks)
     graph = first_graph(nodes, n, blocks, degree, trees, cell, sample)
     fresh = n
     while fresh:
