@@ -57,24 +57,30 @@ def best_of(node: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> t
     return node[keep], other[keep], score[keep]
 
 
+def _arrays(values: list[np.ndarray]) -> pd.Series:
+    """A column of arrays, of that kind when empty too."""
+    out = np.empty(len(values), object)
+    out[:] = values
+    return pd.Series(out)
+
+
 def _lists(node: np.ndarray, other: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    """Sorted triples to one packed row per node."""
+    """Sorted triples to one row per node."""
     first = np.flatnonzero(np.diff(node, prepend=node[0] - 1)) if len(node) else np.empty(0, np.int64)
     cuts = np.append(first, len(node))
     return pd.DataFrame({
         "node": node[first],
-        "ids": [other[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-        "scores": [score[a:b].astype("<f4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        "ids": _arrays([other[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]),
+        "scores": _arrays([score[a:b].astype(np.float32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])})
 
 
-LISTS = "node long, ids binary, scores binary"
+LISTS = "node long, ids array<long>, scores array<float>"
 
 
 def _triples(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = [np.frombuffer(x, "<i8") for x in frame["ids"]]
-    empty = [np.empty(0, np.int64)]
-    return (np.repeat(frame["node"].to_numpy(np.int64), [len(x) for x in ids]), np.concatenate(ids + empty),
-            np.concatenate([np.frombuffer(x, "<f4") for x in frame["scores"]] + [np.empty(0, np.float32)]))
+    ids = list(frame["ids"])
+    return (np.repeat(frame["node"].to_numpy(np.int64), [len(x) for x in ids]), np.concatenate([*ids, np.empty(0, np.int64)]),
+            np.concatenate([*frame["scores"], np.empty(0, np.float32)]))
 
 
 def _codes_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +105,13 @@ def _block(node: Column, blocks: int) -> Column:
     return F.pmod(node, F.lit(blocks)).cast("int")
 
 
+def _kept(frame: DataFrame, by: str) -> DataFrame:
+    """``frame`` dealt and sorted by ``by`` once for all rounds or hops that join it; it is stored
+    before, so a lost part is read again."""
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(parts, by).sortWithinPartitions(by).persist()
+
+
 # -- nodes
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -224,7 +237,7 @@ def _joined(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFr
     return _lists(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
-GRAPH = f"{LISTS}, new binary, fresh long"
+GRAPH = f"{LISTS}, new array<boolean>, fresh long"
 
 
 def _merged(graph: DataFrame | None, offers: DataFrame, blocks: int, degree: int) -> DataFrame:
@@ -233,10 +246,10 @@ def _merged(graph: DataFrame | None, offers: DataFrame, blocks: int, degree: int
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         node, other, score = best_of(*_triples(g), degree)
         out = _lists(node, other, score)
-        before = {n: np.frombuffer(x, "<i8") for n, x in zip(g["node"][g["held"]], g["ids"][g["held"]], strict=True)}
+        before = dict(zip(g["node"][g["held"]], g["ids"][g["held"]], strict=True))
         none = np.empty(0, np.int64)
-        new = [~np.isin(np.frombuffer(x, "<i8"), before.get(n, none)) for n, x in zip(out["node"], out["ids"], strict=True)]
-        return out.assign(new=[x.astype("i1").tobytes() for x in new], fresh=[int(x.sum()) for x in new])
+        new = [~np.isin(x, before.get(n, none)) for n, x in zip(out["node"], out["ids"], strict=True)]
+        return out.assign(new=_arrays(new), fresh=[int(x.sum()) for x in new])
 
     rows = offers.withColumn("held", F.lit(False))
     if graph is not None:
@@ -245,36 +258,29 @@ def _merged(graph: DataFrame | None, offers: DataFrame, blocks: int, degree: int
 
 
 def _around(graph: DataFrame, degree: int) -> DataFrame:
-    """(at, near): each node's neighbours, and at most ``degree`` nodes that name it, the nearest, as
-    structs (node, new); a neighbour that was there before is not new."""
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            node, other, score = _triples(b)
-            new = np.concatenate([np.frombuffer(x, "i1") for x in b["new"]] + [np.empty(0, np.int8)])
-            yield pd.DataFrame({"at": node, "node": other, "score": score, "new": new == 1})
-
-    named = graph.select("node", "ids", "scores", "new").mapInPandas(flat, "at long, node long, score float, new boolean")
+    """(at, near, old): each node's neighbours, and at most ``degree`` nodes that name it, the nearest;
+    those of them that were there before."""
+    named = graph.select(F.col("node").alias("at"), F.inline(F.arrays_zip("ids", "scores", "new"))).toDF(
+        "at", "node", "score", "new")
     nearest = Window.partitionBy("node").orderBy(F.desc("score"), "at")
     back = named.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= degree)
     both = named.select("at", "node", "new").unionByName(
         back.select(F.col("node").alias("at"), F.col("at").alias("node"), "new"))
     # at most 2 * degree of a node
-    return (both.groupBy("at", "node").agg(F.min("new").alias("new"))
-            .groupBy("at").agg(F.collect_list(F.struct("node", "new")).alias("near")))
+    return both.groupBy("at").agg(F.collect_set("node").alias("near"),
+                                  F.collect_set(F.when(~F.col("new"), F.col("node"))).alias("old"))
 
 
 def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, held: int = 1 << 20) -> DataFrame:
     """One round: neighbours of a node are compared with each other, where one of the two is new;
     each is offered all that is better than its last. A task reduces its offers when it holds ``held``."""
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"l_node": b["node"], "least": [
-                float(np.frombuffer(s, "<f4")[-1]) if len(s) >= 4 * degree else -np.inf for s in b["scores"]]})
-
-    least = graph.select("node", "scores").mapInPandas(last, "l_node long, least float")
+    none = F.lit(float("-inf")).cast("float")
+    least = graph.select(F.col("node").alias("l_node"), F.when(
+        F.size("scores") >= degree, F.element_at("scores", -1)).otherwise(none).alias("least"))
     facts = nodes.select("node", "code", "scale").join(least, F.col("node") == F.col("l_node"), "left").select(
-        "node", "code", "scale", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
-    todo = _around(graph, degree).where(F.exists("near", lambda e: e["new"])).select("at", F.inline("near"))
+        "node", "code", "scale", F.coalesce("least", none).alias("least"))
+    todo = (_around(graph, degree).where(F.size("near") > F.size("old")).select("at", "old", F.explode("near").alias("node"))
+            .select("at", "node", (~F.array_contains("old", F.col("node"))).alias("new")))
     around = todo.join(facts, "node").withColumn("block", _block(F.col("at"), blocks))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
@@ -300,7 +306,7 @@ def descend(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, held:
 
 # -- search
 
-STATE = "query long, vec binary, ids binary, scores binary, opened binary, open int"
+STATE = "query long, vec binary, ids binary, scores binary, shut array<long>"
 
 
 def _by_block(ids: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
@@ -319,16 +325,17 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, blocks: int,
 
     Queries run together, or in waves of at least ``batch`` and a 64th of the nodes: what one
     block is asked is bounded so, and the number of waves does not grow with the table."""
-    none_new = F.unhex(F.repeat(F.lit("00"), (F.octet_length("ids") / 8).cast("int")))
-    around = _around(graph.select("node", "ids", "scores", none_new.alias("new")), degree)
-    near = cut(around.select(_block(F.col("at"), blocks).alias("block"), F.col("at").alias("node"), F.col("near")["node"].alias("near")))
-    place = nodes.select("block", "node", "vec")
+    around = _around(graph.select("node", "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("new")), degree)
+    near = _kept(cut(around.select(F.col("at").alias("node"), "near")), "node")
+    place = _kept(nodes.select("block", "node", "vec"), "block")
     waves = max(1, -(-queries.count() // max(batch, nodes.count() // 64)))
     asking = queries.join(nodes.select("node", "vec"), F.col("query") == F.col("node")).select("query", "vec")
     out = None
     for k in range(waves):
         done = _wave(asking.where(F.pmod(F.xxhash64("query"), F.lit(waves)) == k), near, place, blocks, beam)
         out = done if out is None else out.unionByName(done)
+    near.unpersist()
+    place.unpersist()
     return out
 
 
@@ -338,30 +345,15 @@ def _wave(asking: DataFrame, near: DataFrame, place: DataFrame, blocks: int, bea
         for b in batches:
             x = _matrix(b["vec"], "<f8")
             yield b.assign(ids=[int(q).to_bytes(8, "little") for q in b["query"]],
-                           scores=[s.astype("<f8").tobytes() for s in np.einsum("ij,ij->i", x, x)], opened=b"\0", open=1)
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """What each query's beam has not opened yet, by block."""
-        for b in batches:
-            rows = [(block, q, ids) for q, all_ids, opened in zip(b["query"], b["ids"], b["opened"], strict=True)
-                    for block, ids in _by_block(np.frombuffer(all_ids, "<i8")[np.frombuffer(opened, "i1") == 0], blocks)]
-            yield pd.DataFrame(rows, columns=["block", "query", "ids"])
-
-    def open_nodes(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        """Neighbours of the asked nodes, distinct for each query."""
-        names, rows = dict(zip(block["node"], block["near"], strict=True)), []
-        for q, ids in zip(asked["query"], asked["ids"], strict=True):
-            found = [names[n] for n in np.frombuffer(ids, "<i8").tolist() if n in names]
-            if found:
-                rows.append((q, np.unique(np.concatenate(found)).astype("<i8").tobytes()))
-        return pd.DataFrame(rows, columns=["query", "ids"])
+                           scores=[s.astype("<f8").tobytes() for s in np.einsum("ij,ij->i", x, x)],
+                           shut=_arrays([np.array([q]) for q in b["query"]]))
 
     def want(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Neighbours that are not in the beam, by block, with the score that they have to reach."""
         for b in batches:
             rows = []
             for q, vec, ids, scores, found in zip(b["query"], b["vec"], b["ids"], b["scores"], b["found"], strict=True):
-                fresh = np.setdiff1d(np.concatenate([np.frombuffer(f, "<i8") for f in found]), np.frombuffer(ids, "<i8"))
+                fresh = np.setdiff1d(np.concatenate(list(found)), np.frombuffer(ids, "<i8"))
                 least = float(np.frombuffer(scores, "<f8")[-1]) if len(scores) >= 8 * beam else -np.inf
                 rows += [(block, q, vec, least, part) for block, part in _by_block(fresh, blocks)]
             yield pd.DataFrame(rows, columns=["block", "query", "vec", "least", "ids"])
@@ -397,25 +389,20 @@ def _wave(asking: DataFrame, near: DataFrame, place: DataFrame, blocks: int, bea
                 ids = np.concatenate([np.frombuffer(i, "<i8") for i in [ids, *[p["ids"] for p in parts]]])
                 scores = np.concatenate([np.frombuffer(s, "<f8") for s in [scores, *[p["scores"] for p in parts]]])
                 order = np.lexsort((ids, -scores))[:beam]
-                opened = (order < old).astype("i1")
                 rows.append((q, vec, ids[order].astype("<i8").tobytes(), scores[order].astype("<f8").tobytes(),
-                             opened.tobytes(), int((opened == 0).sum())))
-            yield pd.DataFrame(rows, columns=["query", "vec", "ids", "scores", "opened", "open"])
-
-    def by_block(asked: DataFrame, held: DataFrame, ask, schema: str) -> DataFrame:
-        return asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(ask, schema)
+                             ids[order[order >= old]]))
+            yield pd.DataFrame(rows, columns=["query", "vec", "ids", "scores", "shut"])
 
     state = cut(asking.mapInPandas(begin, STATE))
-    while not state.where(F.col("open") > 0).isEmpty():  # a beam only gets better, so this ends
-        asked = state.where(F.col("open") > 0).select("query", "ids", "opened").mapInPandas(
-            expand, "block int, query long, ids binary")
-        # at most one row of a query and block in either list
-        found = by_block(asked, near, open_nodes, "query long, ids binary").groupBy("query").agg(
-            F.collect_list("ids").alias("found"))
+    while not state.where(F.size("shut") > 0).isEmpty():  # a beam only gets better, so this ends
+        asked = state.select("query", F.explode("shut").alias("node"))
+        # at most one list for each node of a beam, one row for each block
+        found = asked.join(near, "node").groupBy("query").agg(F.collect_list("near").alias("found"))
         wanted = state.select("query", "vec", "ids", "scores").join(found, "query").mapInPandas(
             want, "block int, query long, vec binary, least double, ids binary")
-        parts = by_block(wanted, place, score, "query long, ids binary, scores binary").groupBy("query").agg(
-            F.collect_list(F.struct("ids", "scores")).alias("parts"))
+        scored = wanted.groupBy("block").cogroup(place.groupBy("block")).applyInPandas(
+            score, "query long, ids binary, scores binary")
+        parts = scored.groupBy("query").agg(F.collect_list(F.struct("ids", "scores")).alias("parts"))
         state = cut(state.select("query", "vec", "ids", "scores").join(parts, "query", "left").mapInPandas(keep_best, STATE))
     return state.select("query", "ids", "scores")
 
@@ -429,12 +416,13 @@ def nearest(rows: DataFrame, is_query: Column, answers: int = 20, degree: int =
     found = vectors(rows)
     nodes, n, blocks = nodes_of(found, answers, block_size, least_blocks)
     graph = first_graph(nodes, n, blocks, degree, trees, cell, sample)
-    fresh = n
+    coded, fresh = _kept(nodes.select("node", "code", "scale"), "node"), n
     while fresh:
-        graph = descend(graph, nodes, blocks, degree)
+        graph = descend(graph, coded, blocks, degree)
         fresh = graph.where(F.col("fresh") > 0).agg(F.sum("fresh")).first()[0] or 0
         if fresh <= settled * n * degree:
             break
+    coded.unpersist()
     asking = cut(found.where(is_query).join(nodes.select("node", F.col("vec").alias("n_vec")), F.col("vec") == F.col("n_vec"))
                  .select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")))
     best = search(asking.select("query").distinct(), graph, nodes, blocks, degree, beam, batch)

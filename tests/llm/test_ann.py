@@ -66,7 +66,7 @@ def test_batches_of_queries_agree(spark):
 def test_search_goes_on_while_anything_is_open(spark):
     """A path of 16 nodes whose scores grow along it takes 15 hops."""
     near = [(k, [j for j in (k - 1, k + 1) if 0 <= j < 16]) for k in range(16)]
-    graph = spark.createDataFrame([(k, np.array(j, "<i8").tobytes(), np.zeros(len(j), "<f4").tobytes()) for k, j in near], ann.LISTS)
+    graph = spark.createDataFrame([(k, j, [0.0] * len(j)) for k, j in near], ann.LISTS)
     nodes = spark.createDataFrame([(k, np.array([1.0 + k]).tobytes()) for k in range(16)], "node long, vec binary").select(
         "node", ann._block(F.col("node"), 2).alias("block"), "vec")
     queries = spark.createDataFrame([(0,)], "query long")
