@@ -105,13 +105,6 @@ def _block(node: Column, blocks: int) -> Column:
     return F.pmod(node, F.lit(blocks)).cast("int")
 
 
-def _kept(frame: DataFrame, by: str) -> DataFrame:
-    """``frame`` dealt and sorted by ``by`` once for all rounds or hops that join it; it is stored
-    before, so a lost part is read again."""
-    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(parts, by).sortWithinPartitions(by).persist()
-
-
 # -- nodes
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -326,16 +319,14 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, blocks: int,
     Queries run together, or in waves of at least ``batch`` and a 64th of the nodes: what one
     block is asked is bounded so, and the number of waves does not grow with the table."""
     around = _around(graph.select("node", "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("new")), degree)
-    near = _kept(cut(around.select(F.col("at").alias("node"), "near")), "node")
-    place = _kept(nodes.select("block", "node", "vec"), "block")
+    near = cut(around.select(F.col("at").alias("node"), "near"))
+    place = nodes.select("block", "node", "vec")
     waves = max(1, -(-queries.count() // max(batch, nodes.count() // 64)))
     asking = queries.join(nodes.select("node", "vec"), F.col("query") == F.col("node")).select("query", "vec")
     out = None
     for k in range(waves):
         done = _wave(asking.where(F.pmod(F.xxhash64("query"), F.lit(waves)) == k), near, place, blocks, beam)
         out = done if out is None else out.unionByName(done)
-    near.unpersist()
-    place.unpersist()
     return out
 
 
@@ -416,13 +407,12 @@ def nearest(rows: DataFrame, is_query: Column, answers: int = 20, degree: int =
     found = vectors(rows)
     nodes, n, blocks = nodes_of(found, answers, block_size, least_blocks)
     graph = first_graph(nodes, n, blocks, degree, trees, cell, sample)
-    coded, fresh = _kept(nodes.select("node", "code", "scale"), "node"), n
+    fresh = n
     while fresh:
-        graph = descend(graph, coded, blocks, degree)
+        graph = descend(graph, nodes, blocks, degree)
         fresh = graph.where(F.col("fresh") > 0).agg(F.sum("fresh")).first()[0] or 0
         if fresh <= settled * n * degree:
             break
-    coded.unpersist()
     asking = cut(found.where(is_query).join(nodes.select("node", F.col("vec").alias("n_vec")), F.col("vec") == F.col("n_vec"))
                  .select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")))
     best = search(asking.select("query").distinct(), graph, nodes, blocks, degree, beam, batch)
