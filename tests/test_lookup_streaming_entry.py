@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passlane import schema as S
 from passlane.operators import lookup as LK
+from passlane.session import ensure_checkpoint_dir
 from tests.conftest import SF
 
 
@@ -101,3 +102,12 @@ def test_stream_intake_counter_continues_across_batches(spark):
     numbered = spark.read.parquet(f"{root}/accepted").count() + spark.read.parquet(
         f"{root}/rejected").where("ref_value IS NOT NULL").count()
     assert max(refs) <= start + numbered
+
+
+def test_index_takes_long_grams_where_short_ones_are_common(spark):
+    spark.sparkContext.setCheckpointDir(ensure_checkpoint_dir(spark))
+    decl = spark.range(1024).select(F.concat(F.lit("XKPR"), F.lpad(F.bin("id"), 10, "0")).alias("charge_reference"), F.lit("Azz").alias("last_name"))
+    asked = spark.createDataFrame([("zz", "X[A-Z]PR+0110100101")], "lastName string, referenceNumber string")
+    found, chosen = LK._index_lane(asked, decl)
+    assert chosen.count() == 1  # every short gram is held by more than one row in eight: it was scanned for
+    assert [r.charge_reference for r in found.collect()] == ["XKPR0110100101"]
