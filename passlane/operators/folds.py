@@ -209,8 +209,13 @@ def quarantined(batch: DataFrame) -> DataFrame:
 def submitted_audit(batch: DataFrame, classified: DataFrame) -> DataFrame:
     """Audit rows of a refined batch (``payload``, ``parse_ok``, ``is_amendment``): one for each
     row whose result is Submitted, with the document that was sent."""
-    sent = classified.where(F.col("result") == "Submitted").select("charge_reference", "is_amendment").distinct()
-    return audit_events(batch.join(sent, ["charge_reference", "is_amendment"], "left_semi"))
+    sent = classified.where(F.col("result") == "Submitted").select(
+        F.col("charge_reference").alias("__sent"), F.col("is_amendment").alias("__sent_amendment")).distinct()
+    # rows become audit rows where they are read, and only then meet the keys that were sent: what is shuffled are the
+    # columns asked for. A semi join would be moved down to the documents by the optimizer; keys are distinct here
+    rows = audit_events(batch)
+    return rows.join(sent, (F.col("charge_reference") == F.col("__sent")) & (F.col("is_amendment") == F.col("__sent_amendment"))).drop(
+        "__sent", "__sent_amendment")
 
 
 # -- requeue and removals --------------------------------------------------------------------

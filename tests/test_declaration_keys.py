@@ -41,3 +41,8 @@ def test_the_same_rows_as_with_documents(spark, folder):
     rows = lambda df: sorted(map(str, df.select(*bare.columns).collect()))
     assert rows(bare) == rows(whole) and bare.count() > 200
     assert bare.where("receipt_at IS NULL").count() > 0
+
+
+def test_audit_shuffles_no_document(spark, folder):
+    plan = entry.queries()["submitted_audit"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" not in plan
