@@ -247,8 +247,9 @@ def stream_intake(spark: SparkSession, submissions_path: str, start: int, as_of,
 
 # -- counters
 
-#: Keys whose latest versions share one row of the state store (one call of the job each).
-PACK = 64
+#: Keys whose latest versions share one row of the state store, 9 bytes each (one call of the job a pack:
+#: with few keys in a pack the calls cost more than their work).
+PACK = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
