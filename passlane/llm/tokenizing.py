@@ -107,7 +107,8 @@ class Codec:
         units = code_points(joined)
         stops = np.cumsum([len(t) for t in texts])
         safe = np.zeros(len(units), bool)  # a chunk starts here
-        safe[:-1] = (units[:-1] == 32) & ~np.isin(units[1:], BLANKS)
+        spaces = np.flatnonzero(units[:-1] == 32)
+        safe[spaces[~np.isin(units[spaces + 1], BLANKS)]] = True
         safe[stops[:-1] - 1] = False
         safe[0] = True
         safe[stops[:-1]] = True
@@ -118,21 +119,30 @@ class Codec:
 
     def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, and the number of each."""
-        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(chunks)
+        counts = np.zeros(len(chunks), np.int64)
+        alone: dict[int, np.ndarray] = {}
         run = []
         for k, c in enumerate(chunks):
             if len(c) > self.leaf:
-                ids[k] = self.tree(c).ids
+                alone[k] = self.tree(c).ids
             elif c[0] == " " and not c[1:2].isspace() and len(c) > 1:
                 run.append(k)  # starts at a safe cut whatever stands before it
             else:
-                ids[k] = self.fast.encode_to_numpy(c, disallowed_special=())
+                alone[k] = self.fast.encode_to_numpy(c, disallowed_special=())
+            if k in alone:
+                counts[k] = len(alone[k])
+        got = np.empty(0, np.uint32)
         if run:
             got = self.fast.encode_to_numpy("".join(chunks[k] for k in run), disallowed_special=())
             at = np.cumsum([len(chunks[k].encode()) for k in run])
-            for k, part in zip(run, np.split(got, np.searchsorted(np.cumsum(self.lens[got]), at[:-1]) + 1), strict=True):
-                ids[k] = part
-        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+            counts[run] = np.diff(np.searchsorted(np.cumsum(self.lens[got]), at) + 1, prepend=0)
+        # the ids of a run lie behind each other: all go to their chunks' places at once
+        starts, size = np.cumsum(counts) - counts, counts[run]
+        ids = np.empty(int(counts.sum()), np.uint32)
+        ids[np.repeat(starts[run] - (np.cumsum(size) - size), size) + np.arange(len(got))] = got
+        for k, found in alone.items():
+            ids[starts[k]:starts[k] + len(found)] = found
+        return ids, counts
 
     # -- trees
 
