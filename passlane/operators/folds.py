@@ -154,8 +154,10 @@ def classify_responses(responses: DataFrame, batch: DataFrame | None = None) ->
     r = responses
     if batch is not None:
         doc = F.when(F.col("is_amendment"), F.col("amend_data")).otherwise(F.col("data"))
+        # a batch that was joined brings the answer instead of the document
+        missing = F.col("no_document") if "no_document" in batch.columns else doc.isNull()
         b = batch.select("charge_reference", "is_amendment", F.col("parse_ok").alias("__ok"),
-                         doc.isNull().alias("__no_doc"))
+                         missing.alias("__no_doc"))
         r = r.join(b, ["charge_reference", "is_amendment"], "left")
     else:
         r = r.withColumn("__ok", F.lit(True)).withColumn("__no_doc", F.lit(False))

@@ -47,9 +47,13 @@ def expire_locks(locks: DataFrame, as_of, ttl_seconds: int = S.LOCK_TTL_SECONDS)
 
 def exclude_locked(rows: DataFrame, locks: DataFrame, as_of, key: str = "ref_value",
                    ttl_seconds: int = S.LOCK_TTL_SECONDS) -> DataFrame:
-    """Rows whose key holds no live lock."""
+    """Rows whose key holds no live lock.
+
+    An outer join and not an anti join, which the optimizer would move below what was made of the
+    rows' documents, so that documents would be shuffled."""
     held = live_locks(locks, as_of, ttl_seconds).select(F.col("lock_id").alias("__lock_key"))
-    return rows.join(held, rows[key] == held["__lock_key"], "left_anti")
+    return (rows.join(held, rows[key] == held["__lock_key"], "left")
+            .where(F.col("__lock_key").isNull()).drop("__lock_key"))
 
 
 def acquire_locks(rows: DataFrame, locks: DataFrame, as_of, key: str = "ref_value",
