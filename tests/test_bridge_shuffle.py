@@ -1,6 +1,7 @@
 """Building the stand-in tables shuffles bare columns, never item structs or documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from passlane.plans.inputs import Inputs
 from passlane.sources import bridge
@@ -39,3 +40,27 @@ def test_items_are_in_line_order_with_nulls_and_repeated_lines(spark):
 def test_stored_documents_are_compressed_well(spark):
     found = Inputs(spark, SF).raw_submissions.inputFiles()
     assert found and all(".zstd." in f for f in found)
+
+
+def test_a_task_holds_a_bounded_number_of_lines_however_small_their_bytes(spark):
+    """600,000 lines are under 64 MB when shuffled: put together by bytes alone they were one task, whose
+    sorts grow with the table until they spill."""
+    n, by_bytes = 600_000, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    lines = spark.range(n).selectExpr(
+        "id DIV 4 AS l_orderkey", "id % 20000 AS l_partkey", "id % 1000 AS l_suppkey", "CAST(id % 4 AS INT) AS l_linenumber", "1.0D AS l_quantity",
+        "9.5D AS l_extendedprice", "0.1D AS l_discount", "0.0D AS l_tax", "timestamp_ntz'1997-01-02 00:00:00' AS l_shipdate")
+
+    class Tables:
+        lineitem = lines
+        orders = spark.range(n // 4).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey", "timestamp_ntz'1997-01-01 00:00:00' AS o_orderdate",
+                                                "'1-URGENT' AS o_orderpriority", "5.0D AS o_totalprice")
+        customer = spark.range(100).selectExpr("id AS c_custkey", "'Customer#000000001' AS c_name", "1 AS c_nationkey", "1.0D AS c_acctbal")
+
+    spark.conf.set(by_bytes, "false")
+    try:
+        held = bridge.base_rows(Tables()).groupBy(F.spark_partition_id().alias("task")).agg(
+            F.sum(F.size("lines")).alias("lines"), F.count("*").alias("orders")).collect()
+    finally:
+        spark.conf.unset(by_bytes)
+    assert sum(x.lines for x in held) == n and sum(x.orders for x in held) == n // 4
+    assert max(x.lines for x in held) < 300_000
